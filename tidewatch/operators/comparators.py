@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tidewatch.functions import arrays, prefix
 from tidewatch.operators import evidence
@@ -217,12 +218,12 @@ def kendall(rows: DataFrame, keys: list[str], x: str, y: str, buckets: int = 32)
 _NORMAL = NormalDist()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_quantile(u: pd.Series) -> pd.Series:
     return u.map(_NORMAL.inv_cdf, na_action="ignore").astype(float)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_cdf(x: pd.Series) -> pd.Series:
     return x.map(_NORMAL.cdf, na_action="ignore").astype(float)
 

@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tidewatch.functions import arrays, prefix, text
 
@@ -120,7 +121,7 @@ def isolation_scores(rows: DataFrame, trees: DataFrame, clients: int, tree_count
             held.setdefault(r["client_id"], []).append({**t, "sample": r["sample"]})
         shared = sc.broadcast(held)
 
-        @F.pandas_udf("double")
+        @F.pandas_udf(DoubleType())
         def paths(client: pd.Series, features: pd.Series) -> pd.Series:
             result = np.full(len(client), np.nan)
             for name, index in client.groupby(client).indices.items():
@@ -252,7 +253,7 @@ def _reconstruction(rows: DataFrame, held: dict[str | None, list[float]], dimens
     """Mean squared error under the client's model, or under the shared one (key None)."""
     shared = rows.sparkSession.sparkContext.broadcast(held)
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def error(client: pd.Series, features: pd.Series) -> pd.Series:
         result = np.full(len(client), np.nan)
         for name, index in client.groupby(client).indices.items():

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 # Fixed values ---------------------------------------------------------------
 MISSING_PROTOCOL = "UNKNOWN_PROTO"
@@ -101,8 +101,8 @@ class WorkloadParams(Params):
     warmup: int = 6
     merge_gap: int = 2
     minimum_duration: int = 2
-    minimum_benign_records: int = 100
-    minimum_benign_epochs: int = 50
+    minimum_benign_records: int = 20
+    minimum_benign_epochs: int = 10
     cells: int = 2
     basis_size: int = 2
     support_minima: tuple[int, int, int] = (10, 15, 20)
@@ -111,4 +111,7 @@ class WorkloadParams(Params):
     policy_quantiles: tuple[float, ...] = (0.9, 0.95, 0.99)
     site_count: int = 12
     attack_value: float = 200.0
-    extra: dict = field(default_factory=dict)
+    # settings of the small fit whose results plain SQL can confirm
+    check_basis: int = 1
+    check_order: int = 2
+    check_candidates: tuple[float, ...] = (0.001, 0.01, 0.1, 1.0)
