@@ -26,7 +26,7 @@ def norm(a: Column) -> Column:
 def clip(x: Column, low: Column | float, high: Column | float) -> Column:
     lo = low if isinstance(low, Column) else F.lit(low)
     hi = high if isinstance(high, Column) else F.lit(high)
-    return F.least(F.greatest(x, lo), hi)
+    return F.when(x.isNotNull(), F.least(F.greatest(x, lo), hi))  # least and greatest skip nulls
 
 
 def distance(a: Column, b: Column) -> Column:

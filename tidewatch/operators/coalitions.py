@@ -69,10 +69,8 @@ def enumerate_coalitions(clients: DataFrame, count: int, max_order: int) -> Data
 def proper_subsets(coalitions: DataFrame) -> DataFrame:
     """Coalition and each of its non-empty proper subsets (at most six for a triple)."""
     n = F.size("members")
-    masks = F.sequence(F.lit(1), F.shiftleft(F.lit(1), 3) - 1)
-    picked = F.transform(
-        masks, lambda m: F.filter("members", lambda _x, i: F.shiftright(m, i).bitwiseAND(F.lit(1)) == 1)
-    )
+    masks = F.array(*[F.array(*[F.lit(bool(m >> i & 1)) for i in range(3)]) for m in range(1, 8)])
+    picked = F.transform(masks, lambda m: F.filter("members", lambda _x, i: F.get(m, i)))
     # a mask that reaches past the members repeats a smaller one, so keep distinct arrays
     subsets = F.filter(F.array_distinct(picked), lambda s: (F.size(s) > 0) & (F.size(s) < n))
     return coalitions.select("coalition_id", "ord", F.explode(subsets).alias("subset")).withColumn(

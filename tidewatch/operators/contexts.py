@@ -13,7 +13,7 @@ VARIANTS = ("exact", "inclusive", "leave_one_out", "partial", "local_history", "
 
 
 def histogram_bin(u: Column, bins: int) -> Column:
-    return F.least(F.floor(u * bins), F.lit(bins - 1)).cast("int")
+    return F.when(u.isNotNull(), F.least(F.floor(u * bins), F.lit(bins - 1))).cast("int")  # least skips nulls
 
 
 def _kept(variant: str, i: Column, idx: Column) -> Column:

@@ -12,9 +12,10 @@ def target_clients(clients: list[str], count: int) -> list[str]:
     return sorted(clients)[:count]
 
 
-def shift_scores(rows: DataFrame, clients: list[str], shift: float) -> DataFrame:
-    """Add ``shift`` to the scores of the listed clients."""
-    return rows.withColumn("score", F.col("score") + F.when(F.col("client_id").isin(clients), F.lit(shift)).otherwise(F.lit(0.0)))
+def shift_scores(rows: DataFrame, clients: list[str], shift: float | Column) -> DataFrame:
+    """Add ``shift`` (a number or a column) to the scores of the listed clients."""
+    amount = shift if isinstance(shift, Column) else F.lit(shift)
+    return rows.withColumn("score", F.col("score") + F.when(F.col("client_id").isin(clients), amount).otherwise(F.lit(0.0)))
 
 
 def contaminated_clients(outside: list[str], fraction: float) -> list[str]:

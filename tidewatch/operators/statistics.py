@@ -48,7 +48,7 @@ def sign_flip_means(differences: DataFrame, unit: str, units: int, exact_limit:
     index = differences.sparkSession.range(count).withColumnRenamed("id", "pattern")
     rows = index.join(F.broadcast(_packed(differences, unit)), F.lit(True))
     if exact:
-        bit = lambda j: F.shiftrightunsigned(F.col("pattern"), j).bitwiseAND(F.lit(1).cast("long"))
+        bit = lambda j: F.pmod(F.floor(F.col("pattern") / F.pow(F.lit(2.0), j)), F.lit(2))
     else:
         bit = lambda j: F.pmod(F.xxhash64(F.lit(seed), F.col("pattern"), j), F.lit(2))
     signed = F.transform("d", lambda x, j: x * (F.lit(1) - F.lit(2) * bit(j)))

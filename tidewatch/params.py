@@ -107,11 +107,12 @@ class WorkloadParams(Params):
     basis_size: int = 2
     support_minima: tuple[int, int, int] = (10, 15, 20)
     pfa_target: float = 0.1
-    thresholds: tuple[float, ...] = (2, 3, 5, 8, 10, 20)
+    thresholds: tuple[float, ...] = (1.2, 1.4, 1.6, 1.8, 2.0, 2.1, 2.2, 2.3, 2.5, 3.0)
+    material_evidence: float = 0.9
     policy_quantiles: tuple[float, ...] = (0.9, 0.95, 0.99)
     site_count: int = 12
     attack_value: float = 200.0
     # settings of the small fit whose results plain SQL can confirm
     check_basis: int = 1
     check_order: int = 2
-    check_candidates: tuple[float, ...] = (0.001, 0.01, 0.1, 1.0)
+    check_candidates: tuple[float, ...] = (0.1, 1.0, 10.0, 100.0)
