@@ -106,7 +106,7 @@ class WorkloadParams(Params):
     cells: int = 2
     basis_size: int = 2
     support_minima: tuple[int, int, int] = (10, 15, 20)
-    pfa_target: float = 0.1
+    pfa_target: float = 0.3
     thresholds: tuple[float, ...] = (1.2, 1.4, 1.6, 1.8, 2.0, 2.1, 2.2, 2.3, 2.5, 3.0)
     material_evidence: float = 0.9
     policy_quantiles: tuple[float, ...] = (0.9, 0.95, 0.99)

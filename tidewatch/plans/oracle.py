@@ -222,8 +222,8 @@ FROM horizon_states s LEFT JOIN supported k USING (method, partition, horizon_id
 SELECT method, partition, threshold, count(*) AS horizons, count(stop) AS false_stops FROM stops GROUP BY ALL"""),
     ("binomial", """
 WITH RECURSIVE terms AS (
-  SELECT DISTINCT horizons AS n, 0 AS k, power(0.9, horizons) AS t FROM false_stops
-  UNION ALL SELECT n, k + 1, t * (n - k) / (k + 1.0) * (0.1 / 0.9) FROM terms WHERE k < n)
+  SELECT DISTINCT horizons AS n, 0 AS k, power(0.7, horizons) AS t FROM false_stops
+  UNION ALL SELECT n, k + 1, t * (n - k) / (k + 1.0) * (0.3 / 0.7) FROM terms WHERE k < n)
 SELECT n AS horizons, k AS false_stops, sum(t) OVER (PARTITION BY n ORDER BY k) AS cdf FROM terms"""),
     ("calibrated", """
 SELECT method, min(threshold) FILTER (false_stops < horizons AND cdf <= 0.05 + 1e-15) AS threshold
@@ -243,8 +243,8 @@ SELECT client_id, threshold, m, n, partition, count(*) AS horizons, count(stop)
     ("policies", """
 SELECT client_id, min((threshold, m, n)) FILTER (false_stops < horizons AND cdf <= 0.05 + 1e-15) AS p
 FROM policy_counts JOIN (
-  WITH RECURSIVE terms AS (SELECT DISTINCT horizons AS n, 0 AS k, power(0.9, horizons) AS t FROM policy_counts
-    UNION ALL SELECT n, k + 1, t * (n - k) / (k + 1.0) * (0.1 / 0.9) FROM terms WHERE k < n)
+  WITH RECURSIVE terms AS (SELECT DISTINCT horizons AS n, 0 AS k, power(0.7, horizons) AS t FROM policy_counts
+    UNION ALL SELECT n, k + 1, t * (n - k) / (k + 1.0) * (0.3 / 0.7) FROM terms WHERE k < n)
   SELECT n AS horizons, k AS false_stops, sum(t) OVER (PARTITION BY n ORDER BY k) AS cdf FROM terms) USING (horizons, false_stops)
 WHERE partition = 'threshold_and_policy_calibration' GROUP BY 1"""),
     ("camp_axis", """

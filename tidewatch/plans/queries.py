@@ -403,8 +403,8 @@ def partition_horizons(w: Workload) -> DataFrame:
 
 
 @query(
-    "SELECT partition, count(DISTINCT horizon_id) AS horizons, count(*) = count(DISTINCT epoch) AS non_overlapping, CAST(ceil(ln(0.05) / ln(0.9)) AS BIGINT) AS required, "
-    "CASE WHEN count(DISTINCT horizon_id) < ceil(ln(0.05) / ln(0.9)) THEN 'NOT_TESTED' ELSE 'SUPPORTED' END AS claim_state FROM horizon_axis GROUP BY 1",
+    "SELECT partition, count(DISTINCT horizon_id) AS horizons, count(*) = count(DISTINCT epoch) AS non_overlapping, CAST(ceil(ln(0.05) / ln(0.7)) AS BIGINT) AS required, "
+    "CASE WHEN count(DISTINCT horizon_id) < ceil(ln(0.05) / ln(0.7)) THEN 'NOT_TESTED' ELSE 'SUPPORTED' END AS claim_state FROM horizon_axis GROUP BY 1",
     "horizon_axis",
 )
 def partition_eligibility(w: Workload) -> DataFrame:
@@ -542,8 +542,8 @@ def policy_first_stops(w: Workload) -> DataFrame:
 
 
 @query(
-    """, tails AS (WITH RECURSIVE t AS (SELECT DISTINCT horizons AS n, 0 AS k, power(0.9, horizons) AS t FROM policy_counts
-  UNION ALL SELECT n, k + 1, t * (n - k) / (k + 1.0) * (0.1 / 0.9) FROM t WHERE k < n)
+    """, tails AS (WITH RECURSIVE t AS (SELECT DISTINCT horizons AS n, 0 AS k, power(0.7, horizons) AS t FROM policy_counts
+  UNION ALL SELECT n, k + 1, t * (n - k) / (k + 1.0) * (0.3 / 0.7) FROM t WHERE k < n)
   SELECT n AS horizons, k AS false_stops, sum(t) OVER (PARTITION BY n ORDER BY k) AS cdf FROM t)
 SELECT DISTINCT CAST(horizons AS BIGINT) AS horizons, CAST(false_stops AS BIGINT) AS false_stops, round(cdf, 6) AS tail, false_stops < horizons AND cdf <= 0.05 + 1e-15 AS within,
   CASE WHEN false_stops = 0 THEN round(1 - power(0.05, 1.0 / horizons), 6) END AS zero_bound

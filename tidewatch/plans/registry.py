@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidewatch.operators import sequential
 from tidewatch.params import PARTITIONS
 from tidewatch.plans import queries as _q
+from tidewatch.plans import queries_model as _model  # noqa: F401  (registers its queries)
 from tidewatch.plans.workload import Workload
 
 
@@ -17,8 +19,6 @@ def flagship(spark: SparkSession, folder: str) -> DataFrame:
     w = Workload(spark, folder)
     rows = w.horizon_rows(w.fusion_evidence(), PARTITIONS[3])
     states = sequential.global_state(rows, ["horizon_id"])
-    from pyspark.sql import functions as F
-
     return sequential.global_stops(states.withColumn("supported", F.lit(True)), ["horizon_id"], w.p.thresholds)
 
 
