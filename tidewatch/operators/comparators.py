@@ -167,29 +167,30 @@ def concordance(x: np.ndarray, y: np.ndarray, w: np.ndarray, block: int = 512) -
     return total / 2.0
 
 
-def kendall(rows: DataFrame, keys: list[str], x: str, y: str, buckets: int = 32) -> DataFrame:
+def kendall(rows: DataFrame, keys: list[str], x: str, y: str, task_points: int = 2048) -> DataFrame:
     """Kendall's tau-b of two columns in [0, 1] per key, exact and without a whole key in one task.
 
-    Pairs fall in four kinds: different x and y bucket (settled by a small grid of counts), same x
-    bucket, same y bucket, and same grid cell, which the two middle kinds count twice.
+    A key with many points is cut into ``n / task_points`` buckets per axis. Pairs then fall in four
+    kinds: different x and y bucket (settled by a grid of counts), same x bucket, same y bucket, and
+    same grid cell, which the two middle kinds count twice. A small key is one bucket.
     """
-    points = (
-        rows.groupBy(*keys, F.col(x).alias("x"), F.col(y).alias("y"))
-        .agg(F.count("*").cast("double").alias("w"))
-        .withColumn("xb", prefix.unit_bucket("x", buckets))
-        .withColumn("yb", prefix.unit_bucket("y", buckets))
-    )
+    points = rows.groupBy(*keys, F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").cast("double").alias("w"))
+    sizes = points.groupBy(*keys).agg(F.least(F.ceil(F.count("*") / task_points), F.lit(64)).cast("long").alias("cuts"))
+    points = points.join(sizes, keys)
+    for axis in ("x", "y"):
+        points = points.withColumn(f"{axis}b", F.least(F.floor(F.col(axis) * F.col("cuts")), F.col("cuts") - 1))
+    nothing = F.lit(-1).cast("long")
     kinds = points.select(
-        *keys, "x", "y", "w",
+        *keys, "x", "y", "w", "cuts",
         F.explode(
             F.array(
-                F.struct(F.lit("x").alias("kind"), F.col("xb").alias("a"), F.lit(-1).cast("long").alias("b")),
-                F.struct(F.lit("y").alias("kind"), F.lit(-1).cast("long").alias("a"), F.col("yb").alias("b")),
+                F.struct(F.lit("x").alias("kind"), F.col("xb").alias("a"), nothing.alias("b")),
+                F.struct(F.lit("y").alias("kind"), nothing.alias("a"), F.col("yb").alias("b")),
                 F.struct(F.lit("cell").alias("kind"), F.col("xb").alias("a"), F.col("yb").alias("b")),
             )
         ).alias("g"),
-    ).select(*keys, "x", "y", "w", "g.kind", "g.a", "g.b")
-    grid = points.groupBy(*keys, "xb", "yb").agg(F.sum("w").alias("w")).select(
+    ).filter((F.col("cuts") > 1) | (F.col("g.kind") == "x")).select(*keys, "x", "y", "w", "g.kind", "g.a", "g.b")
+    grid = points.filter("cuts > 1").groupBy(*keys, "xb", "yb").agg(F.sum("w").alias("w")).select(
         *keys, F.col("xb").cast("double").alias("x"), F.col("yb").cast("double").alias("y"), "w",
         F.lit("grid").alias("kind"), F.lit(-1).cast("long").alias("a"), F.lit(-1).cast("long").alias("b"),
     )

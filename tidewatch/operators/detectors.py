@@ -283,19 +283,20 @@ def federated_autoencoder(
     fit: DataFrame, dimension: int, rounds: int, passes: int, rate: float, batch: int, seed: int
 ) -> list[float]:
     """Rounds of local training and weighted averaging; the shared model has a fixed size."""
-    current = _pack(_start(dimension, seed))
-    for number in range(rounds):
-        start = current
-
-        def local(pdf: pd.DataFrame, start=start, number=number) -> pd.DataFrame:
+    def local_step(start: list[float], number: int):
+        def local(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values("epoch")
             x = np.stack(pdf["features"].to_numpy()).astype(np.float32)
             client = pdf["client_id"].iat[0]
             layers = _train(x, _unpack(np.array(start), dimension), passes, rate, batch, seed, client, number)
             return pd.DataFrame({"client_id": [client], "n": [len(x)], "weights": [_pack(layers)]})
 
+        return local
+
+    current = _pack(_start(dimension, seed))
+    for number in range(rounds):
         trained = fit.select("client_id", "epoch", "features").groupBy("client_id").applyInPandas(
-            local, "client_id string, n long, weights array<double>"
+            local_step(current, number), "client_id string, n long, weights array<double>"
         )
         mean = federated_mean(trained).collect()
         current = [0.0] * len(mean)

@@ -7,6 +7,7 @@ from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidewatch.functions import text
 from tidewatch.functions.binomial import lower_bound, upper_bound
@@ -136,7 +137,7 @@ def bca_interval(means: DataFrame, differences: DataFrame, unit: str, confidence
         F.max("estimate").alias("hi"),
     )
     base = summary.join(F.broadcast(acceleration), F.lit(True)).withColumn("confidence", F.lit(confidence))
-    schema = base.schema.add("low", "double").add("high", "double")
+    schema = StructType([*base.schema.fields, StructField("low", DoubleType()), StructField("high", DoubleType())])
     levels = base.mapInPandas(_bca_levels, schema)
     # quantiles at computed levels: linear interpolation on the ordered replicates
     ordered = means.agg(F.array_sort(F.collect_list("estimate")).alias("e"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidewatch.operators import sequential
 from tidewatch.params import PARTITIONS
 from tidewatch.plans import queries as _q
-from tidewatch.plans import queries_model as _model  # noqa: F401  (registers its queries)
+from tidewatch.plans import queries_model, queries_rest  # noqa: F401  (they register their queries)
 from tidewatch.plans.workload import Workload
 
 

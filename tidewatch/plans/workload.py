@@ -361,7 +361,7 @@ class Workload:
         )
 
     def horizon_rows(self, rows: DataFrame, partition: str) -> DataFrame:
-        return self.horizons(rows, partition).withColumnRenamed("h_pos", "pos")
+        return self.horizons(rows.drop("pos"), partition).withColumnRenamed("h_pos", "pos")
 
     def support_rows(self, keys: list[str], placed: DataFrame, check: bool = False) -> DataFrame:
         """Distributed support of every method; ``placed`` maps epochs to ``keys`` and ``pos``."""
