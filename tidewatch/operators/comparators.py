@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
 from statistics import NormalDist
 
 import numpy as np
@@ -343,9 +342,14 @@ def factor_residuals(
 
     centred = F.zip_with("now", literal(mean), lambda u, m: u - m)
 
+    def share(c: Column, factor: Column) -> Column:
+        return arrays.let(arrays.dot(c, factor), lambda load: F.transform(factor, lambda x: x * load))
+
     def remove(c: Column) -> Column:
-        loads = [(literal(vectors[:, k]), arrays.dot(c, literal(vectors[:, k]))) for k in order[:rank]]
-        return reduce(lambda acc, fl: F.zip_with(acc, F.transform(fl[0], lambda x, y=fl[1]: x * y), lambda a, b: a - b), loads, c)
+        left = c
+        for k in order[:rank]:
+            left = F.zip_with(left, share(c, literal(vectors[:, k])), lambda a, b: a - b)
+        return left
 
     return panel.withColumn("factor_residual", arrays.norm(arrays.let(centred, remove))).withColumn(
         "factor_rank", F.lit(rank)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch import params as P
-from tidewatch.functions import text, timing
+from tidewatch.functions import timing
 
 BOM = "﻿"
 
@@ -77,18 +77,24 @@ def map_columns(frame: DataFrame, documented: dict[str, str]) -> DataFrame:
     return frame.select(*[F.col(f"`{by_name[o]}`").alias(d) for d, o in documented.items()])
 
 
-def _hash_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    from urllib.parse import unquote
+def _open(uri: str):
+    """Byte stream of a listed path, local or on any file system pyarrow knows."""
+    if uri.startswith("file:"):
+        return open(f"/{uri.removeprefix('file:').lstrip('/')}", "rb")
+    from urllib.parse import quote
 
     from pyarrow import fs
 
+    store, location = fs.FileSystem.from_uri(quote(uri, safe=":/@?=&"))
+    return store.open_input_stream(location)
+
+
+def _hash_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         digests = []
         for uri in batch["path"]:
-            clean = uri.replace("file:", "file://", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri
-            store, location = fs.FileSystem.from_uri(clean)
             digest = hashlib.sha256()
-            with store.open_input_stream(unquote(location)) as stream:
+            with _open(uri) as stream:
                 while block := stream.read(1 << 20):
                     digest.update(block)
             digests.append(digest.hexdigest())
@@ -122,9 +128,3 @@ def write_table(frame: DataFrame, path: str, partition_by: tuple[str, ...] = ())
 
 def write_csv(frame: DataFrame, path: str) -> None:
     frame.write.mode("errorifexists").option("escape", '"').csv(path, header=True)
-
-
-__all__ = [
-    "file_inventory", "map_columns", "missing_columns", "scan_event_table", "scan_flow_csv",
-    "scan_packet_csv", "schema_state", "text", "write_csv", "write_table",
-]
