@@ -143,6 +143,6 @@ def test_file_inventory(spark, tmp_path):
     (tmp_path / "x").mkdir()
     (tmp_path / "x" / "a b.bin").write_bytes(b"abc" * 1000)
     (tmp_path / "c.bin").write_bytes(b"")
-    got = {r["path"].rsplit("/", 1)[1].replace("%20", " "): (r["sha256"], r["bytes"]) for r in flows.file_inventory(spark, str(tmp_path)).collect()}
+    got = {r["path"].rsplit("/", 1)[1]: (r["sha256"], r["bytes"]) for r in flows.file_inventory(spark, str(tmp_path)).collect()}
     assert got["a b.bin"] == (hashlib.sha256(b"abc" * 1000).hexdigest(), 3000)
     assert got["c.bin"] == (hashlib.sha256(b"").hexdigest(), 0)

@@ -62,7 +62,7 @@ def judged_runs(
     clean = F.col("previous_end").isNull() | (F.col("start_epoch") - F.col("previous_end") > warmup)
     return (
         runs.join(spread, "run_id")
-        .join(F.broadcast(axis.select("first_epoch")), F.lit(True))
+        .withColumn("first_epoch", axis.select("first_epoch").scalar())
         .withColumn("first_activity_distributed", F.col("spread") <= window)
         .withColumn("distributed_support", F.col("participant_count") >= clients)
         .withColumn("long_enough", F.col("duration") >= duration)

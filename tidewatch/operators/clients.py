@@ -34,8 +34,9 @@ def _top(judged: DataFrame, target: int, minimum: int) -> DataFrame:
     eligible = judged.filter("eligible")
     # top-k with ties settled by the id; only ``target`` rows leave each task
     top = eligible.orderBy(F.col("benign_records").desc(), F.col("client_id")).limit(target)
-    count = eligible.agg(F.count("*").alias("eligible_clients"))
-    return top.join(F.broadcast(count), F.col("eligible_clients") >= minimum)
+    return top.withColumn("eligible_clients", eligible.agg(F.count("*")).scalar()).filter(
+        F.col("eligible_clients") >= minimum
+    )
 
 
 def select_strict(judged: DataFrame, target: int) -> DataFrame:

@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.session import spread
+
 
 def coalition_count(clients: int, max_order: int) -> int:
     return sum(math.comb(clients, r) for r in range(1, max_order + 1))
@@ -91,20 +93,35 @@ def availability_dropout(clients: Column, epoch: Column, seed: int, fraction: fl
     return hash_uniform(key) < F.lit(1.0 - fraction)
 
 
-def epoch_panel(rows: DataFrame, client_ids: list[str], keys: list[str], lag: int) -> DataFrame:
+def epoch_panel(rows: DataFrame, client_ids: list[str], keys: list[str], lag: int, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per key and epoch: arrays ``now`` (ranks), ``lagged`` (ranks) and ``avail``.
 
-    ``rows`` has ``client_id, epoch, rank, available``. Map-side combining leaves at most one
-    partial row per epoch and task.
+    ``rows`` has ``client_id, epoch, rank, available``; ``carry`` names columns that depend on the
+    epoch only. A rank feeds its own epoch and the one ``lag`` later, so the lag costs no join: one
+    aggregate with map-side combining makes the whole panel.
     """
+    none = F.lit(None)
+    own = F.struct(
+        F.col("epoch").alias("e"), F.col("rank").alias("now"), none.cast("double").alias("lagged"), F.col("available").alias("up"), *carry
+    )
+    later = F.struct(
+        (F.col("epoch") + lag).alias("e"), none.cast("double").alias("now"), F.col("rank").alias("lagged"), none.cast("boolean").alias("up"),
+        *[none.alias(c) for c in carry],
+    )
+    fed = rows.select(*keys, "client_id", F.explode(F.array(own, later)).alias("f"))
     slot = [F.col("client_id") == c for c in client_ids]
-    panel = rows.groupBy(*keys, "epoch").agg(
-        F.array(*[F.max(F.when(s, F.col("rank"))) for s in slot]).alias("now"),
-        F.array(*[F.coalesce(F.max(F.when(s, F.col("available"))), F.lit(False)) for s in slot]).alias("avail"),
+
+    def gather(name: str) -> list[Column]:
+        return [F.max(F.when(s, F.col(f"f.{name}"))) for s in slot]
+
+    panel = fed.groupBy(*keys, F.col("f.e").alias("epoch")).agg(
+        F.array(*gather("now")).alias("now"),
+        F.array(*gather("lagged")).alias("lagged"),
+        F.array(*[F.coalesce(c, F.lit(False)) for c in gather("up")]).alias("avail"),
+        *[F.max(f"f.{c}").alias(c) for c in carry],
+        F.count("f.up").alias("_own"),
     )
-    before = panel.select(*keys, (F.col("epoch") + lag).alias("epoch"), F.col("now").alias("lagged"))
-    empty = F.array_repeat(F.lit(None).cast("double"), len(client_ids))
-    return panel.join(before, [*keys, "epoch"], "left").withColumn("lagged", F.coalesce("lagged", empty))
+    return panel.filter(F.col("_own") > 0).drop("_own")
 
 
 def active(idx: Column, avail: Column, clients: int, max_order: int, minimum: int, fraction: float) -> Column:
@@ -115,7 +132,11 @@ def active(idx: Column, avail: Column, clients: int, max_order: int, minimum: in
 
 
 def coalition_epochs(panel: DataFrame, keys: list[str], client_ids: list[str], max_order: int, minimum: int, fraction: float) -> DataFrame:
-    """Coalition-epoch rows from panel rows; the explode keeps partitioning and needs no shuffle."""
+    """Coalition-epoch rows from panel rows.
+
+    A panel is small and fans out into every coalition, so its rows are spread before the explode.
+    """
+    panel = spread(panel, *[k for k in keys if not k.startswith("_")], "epoch")
     ids = F.array(*[F.lit(c) for c in client_ids])
     k = len(client_ids)
     return (

@@ -24,12 +24,20 @@ def dependence_moment(r: Column) -> Column:
     return F.aggregate(r, F.lit(1.0), lambda acc, u: acc * (u * 2.0 - 1.0))
 
 
+def with_stats(rows: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
+    """Attach statistics by key, or as scalar subqueries when there is no key."""
+    if keys:
+        return rows.join(stats, keys)
+    packed = rows.withColumn("_s", stats.select(F.struct(*stats.columns)).scalar()).filter(F.col("_s").isNotNull())
+    return packed.select(*rows.columns, "_s.*")
+
+
 def nonconformity(rows: DataFrame, reference: DataFrame, keys: list[str], value: str, floor: float) -> DataFrame:
     """``abs((x - mean) / max(sd, floor))`` with benign moments per key; under two rows a key abstains."""
     stats = reference.groupBy(*keys).agg(
         F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_sd"), F.count(value).alias("_rows")
     )
-    joined = rows.join(stats.filter(F.col("_rows") >= 2), keys) if keys else rows.join(F.broadcast(stats), F.lit(True))
+    joined = with_stats(rows, stats.filter(F.col("_rows") >= 2), keys)
     return joined.withColumn(
         "nonconformity", F.abs((F.col(value) - F.col("_mean")) / F.greatest(F.col("_sd"), F.lit(floor)))
     ).drop("_mean", "_sd", "_rows")
@@ -43,7 +51,7 @@ def common_calibration(
     ref = nonconformity(reference, reference, keys, value, scale_floor)
     quantiles = ref.groupBy(*keys).agg(F.percentile("nonconformity", F.lit(quantile)).alias("_q"))
     scored = nonconformity(rows, reference, keys, value, scale_floor)
-    joined = scored.join(quantiles, keys) if keys else scored.join(F.broadcast(quantiles), F.lit(True))
+    joined = with_stats(scored, quantiles, keys)
     return joined.withColumn(
         "factor", evidence.operational_factor(F.col("nonconformity"), F.col("_q"), norm_floor, bound, bet)
     ).drop("_q")
@@ -174,7 +182,7 @@ def kendall(rows: DataFrame, keys: list[str], x: str, y: str, task_points: int =
     same grid cell, which the two middle kinds count twice. A small key is one bucket.
     """
     points = rows.groupBy(*keys, F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").cast("double").alias("w"))
-    sizes = points.groupBy(*keys).agg(F.least(F.ceil(F.count("*") / task_points), F.lit(64)).cast("long").alias("cuts"))
+    sizes = points.groupBy(*keys).agg(F.least(F.ceil(F.count("*") / task_points), F.lit(256)).cast("long").alias("cuts"))
     points = points.join(sizes, keys)
     for axis in ("x", "y"):
         points = points.withColumn(f"{axis}b", F.least(F.floor(F.col(axis) * F.col("cuts")), F.col("cuts") - 1))
@@ -301,7 +309,7 @@ def panel_covariance(panel: DataFrame, width: int) -> DataFrame:
         m.filter("i > 0")
         .join(means.withColumnsRenamed({"k": "i", "t": "ti"}), "i")
         .join(means.withColumnsRenamed({"k": "j", "t": "tj"}), "j")
-        .join(F.broadcast(n), F.lit(True))
+        .withColumn("n", n.scalar())
         .select(
             (F.col("i") - 1).alias("i"), (F.col("j") - 1).alias("j"), (F.col("s") - F.col("ti") * F.col("tj") / F.col("n")).alias("scatter"),
             (F.col("ti") / F.col("n")).alias("mean_i"),

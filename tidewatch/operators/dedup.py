@@ -48,9 +48,8 @@ def deduplicated(events: DataFrame, by_uid: bool) -> DataFrame:
     kept = retain_first(events, by_uid)
     if not by_uid:
         return kept
-    # a one-row flag: the aggregate over no rows still returns one
-    flag = conflicting_uids(events).agg((F.count("*") > 0).alias("invalid"))
-    return kept.join(F.broadcast(flag), ~F.col("invalid")).drop("invalid")
+    conflicts = conflicting_uids(events).agg(F.count("*")).scalar()
+    return kept.filter(conflicts == 0)
 
 
 def accounting(events: DataFrame, by_uid: bool) -> DataFrame:
@@ -74,17 +73,12 @@ def accounting(events: DataFrame, by_uid: bool) -> DataFrame:
         "at", F.struct("ts_seconds", "original_order")
     )
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"first_{c}")) for c in columns])
-    conflict = copies.filter(~same).agg(F.min("at").alias("conflict_at"))
-    late = copies.filter(F.col("at") != F.col("first_at")).join(F.broadcast(conflict), F.lit(True))
-    before = late.agg(
-        F.coalesce(F.count_if(F.col("conflict_at").isNull() | (F.col("at") < F.col("conflict_at"))), F.lit(0)).alias("duplicates")
-    )
-    return (
-        kept.join(F.broadcast(before), F.lit(True))
-        .join(F.broadcast(conflict), F.lit(True))
-        .select(
-            F.when(F.col("conflict_at").isNotNull(), "Invalid").otherwise("READY").alias("state"),
-            F.when(F.col("conflict_at").isNotNull(), F.lit(0)).otherwise(F.col("retained")).cast("long").alias("retained"),
-            F.col("duplicates").cast("long").alias("duplicates"),
-        )
+    conflict = copies.filter(~same).agg(F.min("at")).scalar()
+    late = copies.filter(F.col("at") != F.col("first_at")).withColumn("conflict_at", conflict)
+    before = late.agg(F.count_if(F.col("conflict_at").isNull() | (F.col("at") < F.col("conflict_at")))).scalar()
+    judged = kept.withColumn("invalid", conflict.isNotNull()).withColumn("duplicates", F.coalesce(before, F.lit(0)))
+    return judged.select(
+        F.when(F.col("invalid"), "Invalid").otherwise("READY").alias("state"),
+        F.when(F.col("invalid"), F.lit(0)).otherwise(F.col("retained")).cast("long").alias("retained"),
+        F.col("duplicates").cast("long").alias("duplicates"),
     )

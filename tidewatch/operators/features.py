@@ -83,8 +83,8 @@ def dense_grid(dense: DataFrame, clients: DataFrame, interval: DataFrame, bucket
         (F.col("end_epoch") - F.col("start_epoch") + 1).alias("epochs"),
         F.explode(F.sequence("start_epoch", "end_epoch")).alias("epoch"),
     )
-    ids = clients.agg(F.array_sort(F.collect_set("client_id")).alias("ids"))  # selected clients only
-    grid = span.join(F.broadcast(ids), F.lit(True)).select(
+    ids = clients.agg(F.array_sort(F.collect_set("client_id"))).scalar()  # selected clients only
+    grid = span.withColumn("ids", ids).select(
         F.explode("ids").alias("client_id"), "epoch", (F.col("epoch") - F.col("start_epoch")).alias("pos"), "epochs"
     )
     zeros = F.array_repeat(F.lit(0).cast("long"), buckets)

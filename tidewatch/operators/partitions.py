@@ -72,11 +72,11 @@ def stress_windows(epoch_totals: DataFrame, length: int, stride: int, top_fracti
     sums, and the cut is found on distinct sums, so nothing is ordered in a single task.
     """
     ran = prefix.running_sums(epoch_totals, [], ["epoch"], prefix.time_chunk("epoch"), {"cum": "total"})
-    bounds = epoch_totals.agg(F.min("epoch").alias("first"), F.max("epoch").alias("last"))
+    first = epoch_totals.agg(F.min("epoch")).scalar()
     before = ran.select((F.col("epoch") + length).alias("epoch"), F.col("cum").alias("cum_before"))
     sums = (
         ran.join(before, "epoch", "left")
-        .join(F.broadcast(bounds), F.lit(True))
+        .withColumn("first", first)
         .select(
             (F.col("epoch") - (length - 1)).alias("start_epoch"),
             F.col("epoch").alias("end_epoch"),

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import arrays, prefix
 from tidewatch.functions.basis import design, design_and_tensor, design_size, tensor
+from tidewatch.session import spread
 
 PARTIAL_SCHEMA = (
     "coalition_id string, ord int, cell int, fold int, n long, factor array<double>, "
@@ -136,12 +137,13 @@ def fit_projections(
     ``folded`` has ``coalition_id, ord, cell, fold, pos, r``. Only ranks move in the shuffle;
     designs are built in the tasks.
     """
+    chunks = folded.select("coalition_id", "ord", "cell", "fold", "r", prefix.time_chunk("pos").alias("chunk"))
     partial = (
-        folded.select("coalition_id", "ord", "cell", "fold", "r", prefix.time_chunk("pos").alias("chunk"))
+        spread(chunks, "coalition_id", "chunk")
         .groupBy("coalition_id", "chunk")
         .applyInPandas(_partial(size), PARTIAL_SCHEMA)
     )
-    return partial.groupBy("coalition_id").applyInPandas(_fit(size, candidates, folds, tie, cutoff), FIT_SCHEMA)
+    return spread(partial, "coalition_id").groupBy("coalition_id").applyInPandas(_fit(size, candidates, folds, tie, cutoff), FIT_SCHEMA)
 
 
 def residual(r: Column, coef: Column, size: int) -> Column:

@@ -35,6 +35,11 @@ def _packed(differences: DataFrame, unit: str) -> DataFrame:
     return differences.agg(pairs.alias("p")).select(F.col("p.d").alias("d"), F.size("p").alias("n"))
 
 
+def _beside(rows: DataFrame, one: DataFrame) -> DataFrame:
+    """Attach the columns of a one-row frame as a scalar subquery."""
+    return rows.withColumn("_o", one.select(F.struct(*one.columns)).scalar()).select(*rows.columns, "_o.*")
+
+
 def _mean(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
 
@@ -47,7 +52,7 @@ def sign_flip_means(differences: DataFrame, unit: str, units: int, exact_limit:
     exact = 2**units <= exact_limit
     count = 2**units if exact else exact_limit
     index = differences.sparkSession.range(count).withColumnRenamed("id", "pattern")
-    rows = index.join(F.broadcast(_packed(differences, unit)), F.lit(True))
+    rows = _beside(index, _packed(differences, unit))
     if exact:
         bit = lambda j: F.pmod(F.floor(F.col("pattern") / F.pow(F.lit(2.0), j)), F.lit(2))
     else:
@@ -86,7 +91,7 @@ def hodges_lehmann(differences: DataFrame, unit: str) -> DataFrame:
 def resample_means(differences: DataFrame, unit: str, replicates: int, seed: int) -> DataFrame:
     """Bootstrap means; draw ``k`` of replicate ``b`` picks a unit by hash, so reruns agree."""
     index = differences.sparkSession.range(replicates).withColumnRenamed("id", "replicate")
-    rows = index.join(F.broadcast(_packed(differences, unit)), F.lit(True))
+    rows = _beside(index, _packed(differences, unit))
     draw = lambda k: F.get(
         F.col("d"),
         F.floor(text.hash_uniform(F.concat_ws(":", F.lit(seed), F.col("replicate"), k)) * F.col("n")).cast("int"),
@@ -136,12 +141,12 @@ def bca_interval(means: DataFrame, differences: DataFrame, unit: str, confidence
         F.min("estimate").alias("lo"),
         F.max("estimate").alias("hi"),
     )
-    base = summary.join(F.broadcast(acceleration), F.lit(True)).withColumn("confidence", F.lit(confidence))
+    base = summary.withColumn("acceleration", acceleration.scalar()).withColumn("confidence", F.lit(confidence))
     schema = StructType([*base.schema.fields, StructField("low", DoubleType()), StructField("high", DoubleType())])
     levels = base.mapInPandas(_bca_levels, schema)
     # quantiles at computed levels: linear interpolation on the ordered replicates
     ordered = means.agg(F.array_sort(F.collect_list("estimate")).alias("e"))
-    rows = levels.join(F.broadcast(ordered), F.lit(True))
+    rows = _beside(levels, ordered)
 
     def at(q: str) -> Column:
         h = F.col(q) * (F.size("e") - 1)
@@ -168,7 +173,7 @@ def hierarchical_bootstrap(cells: DataFrame, replicates: int, seed: int) -> Data
         F.array_sort(F.collect_set("campaign")).alias("campaigns"), F.array_sort(F.collect_set("seed")).alias("seeds")
     )
     index = cells.sparkSession.range(replicates).withColumnRenamed("id", "replicate")
-    base = index.join(F.broadcast(listed), F.lit(True))
+    base = _beside(index, listed)
 
     def drawn(tag: str, column: str) -> DataFrame:
         picks = F.transform(

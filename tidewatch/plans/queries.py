@@ -122,7 +122,7 @@ def source_schema_state(w: Workload) -> DataFrame:
     parts = []
     for layout, frame in (("flow", w.raw_flows()), ("event", w.table("events"))):
         state = flows.schema_state(frame, P.FLOW_REQUIRED).withColumn("layout", F.lit(layout))
-        parts.append(state.join(F.broadcast(frame.agg(F.count("*").alias("records"))), F.lit(True)))
+        parts.append(state.withColumn("records", frame.agg(F.count("*")).scalar()))
     return parts[0].unionByName(parts[1])
 
 

@@ -217,9 +217,8 @@ class Workload:
     def panel(self, dropout: float = 0.0) -> DataFrame:
         rows = self.ranks()
         up = coalitions.availability_dropout(F.col("client_id"), F.col("epoch"), 7, dropout) if dropout else F.lit(True)
-        meta = rows.select("stream", "epoch", "partition", "part_pos", "part_size").distinct()
-        panel = coalitions.epoch_panel(rows.withColumn("available", up), self.client_ids(), ["stream"], self.p.outside_lag)
-        return panel.join(meta, ["stream", "epoch"])
+        carry = ("partition", "part_pos", "part_size")
+        return coalitions.epoch_panel(rows.withColumn("available", up), self.client_ids(), ["stream"], self.p.outside_lag, carry)
 
     def coalition_rows(self, variant: str = "exact", max_order: int | None = None, dropout: float = 0.0) -> DataFrame:
         """Active coalition epochs with marginal ranks ``u`` and context histogram ``hist``."""

@@ -44,6 +44,15 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:8]}"
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition into the configured number of shuffle partitions.
+
+    Adaptive execution sizes partitions by bytes. Where few bytes fan out into many rows or feed
+    heavy Python work, that leaves a handful of tasks; an explicit count is kept as it is.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` as a parquet stage and read it back: lineage ends at the table."""
     spark = df.sparkSession

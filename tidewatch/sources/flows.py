@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewatch import params as P
 from tidewatch.functions import timing
+from tidewatch.session import spread
 
 BOM = "﻿"
 
@@ -80,42 +82,38 @@ def map_columns(frame: DataFrame, documented: dict[str, str]) -> DataFrame:
 def _open(uri: str):
     """Byte stream of a listed path, local or on any file system pyarrow knows."""
     if uri.startswith("file:"):
-        return open(f"/{uri.removeprefix('file:').lstrip('/')}", "rb")
-    from urllib.parse import quote
-
+        return open(f"/{unquote(uri).removeprefix('file:').lstrip('/')}", "rb")
     from pyarrow import fs
 
-    store, location = fs.FileSystem.from_uri(quote(uri, safe=":/@?=&"))
+    store, location = fs.FileSystem.from_uri(uri)
     return store.open_input_stream(location)
 
 
 def _hash_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        digests = []
+        digests, sizes = [], []
         for uri in batch["path"]:
-            digest = hashlib.sha256()
+            digest, size = hashlib.sha256(), 0
             with _open(uri) as stream:
                 while block := stream.read(1 << 20):
                     digest.update(block)
+                    size += len(block)
             digests.append(digest.hexdigest())
-        yield batch.assign(sha256=digests)[["path", "sha256", "bytes"]]
+            sizes.append(size)
+        yield pd.DataFrame({"path": batch["path"].map(unquote), "sha256": digests, "bytes": sizes})
 
 
 def file_inventory(spark: SparkSession, folder: str, name_filter: str = "*") -> DataFrame:
-    """Path, SHA-256 and size of every file below a folder.
+    """Path, SHA-256 and size of every file below a folder, empty ones included.
 
-    The scan lists files without their content, and each task streams its files in one-megabyte
-    blocks, so a file of any size needs constant memory.
+    Only names come from the file index. Each task streams its files in one-megabyte blocks, so a
+    file of any size needs constant memory.
     """
     listed = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", name_filter)
-        .load(folder)
-        .select("path", F.col("length").alias("bytes"))
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", name_filter).load(folder)
     )
-    spread = listed.repartition("path")
-    return spread.mapInPandas(_hash_files, "path string, sha256 string, bytes long")
+    names = spark.createDataFrame([(p,) for p in listed.inputFiles()], "path string")
+    return spread(names, "path").mapInPandas(_hash_files, "path string, sha256 string, bytes long")
 
 
 def write_table(frame: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
