@@ -71,20 +71,22 @@ def row_positions(df: DataFrame, keys: list[str], order: str, width: int = CHUNK
 
 
 def midrank_table(
-    reference: DataFrame, queries: DataFrame, keys: list[str], value: str, bucket: Column, weight: str | None = None
+    reference: DataFrame, queries: DataFrame, keys: list[str], value: str, bucket: Column
 ) -> DataFrame:
-    """Midrank of every distinct query value within the reference of its key.
+    """Midrank of every distinct query value within the reference of its key."""
+    both = reference.select(*keys, value, F.lit(1).cast("long").alias("w")).unionByName(
+        queries.select(*keys, value, F.lit(0).cast("long").alias("w"))
+    )
+    return weighted_midranks(both, keys, value, "w", bucket)
+
 
-    ``(less + equal / 2 + 1 / 2) / (n + 1)``. Both sides shrink to distinct values with map-side
-    combining before anything is ordered. Keys without reference rows give a null rank.
+def weighted_midranks(rows: DataFrame, keys: list[str], value: str, weight: str, bucket: Column) -> DataFrame:
+    """``(less + equal / 2 + 1 / 2) / (n + 1)`` per distinct value, counting rows by ``weight``.
+
+    Reference rows weigh one, rows that only ask weigh zero. Rows shrink to distinct values with
+    map-side combining before anything is ordered. Keys without reference rows give a null rank.
     """
-    ref_weight = F.lit(1).cast("long") if weight is None else F.col(weight)
-    counts = (
-        reference.select(*keys, value, ref_weight.alias("_eq"))
-        .unionByName(queries.select(*keys, value, F.lit(0).cast("long").alias("_eq")))
-        .groupBy(*keys, value)
-        .agg(F.sum("_eq").alias("_eq"))
-    )
+    counts = rows.groupBy(*keys, value).agg(F.sum(weight).alias("_eq"))
     ran = running_sums(counts, keys, [value], bucket, {"_le": "_eq"}, whole=True)
     less = F.col("_le") - F.col("_eq")
     rank = (less + F.col("_eq") * 0.5 + 0.5) / (F.col("_le_all") + 1)

@@ -12,9 +12,18 @@ from pyspark.sql.types import StringType
 from tidewatch import params as P
 
 
+def _may_be_blank(char: Column) -> Column:
+    code = F.ascii(char)
+    return (code <= 32) | (code > 126)
+
+
 def strip(col: Column) -> Column:
-    """Trim every Unicode blank; Spark's own trim removes the space character only."""
-    return F.regexp_replace(col, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    """Trim every Unicode blank; Spark's own trim removes the space character only.
+
+    Text whose first and last characters are plain ASCII, nearly all of it, skips the pattern.
+    """
+    edges = _may_be_blank(F.substring(col, 1, 1)) | _may_be_blank(F.substring(col, -1, 1))
+    return F.when(edges, F.regexp_replace(col, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")).otherwise(col)
 
 
 @F.pandas_udf(StringType())

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tidewatch.functions.text import strip
 
 _OFFSET = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}(:?\d{2})?)$"
-_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"  # Java also reads '1d' or '0x1p3' as numbers
 
 
 def epoch_index(seconds: Column, epoch_seconds: int) -> Column:
@@ -22,7 +21,9 @@ def finite(col: Column) -> Column:
 def number_seconds(text: Column) -> Column:
     raw = strip(text)
     value = raw.try_cast("double")
-    return F.when(raw.rlike(_NUMBER) & finite(value), value)
+    # Java also reads '1d' and '0x1p3' as numbers; a plain number ends in a digit or a point
+    plain = F.ascii(F.substring(raw, -1, 1)).between(46, 57) & (F.instr(F.lower(raw), "x") == 0)
+    return F.when(plain & finite(value), value)
 
 
 def timestamp_seconds(text: Column) -> Column:

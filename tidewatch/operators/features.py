@@ -11,18 +11,23 @@ from tidewatch.functions import arrays, text, timing
 def bucket_counts(events: DataFrame, epoch_seconds: int, buckets: int) -> DataFrame:
     """Sparse counts per client, epoch and hash bucket (``n`` all records, ``n_benign`` benign).
 
-    This is the only shuffle over raw events; map-side combining shrinks a busy client to its
-    epochs and buckets before anything moves.
+    Raw events are combined map-side per (client, epoch, type), so a busy client shrinks to its
+    epochs and types before anything moves, and each type is hashed per group, not per event.
     """
-    return (
+    typed = (
         events.select(
             "client_id",
             timing.epoch_index(F.col("ts_seconds"), epoch_seconds).alias("epoch"),
-            text.hash_bucket(F.col("event_type"), buckets).alias("bucket"),
+            "event_type",
             (F.col("gt_class") == "benign").cast("long").alias("b"),
         )
+        .groupBy("client_id", "epoch", "event_type")
+        .agg(F.count("*").alias("n"), F.sum("b").alias("b"))
+    )
+    return (
+        typed.withColumn("bucket", text.hash_bucket(F.col("event_type"), buckets))
         .groupBy("client_id", "epoch", "bucket")
-        .agg(F.count("*").alias("n"), F.sum("b").alias("n_benign"))
+        .agg(F.sum("n").alias("n"), F.sum("b").alias("n_benign"))
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions import prefix
@@ -17,18 +17,15 @@ def marginal_ranks(scores: DataFrame, reference: DataFrame, epsilon: float) -> D
     ).drop("midrank")
 
 
-def conditional_rank_table(reference: DataFrame, queries: DataFrame) -> DataFrame:
+def conditional_rank_table(rows: DataFrame, is_reference: Column) -> DataFrame:
     """Midranks of marginal ranks inside (coalition, cell, member slot).
 
-    Both inputs have ``coalition_id, cell, u`` (``u`` = marginal ranks of the members). Only
-    distinct values are ordered. Ranks lie in [0, 1], so equal-width buckets spread them.
+    ``rows`` has ``coalition_id, cell, u`` (``u`` = marginal ranks of the members); the rows that
+    satisfy ``is_reference`` are counted, all are ranked, in one pass. Ranks lie in [0, 1], so
+    equal-width buckets spread them.
     """
-    keys = ["coalition_id", "cell", "slot"]
-    ref, asked = (
-        d.select("coalition_id", "cell", F.posexplode("u").alias("slot", "value")) for d in (reference, queries)
-    )
-    counted = ref.groupBy(*keys, "value").agg(F.count("*").alias("w"))
-    return prefix.midrank_table(counted, asked.distinct(), keys, "value", prefix.unit_bucket("value", 16), "w")
+    long = rows.select("coalition_id", "cell", is_reference.cast("long").alias("w"), F.posexplode("u").alias("slot", "value"))
+    return prefix.weighted_midranks(long, ["coalition_id", "cell", "slot"], "value", "w", prefix.unit_bucket("value", 16))
 
 
 def conditional_ranks(rows: DataFrame, table: DataFrame, max_order: int, epsilon: float) -> DataFrame:

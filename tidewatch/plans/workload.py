@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.functions import text, timing
+from tidewatch.functions import timing
 from tidewatch.operators import (
     campaigns, clean, clients, coalitions, comparators, contexts, evidence, features, partitions, policy,
     projection, ranks, sequential,
@@ -263,8 +263,11 @@ class Workload:
 
         return self.stage("cells", build)
 
+    def _is_nuisance(self) -> Column:
+        return (F.col("stream") == "benign") & (F.col("partition") == PARTITIONS[1])
+
     def nuisance(self) -> DataFrame:
-        return self.cells().filter((F.col("stream") == "benign") & (F.col("partition") == PARTITIONS[1]))
+        return self.cells().filter(self._is_nuisance())
 
     def support(self) -> DataFrame:
         return self.stage("support", lambda: contexts.cell_support(self.nuisance(), self.p.support_minima))
@@ -275,8 +278,8 @@ class Workload:
         def build() -> DataFrame:
             ok = self.support().filter("supported").select("coalition_id", "cell")
             rows = self.cells().join(ok, ["coalition_id", "cell"], "left_semi")
-            reference = self.nuisance().join(ok, ["coalition_id", "cell"], "left_semi")
-            table = ranks.conditional_rank_table(reference, rows)
+            # read once per member slot, so it is a table of its own: distinct values, not rows
+            table = self.stage("conditional-rank-table", lambda: ranks.conditional_rank_table(rows, self._is_nuisance()))
             return ranks.conditional_ranks(rows, table, self.p.maximum_order, self.p.rank_epsilon)
 
         return self.stage("conditional", build)
@@ -447,6 +450,3 @@ class Workload:
         return comparators.common_calibration(
             rows, reference, [], value, p.norm_quantile, p.scale_floor, p.norm_floor, p.clip_bound, p.bet
         )
-
-
-__all__ = ["METHODS", "Workload", "forget_stages", "text"]
