@@ -101,63 +101,63 @@ def training_hash(dataset: Column, order: Column, members: Column, epoch: Column
     return F.substring(F.sha2(body, 256), 1, 16)
 
 
-def capped_rows(rows: DataFrame, seed: int, cap: int) -> DataFrame:
+def capped_rows(rows: DataFrame, seed: int, cap: int, by: tuple[str, ...] = ("ord",)) -> DataFrame:
     """Training rows per order in hash order with position ``pos``; at most ``cap`` of each order.
 
-    ``rows`` has ``dataset, ord, members, epoch``. The hash is uniform, so its first digits cut
+    ``rows`` has ``dataset, ord, members, epoch``; ``by`` names the keys of one clustering. The hash is uniform, so its first digits cut
     the rows into equal chunks and no order is ever sorted in one task.
     """
     hashed = rows.withColumn(
         "row_hash", training_hash(F.col("dataset"), F.col("ord"), F.col("members"), F.col("epoch"), seed)
     ).withColumn("_one", F.lit(1).cast("long"))
     chunk = F.conv(F.substring("row_hash", 1, 3), 16, 10).cast("long")
-    ran = prefix.running_sums(hashed, ["ord"], ["row_hash", "members", "epoch"], chunk, {"pos": "_one"})
+    ran = prefix.running_sums(hashed, list(by), ["row_hash", "members", "epoch"], chunk, {"pos": "_one"})
     return ran.withColumn("pos", F.col("pos") - 1).drop("_one").filter(F.col("pos") < cap)
 
 
-def assign_cells(rows: DataFrame, centroids: DataFrame, tolerance: float) -> DataFrame:
+def assign_cells(rows: DataFrame, centroids: DataFrame, tolerance: float, by: tuple[str, ...] = ("ord",)) -> DataFrame:
     """Nearest centroid of the row's order. ``centroids`` (ord, cells) has one row per order."""
     return (
-        rows.join(F.broadcast(centroids), "ord")
+        rows.join(F.broadcast(centroids), list(by))
         .withColumn("cell", arrays.nearest(F.col("hist"), F.col("cells"), tolerance))
         .drop("cells")
     )
 
 
-def seed_centroids(capped: DataFrame, cells: int) -> DataFrame:
+def seed_centroids(capped: DataFrame, cells: int, by: tuple[str, ...] = ("ord",)) -> DataFrame:
     """First distinct histograms in hash order, as (ord, cells): a start without random numbers.
 
     Spark limits each group to ``cells`` rows before the shuffle (window group limit).
     """
-    first = capped.groupBy("ord", "hist").agg(F.min("pos").alias("pos"))
-    ranked = first.withColumn("_i", F.row_number().over(Window.partitionBy("ord").orderBy("pos")))
-    top = ranked.filter(F.col("_i") <= cells).groupBy("ord").agg(
+    first = capped.groupBy(*by, "hist").agg(F.min("pos").alias("pos"))
+    ranked = first.withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy("pos")))
+    top = ranked.filter(F.col("_i") <= cells).groupBy(*by).agg(
         F.array_sort(F.collect_list(F.struct("pos", "hist"))).alias("s")
     )
-    return top.select("ord", F.col("s.hist").alias("cells"))
+    return top.select(*by, F.col("s.hist").alias("cells"))
 
 
-def lloyd_step(weighted: DataFrame, centroids: DataFrame, tolerance: float) -> DataFrame:
+def lloyd_step(weighted: DataFrame, centroids: DataFrame, tolerance: float, by: tuple[str, ...] = ("ord",)) -> DataFrame:
     """Mean update of (ord, hist, w) rows; an empty cell keeps its centroid. Returns (ord, cells)."""
-    assigned = assign_cells(weighted, centroids, tolerance)
-    long = assigned.select("ord", "cell", "w", F.posexplode("hist").alias("bin", "mass"))
+    assigned = assign_cells(weighted, centroids, tolerance, by)
+    long = assigned.select(*by, "cell", "w", F.posexplode("hist").alias("bin", "mass"))
     means = (
-        long.groupBy("ord", "cell", "bin")
+        long.groupBy(*by, "cell", "bin")
         .agg((F.sum(F.col("mass") * F.col("w")) / F.sum("w")).alias("mean"))
-        .groupBy("ord", "cell")
+        .groupBy(*by, "cell")
         .agg(F.array_sort(F.collect_list(F.struct("bin", "mean"))).alias("b"))
-        .select("ord", "cell", F.col("b.mean").alias("mean"))
+        .select(*by, "cell", F.col("b.mean").alias("mean"))
     )
-    packed = means.groupBy("ord").agg(F.map_from_entries(F.collect_list(F.struct("cell", "mean"))).alias("m"))
+    packed = means.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("cell", "mean"))).alias("m"))
     return (
-        centroids.join(packed, "ord", "left")
-        .select("ord", F.transform("cells", lambda c, i: F.coalesce(F.element_at("m", i), c)).alias("cells"))
+        centroids.join(packed, list(by), "left")
+        .select(*by, F.transform("cells", lambda c, i: F.coalesce(F.element_at("m", i), c)).alias("cells"))
     )
 
 
-def weigh(capped: DataFrame) -> DataFrame:
+def weigh(capped: DataFrame, by: tuple[str, ...] = ("ord",)) -> DataFrame:
     """Equal histograms act alike, so they are counted once with a weight."""
-    return capped.groupBy("ord", "hist").agg(F.count("*").alias("w"))
+    return capped.groupBy(*by, "hist").agg(F.count("*").alias("w"))
 
 
 def fit_centroids(

@@ -9,10 +9,10 @@ from tidewatch.functions import prefix
 from tidewatch.functions.arrays import clip
 
 
-def marginal_ranks(scores: DataFrame, reference: DataFrame, epsilon: float) -> DataFrame:
+def marginal_ranks(scores: DataFrame, reference: DataFrame, epsilon: float, keys: tuple[str, ...] = ("client_id",)) -> DataFrame:
     """Clipped midrank ``rank`` of every score within its client's reference scores."""
-    table = prefix.midrank_table(reference, scores, ["client_id"], "score", prefix.magnitude_bucket("score"))
-    return scores.join(table, ["client_id", "score"]).withColumn(
+    table = prefix.midrank_table(reference, scores, list(keys), "score", prefix.magnitude_bucket("score"))
+    return scores.join(table, [*keys, "score"]).withColumn(
         "rank", clip(F.col("midrank"), epsilon, 1.0 - epsilon)
     ).drop("midrank")
 

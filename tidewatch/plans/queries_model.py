@@ -118,6 +118,13 @@ def innovation_standardized(w: Workload) -> DataFrame:
     )
 
 
+@query()
+def innovation_cross_fitted_chain(w: Workload) -> DataFrame:
+    """Every fitted step redone without the held fold: moments of its innovations per coalition."""
+    z = w.cross_fitted(check=True).withColumn("x", F.get("z", F.lit(0)))
+    return z.groupBy("coalition_id").agg(F.count("*").alias("rows"), r6(F.avg("x")).alias("mu"), r6(F.stddev_samp("x")).alias("sd"))
+
+
 @query()
 def innovation_full_calibration(w: Workload) -> DataFrame:
     """Penalty, condition and norm reference of the full fit (all orders, full basis)."""

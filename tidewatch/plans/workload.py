@@ -32,6 +32,8 @@ def forget_stages() -> None:
 class Workload:
     def __init__(self, spark: SparkSession, folder: str, params: WorkloadParams | None = None):
         self.spark, self.folder, self.p = spark, folder, params or WorkloadParams()
+        # event tables hold UTC wall times without a zone; any other session zone would shift epochs
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
 
     # -- helpers --------------------------------------------------------------------------------
 
@@ -410,6 +412,67 @@ class Workload:
         stops = sequential.global_stops(self.campaign_states(check), ["method", "checksum"], self.p.thresholds)
         return stops.join(self.thresholds(check).select("method", "threshold"), ["method", "threshold"])
 
+    # -- cross-fitting of the whole chain --------------------------------------------------------
+
+    def cross_fitted(self, check: bool = False) -> DataFrame:
+        """Innovations of nuisance epochs from a chain that never saw their fold.
+
+        The nuisance split is cut into contiguous folds. For each held fold, marginal ranks,
+        centroids, conditional ranks and the projection are fitted on the other folds only. The
+        held fold is a key column (``folds`` copies of the nuisance epochs), so one plan serves all.
+        """
+        p = self.p
+        size, order, candidates = self._size(check)
+        by = ("held", "ord")
+
+        def ranks_of() -> DataFrame:
+            n, pos = F.col("part_size"), F.col("part_pos")
+            own = projection.fold_of(pos, n, p.folds)
+            every = F.explode(F.sequence(F.lit(0), F.lit(p.folds - 1))).alias("held")
+            rows = self.benign(PARTITIONS[1]).select("client_id", "epoch", "score", own.alias("own"), every)
+            return ranks.marginal_ranks(rows, rows.filter("own <> held"), p.rank_epsilon, ("held", "client_id"))
+
+        def cells_of() -> DataFrame:
+            rows = self.stage("crossfit-ranks", ranks_of).withColumn("available", F.lit(True))
+            panel = coalitions.epoch_panel(rows, self.client_ids(), ["held"], p.outside_lag, ("own",))
+            binned = contexts.federation_bins(panel, p.histogram_bins)
+            keys = ["held", "own", "_bins", "_counts", "_n"]
+            wide = coalitions.coalition_epochs(binned, keys, self.client_ids(), order, p.outside_minimum, p.outside_fraction)
+            hist = contexts.exact_histogram(F.col("idx"), F.col("_bins"), F.col("_counts"), F.col("avail"), F.col("_n"))
+            rows = wide.filter("active").select("held", "own", "coalition_id", "ord", "epoch", "u", hist.alias("hist"))
+            rows = self.stage(f"crossfit-rows-{check}", lambda: rows)
+            train = rows.filter("own <> held").select(
+                "held", F.lit(p.dataset).alias("dataset"), "ord", F.split("coalition_id", r"\|").alias("members"), "epoch", "hist"
+            )
+            capped = self.stage(f"crossfit-capped-{check}", lambda: contexts.capped_rows(train, p.context_seed, p.kmeans_rows, by))
+            start = contexts.seed_centroids(capped, p.cells, by)
+            centroids = contexts.lloyd_step(contexts.weigh(capped, by), start, p.tie_tolerance, by)
+            found = contexts.assign_cells(rows, centroids, p.tie_tolerance, by)
+            # a variant of a coalition is a coalition of its own from here on
+            name = F.concat_ws("#", F.col("held").cast("string"), "coalition_id")
+            return found.withColumn("coalition_id", name).drop("hist")
+
+        def build() -> DataFrame:
+            rows = self.stage(f"crossfit-cells-{check}", cells_of)
+            train = F.col("own") != F.col("held")
+            ok = contexts.cell_support(rows.filter(train), p.support_minima).filter("supported").select("coalition_id", "cell")
+            rows = rows.join(ok, ["coalition_id", "cell"], "left_semi")
+            table = self.stage(f"crossfit-table-{check}", lambda: ranks.conditional_rank_table(rows, train))
+            ranked = self.stage(
+                f"crossfit-ranked-{check}", lambda: ranks.conditional_ranks(rows, table, order, p.rank_epsilon)
+            )
+            folded = projection.with_folds(ranked.filter(train).select("coalition_id", "ord", "cell", "epoch", "r"), p.folds)
+            fits = projection.fit_projections(folded, size, candidates, p.folds, p.tie_tolerance, p.svd_cutoff)
+            final = fits.filter(F.col("fold") == projection.COMPLETE).select("coalition_id", "cell", "coef")
+            held = ranked.filter(~train).join(final, ["coalition_id", "cell"])
+            parts = F.split("coalition_id", "#")
+            return held.select(
+                F.get(parts, F.lit(1)).alias("coalition_id"), "ord", "cell", F.col("held").alias("fold"), "epoch",
+                projection.residual(F.col("r"), F.col("coef"), size).alias("z"),
+            )
+
+        return self.stage(f"cross-fitted-{check}", build)
+
     # -- local policies -------------------------------------------------------------------------
 
     def policy_thresholds(self) -> DataFrame:
