@@ -271,10 +271,70 @@ SELECT checksum, min(pos) AS local_stop FROM (SELECT s.client_id, a.checksum, a.
     ("outcomes", """
 SELECT g.method, g.checksum, g.stop, l.local_stop, CASE WHEN g.stop < l.local_stop THEN 1 ELSE 0 END AS indicator,
   CASE WHEN g.stop IS NULL THEN 0 ELSE 1 END AS detected FROM camp_stops g LEFT JOIN camp_local l USING (checksum)"""),
+    # the chain again without the held fold, orders one and two
+    ("x_scores", """
+SELECT client_id, epoch, score, mine, held FROM (
+  SELECT client_id, epoch, score, ntile(5) OVER (PARTITION BY client_id ORDER BY epoch) - 1 AS mine FROM scores WHERE stream = 'benign' AND partition = 'nuisance_fit'),
+  (SELECT unnest(range(0, 5)) AS held)"""),
+    ("x_ranks", """
+SELECT s.held, s.mine, s.client_id, s.epoch, least(greatest(m.r, 1e-12), 1 - 1e-12) AS rank FROM x_scores s JOIN (
+  SELECT q.held, q.client_id, q.score, (count(*) FILTER (r.score < q.score) + 0.5 * count(*) FILTER (r.score = q.score) + 0.5) / (count(*) + 1) AS r
+  FROM (SELECT DISTINCT held, client_id, score FROM x_scores) q JOIN (SELECT * FROM x_scores WHERE mine <> held) r USING (held, client_id) GROUP BY ALL) m
+USING (held, client_id, score)"""),
+    ("x_lagged", """
+SELECT held, epoch + 1 AS epoch, client_id, least(CAST(floor(rank * 8) AS INT), 7) AS b FROM x_ranks"""),
+    ("x_fed", """
+SELECT a.held, a.epoch, list(a.c ORDER BY a.b) AS counts FROM (
+  SELECT e.held, e.epoch, k.b, count(l.client_id) AS c FROM (SELECT DISTINCT held, epoch FROM x_ranks) e CROSS JOIN (SELECT unnest(range(0, 8)) AS b) k
+  LEFT JOIN x_lagged l ON l.held = e.held AND l.epoch = e.epoch AND l.b = k.b GROUP BY ALL) a GROUP BY ALL"""),
+    ("x_hists", """
+SELECT c.* EXCLUDE (bs), list_transform(range(0, 8), lambda k: (f.counts[k + 1] - len(list_filter(coalesce(c.bs, []), lambda x: x = k))) / CAST(12 - c.ord AS DOUBLE)) AS hist
+FROM (SELECT m.coalition_id, m.ord, r.held, r.mine, r.epoch, list(r.rank ORDER BY m.slot) AS u, list(l.b) FILTER (l.b IS NOT NULL) AS bs
+  FROM member_slots m JOIN x_ranks r USING (client_id) LEFT JOIN x_lagged l USING (held, epoch, client_id) WHERE m.ord <= 2 GROUP BY ALL) c JOIN x_fed f USING (held, epoch)"""),
+    ("x_capped", """
+SELECT *, row_number() OVER (PARTITION BY held, ord ORDER BY row_hash, members, epoch) - 1 AS pos FROM (
+  SELECT held, ord, members, epoch, hist, substr(sha256('{"coalition_client_ids":["' || array_to_string(members, '","') || '"],"coalition_order":' || ord
+    || ',"context_seed":4100,"dataset":"network","epoch_index":' || epoch || '}'), 1, 16) AS row_hash
+  FROM x_hists JOIN coalitions USING (coalition_id, ord) WHERE mine <> held)"""),
+    ("x_seeds", """
+SELECT held, ord, max(hist) FILTER (i = 1) AS c0, max(hist) FILTER (i = 2) AS c1 FROM (
+  SELECT held, ord, hist, row_number() OVER (PARTITION BY held, ord ORDER BY min(pos)) AS i FROM x_capped GROUP BY held, ord, hist) WHERE i <= 2 GROUP BY 1, 2"""),
+    ("x_centroids", """
+SELECT held, ord, list(m ORDER BY bin) FILTER (cell = 0) AS c0, list(m ORDER BY bin) FILTER (cell = 1) AS c1 FROM (SELECT held, ord, cell, bin, avg(mass) AS m FROM (
+  SELECT held, ord, CASE WHEN list_distance(hist, c0) - least(list_distance(hist, c0), list_distance(hist, c1)) <= 1e-12 THEN 0 ELSE 1 END AS cell,
+    unnest(hist) AS mass, unnest(range(0, 8)) AS bin FROM x_capped JOIN x_seeds USING (held, ord)) GROUP BY ALL) GROUP BY 1, 2"""),
+    ("x_cells", """
+SELECT h.*, CASE WHEN list_distance(hist, c0) - least(list_distance(hist, c0), list_distance(hist, c1)) <= 1e-12 THEN 0 ELSE 1 END AS cell FROM x_hists h JOIN x_centroids USING (held, ord)"""),
+    ("x_slots", """
+SELECT held, mine, coalition_id, ord, cell, epoch, unnest(u) AS value, unnest(range(0, ord)) AS slot FROM x_cells JOIN (
+  SELECT held, coalition_id, cell FROM (SELECT held, coalition_id, ord, cell, count(*) AS n FROM x_cells WHERE mine <> held GROUP BY ALL) WHERE n >= CASE ord WHEN 1 THEN 10 ELSE 15 END)
+USING (held, coalition_id, cell)"""),
+    ("x_conditional", """
+SELECT s.held, s.mine, s.coalition_id, s.ord, s.cell, s.epoch, list(k.r ORDER BY s.slot) AS r FROM x_slots s JOIN (
+  SELECT q.held, q.coalition_id, q.cell, q.slot, q.value, least(greatest((count(*) FILTER (r.value < q.value) + 0.5 * count(*) FILTER (r.value = q.value) + 0.5) / (count(*) + 1), 1e-12), 1 - 1e-12) AS r
+  FROM (SELECT DISTINCT held, coalition_id, cell, slot, value FROM x_slots) q JOIN (SELECT * FROM x_slots WHERE mine <> held) r USING (held, coalition_id, cell, slot) GROUP BY ALL) k
+USING (held, coalition_id, cell, slot, value) GROUP BY ALL"""),
+    ("x_points", """
+SELECT held, mine, coalition_id, ord, cell, epoch, CASE WHEN ord = 2 THEN sqrt(3) * (2 * r[1] - 1) ELSE 0 END AS x1, CASE WHEN ord = 2 THEN sqrt(3) * (2 * r[2] - 1) ELSE 0 END AS x2,
+  CASE WHEN ord = 2 THEN 3 * (2 * r[1] - 1) * (2 * r[2] - 1) ELSE sqrt(3) * (2 * r[1] - 1) END AS y FROM x_conditional"""),
+    ("x_train", """
+SELECT *, ntile(5) OVER (PARTITION BY held, coalition_id, cell ORDER BY epoch) - 1 AS fold FROM x_points WHERE mine <> held"""),
+    ("x_slopes", """
+SELECT *, (sy - b1 * s1 - b2 * s2) / n AS b0 FROM (
+  SELECT *, ((c22 + l) * c1y - c12 * c2y) / ((c11 + l) * (c22 + l) - c12 * c12) AS b1, ((c11 + l) * c2y - c12 * c1y) / ((c11 + l) * (c22 + l) - c12 * c12) AS b2
+  FROM (SELECT *, s11 - s1 * s1 / n AS c11, s12 - s1 * s2 / n AS c12, s22 - s2 * s2 / n AS c22, s1y - s1 * sy / n AS c1y, s2y - s2 * sy / n AS c2y FROM (
+    SELECT g.held, g.coalition_id, g.cell, k.fold, count(*) AS n, sum(x1) AS s1, sum(x2) AS s2, sum(y) AS sy, sum(x1 * x1) AS s11, sum(x1 * x2) AS s12, sum(x2 * x2) AS s22,
+      sum(x1 * y) AS s1y, sum(x2 * y) AS s2y FROM x_train g, (SELECT unnest(range(-1, 5)) AS fold) k WHERE g.fold <> k.fold GROUP BY ALL), (VALUES (0.1), (1.0), (10.0), (100.0)) v(l)))"""),
+    ("x_chosen", """
+SELECT held, coalition_id, cell, max(l) AS l FROM (SELECT *, min(mse) OVER (PARTITION BY held, coalition_id, cell) AS best FROM (
+  SELECT held, coalition_id, cell, l, avg(power(y - b0 - b1 * x1 - b2 * x2, 2)) AS mse FROM x_train JOIN x_slopes USING (held, coalition_id, cell, fold) GROUP BY ALL)) WHERE mse <= best + 1e-12 GROUP BY 1, 2, 3"""),
+    ("x_innovations", """
+SELECT p.coalition_id, p.ord, p.cell, p.held, p.epoch, y - b0 - b1 * x1 - b2 * x2 AS z FROM x_points p JOIN (SELECT * FROM x_slopes WHERE fold = -1) USING (held, coalition_id, cell)
+JOIN x_chosen USING (held, coalition_id, cell, l) WHERE p.mine = p.held"""),
 ]
 
 # steps that are read often are kept by the engine instead of being recomputed
-_KEEP = {"grid", "scores", "ranks", "hists", "cells", "conditional", "fit_points", "slopes", "evidence", "horizon_states", "capped"}
+_KEEP = {"grid", "scores", "ranks", "hists", "cells", "conditional", "fit_points", "slopes", "evidence", "horizon_states", "capped", "x_scores", "x_ranks", "x_hists", "x_cells", "x_slots", "x_train", "x_slopes"}
 
 
 def chain(upto: str, final: str) -> str:
