@@ -304,3 +304,53 @@ def test_holm_and_claims(spark):
     assert one(spark, statistics.claim_state(F.lit(None).cast("double"), F.lit(0.2), F.lit(True))) == "NOT_TESTED"
     assert one(spark, statistics.claim_state(F.lit(0.3), F.lit(0.2), F.lit(False))) == "NOT_TESTED"
     assert one(spark, statistics.equivalent(F.lit(-0.5), F.lit(0.5), -1.0, 1.0))
+
+
+def test_vine_and_binned_scores_against_numpy(spark):
+    from statistics import NormalDist
+
+    rng = np.random.default_rng(21)
+    z = rng.multivariate_normal([0, 0, 0], [[1, 0.5, 0.3], [0.5, 1, 0.4], [0.3, 0.4, 1]], 90)
+    u = np.argsort(np.argsort(z, axis=0), axis=0) / 91 + 0.5 / 91
+    frame = spark.createDataFrame([("a|b|c", 0, i, r.tolist()) for i, r in enumerate(u)], "coalition_id string, cell int, epoch long, r array<double>")
+    got = {r["epoch"]: r["vine"] for r in comparators.vine_scores(frame, frame, 1e-12).collect()}
+    nd = NormalDist()
+    q = np.vectorize(nd.inv_cdf)
+
+    def rho(a, b):
+        n = len(a)
+        s = sum(np.sign(a[i] - a[j]) * np.sign(b[i] - b[j]) for i in range(n) for j in range(i))
+        return math.sin(math.pi / 2 * s / (n * (n - 1) / 2))
+
+    def h(a, b, r):
+        return np.vectorize(nd.cdf)((q(a) - r * q(b)) / math.sqrt(1 - r * r))
+
+    h1, h3 = h(u[:, 0], u[:, 1], rho(u[:, 0], u[:, 1])), h(u[:, 2], u[:, 1], rho(u[:, 1], u[:, 2]))
+    p = rho(h1, h3)
+    a, b = q(h1), q(h3)
+    want = np.abs(-0.5 * math.log(1 - p * p) - (p * p * (a * a + b * b) - 2 * p * a * b) / (2 * (1 - p * p)))
+    np.testing.assert_allclose([got[i] for i in range(90)], want, atol=1e-8)
+    tables = comparators.triple_tables(frame, 4, 0.5, 10_000, 1e-10)
+    dense = np.zeros((4, 4, 4))
+    bins = np.minimum((u * 4).astype(int), 3)
+    np.add.at(dense, tuple(bins.T), 1)
+    full = (dense + 0.5) / (dense + 0.5).sum()
+    rows = {(r["b1"], r["b2"], r["b3"]): r for r in tables.collect()}
+    assert len(rows) == 64 and all(abs(rows[k]["p_full"] - full[k]) < 1e-12 for k in rows)
+    scored = {r["epoch"]: r for r in comparators.binned_scores(frame, tables, 4, 1e-12).collect()}
+    for i in range(90):
+        k = tuple(bins[i])
+        assert abs(scored[i]["connected_information"] - math.log(full[k] / rows[k]["p_pair"])) < 1e-9
+        assert abs(scored[i]["log_linear"] + math.log(rows[k]["p_pair"])) < 1e-9
+
+
+def test_results_do_not_depend_on_row_order(spark):
+    rng = random.Random(4)
+    data = [("k", rng.choice([0.1, 0.2, 0.2, rng.random()]), i) for i in range(200)]
+    outs = []
+    for seed in (1, 2):
+        shuffled = random.Random(seed).sample(data, len(data))
+        frame = spark.createDataFrame(shuffled, "k string, v double, i long").repartition(seed + 2)
+        table = prefix.midrank_table(frame, frame, ["k"], "v", prefix.unit_bucket("v"))
+        outs.append(sorted((r["v"], r["midrank"]) for r in table.collect()))
+    assert outs[0] == outs[1]

@@ -116,9 +116,12 @@ def capped_rows(rows: DataFrame, seed: int, cap: int, by: tuple[str, ...] = ("or
 
 
 def assign_cells(rows: DataFrame, centroids: DataFrame, tolerance: float, by: tuple[str, ...] = ("ord",)) -> DataFrame:
-    """Nearest centroid of the row's order. ``centroids`` (ord, cells) has one row per order."""
+    """Nearest centroid of the row's order. ``centroids`` (ord, cells) has one row per order.
+
+    Pass a written table: Spark then knows its size and never shuffles rows by so few keys.
+    """
     return (
-        rows.join(F.broadcast(centroids), list(by))
+        rows.join(centroids, list(by))
         .withColumn("cell", arrays.nearest(F.col("hist"), F.col("cells"), tolerance))
         .drop("cells")
     )
@@ -185,7 +188,7 @@ def fit_centroids(
         if not pairs:
             return {}
         ask = stage.sparkSession.createDataFrame(pairs, "ord int, pos long")
-        found = stage.join(F.broadcast(ask), ["ord", "pos"]).collect()
+        found = stage.join(ask, ["ord", "pos"]).collect()
         return {(r["ord"], r["pos"]): np.array(r["hist"]) for r in found}
 
     rows = rows_at(wanted)
@@ -201,7 +204,7 @@ def fit_centroids(
         )
         bins = len(next(iter(state.values()))[0])
         got = (
-            weighted.join(F.broadcast(table), "ord")
+            weighted.join(table, "ord")
             .withColumn("cell", arrays.nearest(F.col("hist"), F.col("cells"), tie))
             .groupBy("ord", "restart", "cell")
             .agg(

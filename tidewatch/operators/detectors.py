@@ -143,6 +143,11 @@ def rbf_frequencies(dimension: int, count: int, seed: int) -> tuple[list[list[fl
     return rng.standard_normal((count, dimension)).round(6).tolist(), (rng.random(count) * 2 * math.pi).round(6).tolist()
 
 
+def _by_client(stats: DataFrame, value: str):
+    """Per-client values as one scalar map: its size is the number of selected clients."""
+    return stats.agg(F.map_from_entries(F.collect_list(F.struct("client_id", value)))).scalar()
+
+
 def rbf_scores(rows: DataFrame, fit: DataFrame, dimension: int, count: int, seed: int) -> DataFrame:
     """One minus the mean RBF similarity to the client's fit rows (width ``1 / (d * var)``).
 
@@ -156,7 +161,7 @@ def rbf_scores(rows: DataFrame, fit: DataFrame, dimension: int, count: int, seed
     )
 
     def mapped(d: DataFrame) -> DataFrame:
-        joined = d.join(F.broadcast(gamma), "client_id")  # one row per selected client
+        joined = d.withColumn("gamma", F.element_at(_by_client(gamma, "gamma"), F.col("client_id")))
         scale = F.sqrt(F.lit(2.0) * F.col("gamma"))
         w = F.array(*[F.array(*[F.lit(v) for v in f]) for f in frequencies])
         b = F.array(*[F.lit(p) for p in phases])
@@ -166,7 +171,7 @@ def rbf_scores(rows: DataFrame, fit: DataFrame, dimension: int, count: int, seed
     centre = mapped(fit).groupBy("client_id").agg(
         F.array(*[F.avg(F.get("_z", F.lit(i))) for i in range(count)]).alias("_c")
     )
-    scored = mapped(rows).join(F.broadcast(centre), "client_id")
+    scored = mapped(rows).withColumn("_c", F.element_at(_by_client(centre, "_c"), F.col("client_id")))
     return scored.withColumn("score", F.lit(1.0) - arrays.dot(F.col("_z"), F.col("_c"))).drop("_z", "_c")
 
 

@@ -131,7 +131,7 @@ def scaler_arrays(scaler: DataFrame) -> DataFrame:
 
 def apply_scaler(rows: DataFrame, scaler: DataFrame, floor: float) -> DataFrame:
     """``(x - median) / max(iqr, floor)``; the scaler has one row per selected client."""
-    joined = rows.join(F.broadcast(scaler_arrays(scaler)), "client_id")
+    joined = rows.join(scaler_arrays(scaler), "client_id")
     centred = F.zip_with("features", "medians", lambda x, m: x - m)
     scaled = F.zip_with(centred, F.col("iqrs"), lambda x, q: x / F.greatest(q, F.lit(floor)))
     return joined.withColumn("scaled", scaled).drop("medians", "iqrs")

@@ -66,7 +66,7 @@ def choose_policy(counts: DataFrame, confidence: float, target: float) -> DataFr
 
 def policy_stops(rows: DataFrame, policies: DataFrame, keys: list[str], pos: str, choices: tuple[tuple[int, int], ...]) -> DataFrame:
     """Stops of the chosen policies; there is one policy per selected client."""
-    joined = rows.join(F.broadcast(policies.select("client_id", "threshold", F.col("m").alias("_m"), F.col("n").alias("_n"))), "client_id")
+    joined = rows.join(policies.select("client_id", "threshold", F.col("m").alias("_m"), F.col("n").alias("_n")), "client_id")
     held = joined.filter(F.col("threshold").isNotNull())
     stops = local_stops(held.select(*rows.columns, "threshold", "_m", "_n"), [*keys, "_m", "_n"], pos, choices)
     return stops.filter((F.col("m") == F.col("_m")) & (F.col("n") == F.col("_n"))).drop("_m", "_n")

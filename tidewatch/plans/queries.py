@@ -532,7 +532,7 @@ def policy_false_stops(w: Workload) -> DataFrame:
 )
 def policy_first_stops(w: Workload) -> DataFrame:
     """First stop of every candidate policy in each held-out horizon that has one."""
-    rows = w.horizons(w.scores(), HELDOUT).join(F.broadcast(w.policy_thresholds()), "client_id")
+    rows = w.horizons(w.scores(), HELDOUT).join(w.policy_thresholds(), "client_id")
     stops = policy.local_stops(rows, ["client_id", "q_index", "horizon_id"], "h_pos", w.p.persistence)
     return (
         stops.filter("stop IS NOT NULL")

@@ -90,12 +90,12 @@ def projection_condition(w: Workload) -> DataFrame:
     return rows.select("coalition_id", n64("cell").alias("cell"), F.round("condition", 4).alias("condition"))
 
 
-@query("SELECT coalition_id, stream, count(*) AS rows, round(sum(z), 5) AS z_sum, round(sum(z * z), 5) AS z_squares FROM atoms GROUP BY ALL", "atoms")
+@query("SELECT coalition_id, stream, count(*) AS rows, round(sum(z), 5) AS z_sum, round(sqrt(sum(z * z)), 6) AS z_norm FROM atoms GROUP BY ALL", "atoms")
 def projection_residuals(w: Workload) -> DataFrame:
     rows = w.conditional().filter("ord <= 2").join(w.calibrated(True).select("coalition_id", "cell", "coef"), ["coalition_id", "cell"])
     z = rows.withColumn("z", F.get(projection.residual(F.col("r"), F.col("coef"), w.p.check_basis), F.lit(0)))
     return z.groupBy("coalition_id", "stream").agg(
-        F.count("*").alias("rows"), F.round(F.sum("z"), 5).alias("z_sum"), F.round(F.sum(F.col("z") * F.col("z")), 5).alias("z_squares")
+        F.count("*").alias("rows"), F.round(F.sum("z"), 5).alias("z_sum"), r6(F.sqrt(F.sum(F.col("z") * F.col("z")))).alias("z_norm")
     )
 
 
@@ -119,14 +119,14 @@ def innovation_standardized(w: Workload) -> DataFrame:
 
 
 @query(
-    "SELECT coalition_id, CAST(held AS BIGINT) AS fold, CAST(cell AS BIGINT) AS cell, count(*) AS rows, round(sum(z), 5) AS z_sum, round(sum(z * z), 5) AS z_squares FROM x_innovations GROUP BY ALL",
+    "SELECT coalition_id, CAST(held AS BIGINT) AS fold, CAST(cell AS BIGINT) AS cell, count(*) AS rows, round(sum(z), 5) AS z_sum, round(sqrt(sum(z * z)), 6) AS z_norm FROM x_innovations GROUP BY ALL",
     "x_innovations",
 )
 def innovation_cross_fitted_chain(w: Workload) -> DataFrame:
     """Every fitted step redone without the held fold: sums of its innovations."""
     z = w.cross_fitted(check=True).withColumn("x", F.get("z", F.lit(0)))
     return z.groupBy("coalition_id", n64("fold").alias("fold"), n64("cell").alias("cell")).agg(
-        F.count("*").alias("rows"), F.round(F.sum("x"), 5).alias("z_sum"), F.round(F.sum(F.col("x") * F.col("x")), 5).alias("z_squares")
+        F.count("*").alias("rows"), F.round(F.sum("x"), 5).alias("z_sum"), r6(F.sqrt(F.sum(F.col("x") * F.col("x")))).alias("z_norm")
     )
 
 

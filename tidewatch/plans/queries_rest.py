@@ -509,7 +509,7 @@ def stream_online_ranks(w: Workload) -> DataFrame:
     """Streaming values ranked against the fixed binned reference of their client."""
     score = F.least(F.col("value") / 600, F.lit(1.0))
     history = w.table("events").select(w.site().alias("client_id"), score.alias("score"))
-    reference = jobs.reference_bins(history, 32)
+    reference = w.stage("stream-reference", lambda: jobs.reference_bins(history, 32))
     out = jobs.drain(jobs.online_ranks(_stream(w).withColumn("score", score), reference, 32), "stream-ranks")
     return out.groupBy("client_id").agg(F.count("*").alias("events"), F.round(F.sum("rank"), 5).alias("rank_sum"))
 

@@ -196,7 +196,7 @@ class Workload:
     # -- campaigns ------------------------------------------------------------------------------
 
     def epoch_labels(self) -> DataFrame:
-        joined = self.labelled().join(F.broadcast(self.selected().select("client_id")), "client_id", "left_semi")
+        joined = self.labelled().join(self.selected().select("client_id"), "client_id", "left_semi")
         return self.stage("epoch-labels", lambda: clean.epoch_labels(joined, self.p.epoch_seconds))
 
     def epoch_runs(self) -> DataFrame:
@@ -446,7 +446,10 @@ class Workload:
             )
             capped = self.stage(f"crossfit-capped-{check}", lambda: contexts.capped_rows(train, p.context_seed, p.kmeans_rows, by))
             start = contexts.seed_centroids(capped, p.cells, by)
-            centroids = contexts.lloyd_step(contexts.weigh(capped, by), start, p.tie_tolerance, by)
+            centroids = self.stage(
+                f"crossfit-centroids-{check}",
+                lambda: contexts.lloyd_step(contexts.weigh(capped, by), start, p.tie_tolerance, by),
+            )
             found = contexts.assign_cells(rows, centroids, p.tie_tolerance, by)
             # a variant of a coalition is a coalition of its own from here on
             name = F.concat_ws("#", F.col("held").cast("string"), "coalition_id")
@@ -481,7 +484,7 @@ class Workload:
         )
 
     def policy_counts(self, partition: str) -> DataFrame:
-        rows = self.horizons(self.scores(), partition).join(F.broadcast(self.policy_thresholds()), "client_id")
+        rows = self.horizons(self.scores(), partition).join(self.policy_thresholds(), "client_id")
         stops = policy.local_stops(rows, ["client_id", "q_index", "horizon_id"], "h_pos", self.p.persistence)
         distinct = stops.select("client_id", "threshold", "m", "n", "horizon_id", "stop").distinct()
         return policy.false_stops(distinct)

@@ -68,7 +68,7 @@ def reference_bins(reference: DataFrame, bins: int) -> DataFrame:
 
 def online_ranks(stream: DataFrame, reference: DataFrame, bins: int) -> DataFrame:
     """Midrank of streaming scores against a fixed binned reference (a stream-static join)."""
-    joined = stream.join(F.broadcast(reference), "client_id")
+    joined = stream.join(reference, "client_id")
     b = histogram_bin(F.col("score"), bins)
     less = F.aggregate(F.slice("counts", 1, b), F.lit(0).cast("long"), lambda a, x: a + x)
     rank = (less + F.get("counts", b) * 0.5 + 0.5) / (F.col("n") + 1)
