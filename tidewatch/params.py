@@ -89,6 +89,25 @@ class Params:
     stress_fraction: float = 0.01
     stress_factors: tuple[float, ...] = (1.25, 1.5, 2.0)
     dataset: str = "network"
+    isolation_trees: int = 300
+    isolation_cap: int = 256
+    rbf_features: int = 512
+    encoder_passes: int = 50
+    encoder_rate: float = 0.001
+    encoder_batch: int = 128
+    federated_rounds: int = 50
+    federated_passes: int = 1
+    table_bins: int = 4
+    pseudocount: float = 0.5
+    ipf_iterations: int = 10_000
+    ipf_tolerance: float = 1e-8
+    probability_floor: float = 1e-12
+    factor_ranks: tuple[int, ...] = (1, 2, 3)
+    factor_target: float = 0.8
+    factor_fallback: int = 3
+    bootstrap_replicates: int = 10_000
+    exact_flip_limit: int = 100_000
+    statistics_seed: int = 3000
 
 
 @dataclass(frozen=True)
@@ -107,6 +126,14 @@ class WorkloadParams(Params):
     basis_size: int = 2
     support_minima: tuple[int, int, int] = (10, 15, 20)
     pfa_target: float = 0.3
+    isolation_trees: int = 20
+    isolation_cap: int = 64
+    rbf_features: int = 16
+    encoder_passes: int = 20
+    encoder_batch: int = 32
+    federated_rounds: int = 3
+    ipf_tolerance: float = 1e-12
+    bootstrap_replicates: int = 2000
     thresholds: tuple[float, ...] = (1.2, 1.4, 1.6, 1.8, 2.0, 2.1, 2.2, 2.3, 2.5, 3.0)
     material_evidence: float = 0.9
     policy_quantiles: tuple[float, ...] = (0.9, 0.95, 0.99)

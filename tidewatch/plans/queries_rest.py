@@ -47,7 +47,7 @@ def comparator_lancaster(w: Workload) -> DataFrame:
 
 
 def _tables(w: Workload) -> DataFrame:
-    return w.stage("triple-tables", lambda: comparators.triple_tables(w.conditional_nuisance(), 4, 0.5, 10_000, 1e-12))
+    return w.stage("triple-tables", lambda: comparators.triple_tables(w.conditional_nuisance(), w.p.table_bins, w.p.pseudocount, w.p.ipf_iterations, w.p.ipf_tolerance))
 
 
 _TABLE = """, bins AS (SELECT coalition_id, cell, list_transform(r, lambda u: least(CAST(floor(u * 4) AS BIGINT), 3)) AS b FROM conditional WHERE ord = 3 AND stream = 'benign' AND partition = 'nuisance_fit'),
@@ -94,13 +94,13 @@ def comparator_pair_maxent_margins(w: Workload) -> DataFrame:
 
 @query()
 def comparator_connected_information(w: Workload) -> DataFrame:
-    scored = comparators.binned_scores(w.conditional(), _tables(w), 4, 1e-12)
+    scored = comparators.binned_scores(w.conditional(), _tables(w), w.p.table_bins, w.p.probability_floor)
     return scored.groupBy("coalition_id", "stream").agg(F.count("*").alias("rows"), r6(F.avg("connected_information")).alias("score"))
 
 
 @query()
 def comparator_log_linear(w: Workload) -> DataFrame:
-    scored = comparators.binned_scores(w.conditional(), _tables(w), 4, 1e-12)
+    scored = comparators.binned_scores(w.conditional(), _tables(w), w.p.table_bins, w.p.probability_floor)
     return scored.groupBy("coalition_id", "stream").agg(F.count("*").alias("rows"), r6(F.avg("log_linear")).alias("score"))
 
 
@@ -167,7 +167,7 @@ def comparator_covariance(w: Workload) -> DataFrame:
 def comparator_factor_residual(w: Workload) -> DataFrame:
     panel = w.panel()
     nuisance = panel.filter((F.col("stream") == "benign") & (F.col("partition") == NUISANCE))
-    out = comparators.factor_residuals(panel, nuisance, len(w.client_ids()), 0.8, 3, (1, 2, 3))
+    out = comparators.factor_residuals(panel, nuisance, len(w.client_ids()), w.p.factor_target, w.p.factor_fallback, w.p.factor_ranks)
     return out.select("stream", "epoch", r6("factor_residual").alias("factor_residual"), "factor_rank")
 
 
@@ -249,7 +249,7 @@ def statistic_paired_differences(w: Workload) -> DataFrame:
 
 @query(_SEEDS + "SELECT CAST(k AS BIGINT) AS pattern, round(sum(CASE WHEN (k >> i) & 1 = 1 THEN -d ELSE d END) / 10, 6) AS flipped FROM diffs, (SELECT unnest(range(0, 1024)) AS k) GROUP BY k")
 def statistic_sign_flips(w: Workload) -> DataFrame:
-    flips = statistics.sign_flip_means(_differences(w), "seed", 10, 100_000, 3000)
+    flips = statistics.sign_flip_means(_differences(w), "seed", 10, w.p.exact_flip_limit, w.p.statistics_seed)
     return flips.select("pattern", r6("flipped").alias("flipped"))
 
 
@@ -258,14 +258,14 @@ def statistic_sign_flips(w: Workload) -> DataFrame:
 SELECT count(*) AS patterns, round(count(*) FILTER (f >= o - 1e-12) / count(*), 6) AS p_greater, round(count(*) FILTER (f <= o + 1e-12) / count(*), 6) AS p_less, round(count(*) FILTER (abs(f) >= abs(o) - 1e-12) / count(*), 6) AS p_two_sided FROM flips, o"""
 )
 def statistic_sign_flip_p(w: Workload) -> DataFrame:
-    p = statistics.sign_flip_p(statistics.sign_flip_means(_differences(w), "seed", 10, 100_000, 3000))
+    p = statistics.sign_flip_p(statistics.sign_flip_means(_differences(w), "seed", 10, w.p.exact_flip_limit, w.p.statistics_seed))
     return p.select("patterns", *[r6(c).alias(c) for c in ("p_greater", "p_less", "p_two_sided")])
 
 
 @query()
 def statistic_sign_flip_sampled(w: Workload) -> DataFrame:
     """Simulated patterns when the exact family does not fit."""
-    return statistics.sign_flip_p(statistics.sign_flip_means(_differences(w), "seed", 10, 1000, 3000))
+    return statistics.sign_flip_p(statistics.sign_flip_means(_differences(w), "seed", 10, 1000, w.p.statistics_seed))
 
 
 @query(_SEEDS + "SELECT round(median((a.d + b.d) / 2), 6) AS shift FROM diffs a JOIN diffs b ON a.i <= b.i")
@@ -278,13 +278,13 @@ def statistic_hodges_lehmann(w: Workload) -> DataFrame:
   SELECT b, k, CAST(floor(('0x' || substr(sha256('3000:' || b || ':' || k), 1, 8))::UBIGINT / 4294967296.0 * 10) AS BIGINT) AS i FROM (SELECT unnest(range(0, 2000)) AS b), (SELECT unnest(range(0, 10)) AS k)) JOIN diffs USING (i) GROUP BY b"""
 )
 def statistic_bootstrap_means(w: Workload) -> DataFrame:
-    return statistics.resample_means(_differences(w), "seed", 2000, 3000).select("replicate", r6("estimate").alias("estimate"))
+    return statistics.resample_means(_differences(w), "seed", w.p.bootstrap_replicates, w.p.statistics_seed).select("replicate", r6("estimate").alias("estimate"))
 
 
 @query()
 def statistic_bca_interval(w: Workload) -> DataFrame:
     d = _differences(w)
-    out = statistics.bca_interval(statistics.resample_means(d, "seed", 2000, 3000), d, "seed", 0.95)
+    out = statistics.bca_interval(statistics.resample_means(d, "seed", w.p.bootstrap_replicates, w.p.statistics_seed), d, "seed", 0.95)
     return out.select(r6("estimate").alias("estimate"), r6("lower").alias("lower"), r6("upper").alias("upper"), "state").withColumn(
         "equivalent", statistics.equivalent(F.col("lower"), F.col("upper"), -5.0, 5.0)
     )
@@ -410,8 +410,8 @@ def _detector_rows(w: Workload) -> tuple[DataFrame, DataFrame, int]:
 @query()
 def detector_isolation_forest(w: Workload) -> DataFrame:
     rows, fit, _ = _detector_rows(w)
-    trees = w.stage("trees", lambda: detectors.isolation_trees(detectors.tree_samples(fit, 20, 64, 5), 5))
-    out = detectors.isolation_scores(rows, trees, len(w.client_ids()), 20, 64)
+    trees = w.stage("trees", lambda: detectors.isolation_trees(detectors.tree_samples(fit, w.p.isolation_trees, w.p.isolation_cap, 5), 5))
+    out = detectors.isolation_scores(rows, trees, len(w.client_ids()), w.p.isolation_trees, w.p.isolation_cap)
     return out.groupBy("stream", "client_id").agg(F.count("*").alias("epochs"), r6(F.avg("score")).alias("mean_score"), r6(F.max("score")).alias("max_score"))
 
 
@@ -430,14 +430,14 @@ SELECT stream, client_id, epoch, round(1 - sum(z * c), 6) AS score FROM z JOIN c
 @query(_rbf_sql(), "scores")
 def detector_rbf(w: Workload) -> DataFrame:
     rows, fit, dimension = _detector_rows(w)
-    out = detectors.rbf_scores(rows, fit, dimension, 16, 77)
+    out = detectors.rbf_scores(rows, fit, dimension, w.p.rbf_features, 77)
     return out.select("stream", "client_id", "epoch", r6("score").alias("score"))
 
 
 @query()
 def detector_autoencoder(w: Workload) -> DataFrame:
     rows, fit, dimension = _detector_rows(w)
-    models = w.stage("autoencoders", lambda: detectors.train_autoencoders(fit, dimension, 20, 0.001, 32, 3))
+    models = w.stage("autoencoders", lambda: detectors.train_autoencoders(fit, dimension, w.p.encoder_passes, w.p.encoder_rate, w.p.encoder_batch, 3))
     out = detectors.reconstruction_scores(rows, models, dimension)
     return out.groupBy("stream", "client_id").agg(F.count("*").alias("epochs"), F.round(F.avg("score"), 4).alias("mean_score"))
 
@@ -445,7 +445,7 @@ def detector_autoencoder(w: Workload) -> DataFrame:
 @query()
 def detector_federated_autoencoder(w: Workload) -> DataFrame:
     rows, fit, dimension = _detector_rows(w)
-    shared = detectors.federated_autoencoder(fit, dimension, 3, 1, 0.001, 32, 3)
+    shared = detectors.federated_autoencoder(fit, dimension, w.p.federated_rounds, w.p.federated_passes, w.p.encoder_rate, w.p.encoder_batch, 3)
     out = detectors.federated_scores(rows, shared, dimension)
     return out.groupBy("stream", "client_id").agg(F.count("*").alias("epochs"), F.round(F.avg("score"), 4).alias("mean_score"))
 
