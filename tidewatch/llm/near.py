@@ -6,12 +6,13 @@ MinHash samples: bands of them form buckets, and all samples are folded into an
 every (hash, sample) toggles one bit. The XOR of two sketches keeps the bits of samples that differ, so its
 population count estimates high similarities; pairs far below the threshold go before any text is read.
 
-Links are confirmed on full sets. First each bucket is a star: its members are compared with three centres
-(one per third of the bands, drawn by hash), never all with all. What the stars join are components; only
-buckets that still span several components are compared further, across components alone, so a group of
-thousands of near copies costs its size. Every pair of classes in one bucket ends up either in one component
-or compared, so no link between band mates is lost; a pair at similarity 0.8 shares a bucket but for
-1.3e-7 (30 bands of four hashes).
+Links are confirmed on full sets. First each bucket is a star: its members are compared with its centre, the
+member that meets most band mates, never all with all. What the stars join are components; only buckets that
+still span several components are compared further, across components alone. There a pair (X, Y) is read only
+if its sketches allow the threshold and so does the bound from the centre R whose intersections are known,
+|X n Y| <= min(|X n R|, |Y n R|) + min(|X - R|, |Y - R|). So a group of thousands of near copies costs about
+its size, and every pair of classes in one bucket ends up in one component, ruled out, or compared. A pair at
+similarity 0.8 shares a bucket but for 1.3e-7 (30 bands of four hashes) and passes its sketch but for 1e-6.
 
 Null and empty texts have the empty set and link with nothing. Fewer words than a shingle: the whole sequence
 is one shingle. A null doc_id counts as one largest id, and rows that repeat a doc_id as one document with all
@@ -31,13 +32,11 @@ from tidewatch.llm import words as W
 from tidewatch.llm.common import query, table
 from tidewatch.session import written
 
-BANDS, ROWS = 30, 4
-HASHES = BANDS * ROWS
-#: bits of an odd sketch, as longs; and the most differing bits of a pair at the threshold: 24 of 120 samples
-#: are expected to differ, plus five deviations 46, which toggle 77 bits, plus four deviations
-SKETCH_LONGS, MOST_BITS = 8, 105
+BANDS, ROWS, HASHES = 30, 4, 240
+#: longs of an odd sketch, and the most differing bits of a pair at the threshold: 48 of 240 samples are expected
+#: to differ, deviation 6.2; at five deviations 79 differ and toggle 158 of 1024 bits, 136 of them odd times
+SKETCH_LONGS, MOST_BITS = 16, 140
 THRESHOLD = 80
-CENTRES = 3
 #: pairs of texts that a Python worker holds at once
 PAIR_ROWS = 200
 _NO_ID = np.iinfo(np.int64).max
@@ -124,12 +123,13 @@ def _rows(documents: DataFrame) -> DataFrame:
 def _likely(a: str, b: str):
     """Whether sizes and sketches of two sides allow the threshold."""
     n_a, n_b = F.col(f"{a}.n"), F.col(f"{b}.n")
-    differ = sum((F.bit_count(F.col(f"{a}.s")[i].bitwiseXOR(F.col(f"{b}.s")[i])) for i in range(1, SKETCH_LONGS)), F.bit_count(F.col(f"{a}.s")[0].bitwiseXOR(F.col(f"{b}.s")[0])))
+    bits = [F.bit_count(F.col(f"{a}.s")[i].bitwiseXOR(F.col(f"{b}.s")[i])) for i in range(SKETCH_LONGS)]
+    differ = sum(bits[1:], bits[0])
     return (100 * F.least(n_a, n_b) >= THRESHOLD * F.greatest(n_a, n_b)) & (differ <= MOST_BITS)
 
 
 def confirmed(pairs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold, as a written table."""
+    """Common shingles of each pair (a, b), and whether the full sets reach the threshold, as a written table."""
     spark = pairs.sparkSession
     text_a, text_b = rows.select(F.col("id").alias("a"), F.col("text").alias("text_a")), rows.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
 
@@ -143,17 +143,16 @@ def confirmed(pairs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
                     key, at = shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], words)
                     found += [key[at[i] : at[i + 1]] for i in range(hi - lo)]
                 sides.append(found)
-            good = []
-            for x, y in zip(*sides, strict=True):
-                both = int(W.member(x, y).sum())
-                good.append(both > 0 and 100 * both >= THRESHOLD * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+            both = np.array([W.member(x, y).sum() for x, y in zip(*sides, strict=True)], np.int64)
+            total = np.array([len(x) + len(y) for x, y in zip(*sides, strict=True)], np.int64)
+            linked = (both > 0) & (100 * both >= THRESHOLD * (total - both))
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(both), pa.array(linked)], ["a", "b", "both", "linked"])
 
     limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(limit)
     spark.conf.set(limit, str(PAIR_ROWS))
     try:
-        return written(pairs.join(text_a, "a").join(text_b, "b").select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long"), "links")
+        return written(pairs.join(text_a, "a").join(text_b, "b").select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long, both long, linked boolean"), "compared")
     finally:
         spark.conf.set(limit, before)
 
@@ -181,18 +180,27 @@ def classes(documents: DataFrame, words: int) -> DataFrame:
     described = written(rows.mapInArrow(lambda it: _describe(it, words), _SET), "sets")
     sets = described.filter("n_shingles > 0").groupBy("low", "high").agg(F.min("id").alias("rep"), F.min("n_shingles").alias("n"), F.min("bands").alias("bands"), F.min("sketch").alias("s"))
     sets = written(sets, "classes")
-    members = sets.select("rep", "n", "s", F.posexplode("bands").alias("band", "key"))
-    centre = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", F.col("band") % CENTRES).alias("o"), "rep", "n", "s")).alias("c"), F.count("*").alias("m")).filter("m > 1").select("key", "c.rep", "c.n", "c.s")
-    stars = members.alias("x").join(centre.alias("y"), "key").filter(F.col("x.rep") != F.col("y.rep")).filter(_likely("x", "y"))
-    pair = [F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")]
-    links = confirmed(stars.select(*pair).distinct(), rows, words)
+    members = sets.select("rep", F.posexplode("bands").alias("band", "key")).select("key", "rep")
+    buckets = members.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
+    shared = written(members.join(buckets, "key"), "buckets")
+    met = shared.groupBy("rep").agg(F.sum("m").alias("met"))
+    centre = shared.join(met, "rep").groupBy("key").agg(F.max(F.struct("met", (-F.col("rep")).alias("first"))).alias("c")).select("key", (-F.col("c.first")).alias("centre"))
+    starred = written(shared.join(centre, "key").select("key", "rep", "centre"), "starred")
+    side = sets.select("rep", "n", "s")
+    pairs = starred.filter("rep != centre").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
+    likely = pairs.join(side.select(F.col("rep").alias("a"), F.struct("n", "s").alias("x")), "a").join(side.select(F.col("rep").alias("b"), F.struct("n", "s").alias("y")), "b").filter(_likely("x", "y"))
+    compared = confirmed(likely.select("a", "b"), rows, words)
+    links = compared.filter("linked").select("a", "b")
     found = components(links)
-    labelled = members.join(found, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep")).select("key", "rep", "n", "s", "component")
-    mixed = labelled.join(labelled.groupBy("key").agg(F.min("component").alias("l"), F.max("component").alias("h")).filter("l < h").select("key"), "key")
+    labelled = starred.join(found, F.col("rep") == F.col("node"), "left").select("key", "rep", "centre", F.coalesce("component", "rep").alias("component"))
+    spanning = labelled.groupBy("key").agg(F.min("component").alias("l"), F.max("component").alias("h")).filter("l < h").select("key")
+    mixed = labelled.filter("rep != centre").join(spanning, "key").withColumns({"a": F.least("rep", "centre"), "b": F.greatest("rep", "centre")})
+    mixed = mixed.join(compared, ["a", "b"], "left").join(side, "rep").select("key", "rep", "component", "n", "s", F.coalesce("both", "n").alias("inside"), F.when(F.col("both").isNull(), F.col("n")).otherwise(F.col("n") - F.col("both")).alias("outside"))
     mixed = written(mixed, "mixed")
-    rest = mixed.alias("x").join(mixed.alias("y"), "key").filter((F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component"))).filter(_likely("x", "y"))
-    tried = stars.select(*pair).distinct()
-    more = confirmed(rest.select(*pair).distinct().join(tried, ["a", "b"], "left_anti"), rows, words)
+    most = F.least("x.inside", "y.inside") + F.least("x.outside", "y.outside")
+    rest = mixed.alias("x").join(mixed.alias("y"), "key").filter((F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")))
+    rest = rest.filter(_likely("x", "y") & (100 * most >= THRESHOLD * (F.col("x.n") + F.col("y.n") - most))).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    more = confirmed(rest, rows, words).filter("linked").select("a", "b")
     if more.limit(1).count():
         found = components(links.union(more))
     named = sets.select("low", "high", "rep").join(found, F.col("rep") == F.col("node"), "left").select("low", "high", F.coalesce("component", "rep").alias("component_id"))
