@@ -9,10 +9,11 @@ population count estimates high similarities; pairs far below the threshold go b
 Links are confirmed on full sets. First each bucket is a star: its members are compared with its centre, the
 member that meets most band mates, never all with all. What the stars join are components; only buckets that
 still span several components are compared further, across components alone. There a pair (X, Y) is read only
-if its sketches allow the threshold and so does the bound from the centre R whose intersections are known,
-|X n Y| <= min(|X n R|, |Y n R|) + min(|X - R|, |Y - R|). So a group of thousands of near copies costs about
-its size, and every pair of classes in one bucket ends up in one component, ruled out, or compared. A pair at
-similarity 0.8 shares a bucket but for 1.3e-7 (30 bands of four hashes) and passes its sketch but for 1e-6.
+if its sketches allow the threshold, and if the differences to the centre R do: the members keep bitmaps of
+X - R and R - X, whose common bits bound |X n Y| from above without fail. So a group of thousands of near
+copies costs about its size, and every pair of classes in one bucket ends up in one component, ruled out, or
+compared. A pair at similarity 0.8 shares a bucket but for 1.3e-7 (30 bands of four hashes) and passes its
+sketch but for 1e-6.
 
 Null and empty texts have the empty set and link with nothing. Fewer words than a shingle: the whole sequence
 is one shingle. A null doc_id counts as one largest id, and rows that repeat a doc_id as one document with all
@@ -36,6 +37,8 @@ BANDS, ROWS, HASHES = 30, 4, 240
 #: longs of an odd sketch, and the most differing bits of a pair at the threshold: 48 of 240 samples are expected
 #: to differ, deviation 6.2; at five deviations 79 differ and toggle 158 of 1024 bits, 136 of them odd times
 SKETCH_LONGS, MOST_BITS = 16, 140
+#: longs of the bitmap of what a set has and its bucket's centre has not, and the other way round
+DIFF_LONGS = 8
 THRESHOLD = 80
 #: pairs of texts that a Python worker holds at once
 PAIR_ROWS = 200
@@ -116,6 +119,12 @@ def _describe(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Reco
             )
 
 
+def _bitmap(keys: np.ndarray) -> list[int]:
+    bits = np.zeros(DIFF_LONGS * 64, np.uint8)
+    bits[(keys % np.uint64(len(bits))).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.int64).tolist()
+
+
 def _rows(documents: DataFrame) -> DataFrame:
     return documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
@@ -123,7 +132,7 @@ def _rows(documents: DataFrame) -> DataFrame:
 def _likely(a: str, b: str):
     """Whether sizes and sketches of two sides allow the threshold."""
     n_a, n_b = F.col(f"{a}.n"), F.col(f"{b}.n")
-    bits = [F.bit_count(F.col(f"{a}.s")[i].bitwiseXOR(F.col(f"{b}.s")[i])) for i in range(SKETCH_LONGS)]
+    bits = [F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(SKETCH_LONGS)]
     differ = sum(bits[1:], bits[0])
     return (100 * F.least(n_a, n_b) >= THRESHOLD * F.greatest(n_a, n_b)) & (differ <= MOST_BITS)
 
@@ -146,13 +155,14 @@ def confirmed(pairs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
             both = np.array([W.member(x, y).sum() for x, y in zip(*sides, strict=True)], np.int64)
             total = np.array([len(x) + len(y) for x, y in zip(*sides, strict=True)], np.int64)
             linked = (both > 0) & (100 * both >= THRESHOLD * (total - both))
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(both), pa.array(linked)], ["a", "b", "both", "linked"])
+            only = [pa.array([_bitmap(s[~W.member(s, t)]) for s, t in zip(x, y, strict=True)], pa.list_(pa.int64())) for x, y in (sides, sides[::-1])]
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(both), pa.array(linked), *only], ["a", "b", "both", "linked", "only_a", "only_b"])
 
     limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(limit)
     spark.conf.set(limit, str(PAIR_ROWS))
     try:
-        return written(pairs.join(text_a, "a").join(text_b, "b").select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long, both long, linked boolean"), "compared")
+        return written(pairs.join(text_a, "a").join(text_b, "b").select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long, both long, linked boolean, only_a array<long>, only_b array<long>"), "compared")
     finally:
         spark.conf.set(limit, before)
 
@@ -186,21 +196,38 @@ def classes(documents: DataFrame, words: int) -> DataFrame:
     met = shared.groupBy("rep").agg(F.sum("m").alias("met"))
     centre = shared.join(met, "rep").groupBy("key").agg(F.max(F.struct("met", (-F.col("rep")).alias("first"))).alias("c")).select("key", (-F.col("c.first")).alias("centre"))
     starred = written(shared.join(centre, "key").select("key", "rep", "centre"), "starred")
-    side = sets.select("rep", "n", "s")
+    sketch = [f"s{i}" for i in range(SKETCH_LONGS)]
+    side = sets.select("rep", "n", *(F.col("s")[i].alias(c) for i, c in enumerate(sketch)))
     pairs = starred.filter("rep != centre").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
-    likely = pairs.join(side.select(F.col("rep").alias("a"), F.struct("n", "s").alias("x")), "a").join(side.select(F.col("rep").alias("b"), F.struct("n", "s").alias("y")), "b").filter(_likely("x", "y"))
-    compared = confirmed(likely.select("a", "b"), rows, words)
+
+    def likely(pairs: DataFrame) -> DataFrame:
+        sides = [side.select(F.col("rep").alias(k), F.struct("n", *sketch).alias(v)) for k, v in (("a", "x"), ("b", "y"))]
+        return pairs.join(sides[0], "a").join(sides[1], "b").filter(_likely("x", "y")).select("a", "b")
+
+    compared = confirmed(likely(pairs), rows, words)
     links = compared.filter("linked").select("a", "b")
     found = components(links)
     labelled = starred.join(found, F.col("rep") == F.col("node"), "left").select("key", "rep", "centre", F.coalesce("component", "rep").alias("component"))
     spanning = labelled.groupBy("key").agg(F.min("component").alias("l"), F.max("component").alias("h")).filter("l < h").select("key")
     mixed = labelled.filter("rep != centre").join(spanning, "key").withColumns({"a": F.least("rep", "centre"), "b": F.greatest("rep", "centre")})
-    mixed = mixed.join(compared, ["a", "b"], "left").join(side, "rep").select("key", "rep", "component", "n", "s", F.coalesce("both", "n").alias("inside"), F.when(F.col("both").isNull(), F.col("n")).otherwise(F.col("n") - F.col("both")).alias("outside"))
+    own, lacks = ([F.when(F.col("rep") == F.col("a"), F.col(f"only_{p}")[i]).otherwise(F.col(f"only_{q}")[i]).alias(f"{n}{i}") for i in range(DIFF_LONGS)] for n, p, q in (("own", "a", "b"), ("lack", "b", "a")))
+    sizes = side.select(F.col("rep").alias("centre"), F.col("n").alias("n_centre"))
+    mixed = mixed.join(compared, ["a", "b"], "left").join(side, "rep").join(sizes, "centre").select("key", "rep", "component", "n", "n_centre", "both", *own, *lacks)
+    for name, total in (("own", F.col("n") - F.col("both")), ("lack", F.col("n_centre") - F.col("both"))):
+        # differences beyond one per set bit may be common as well
+        mixed = mixed.withColumn(f"{name}_more", total - sum(F.bit_count(f"{name}{i}") for i in range(1, DIFF_LONGS)) - F.bit_count(f"{name}0"))
     mixed = written(mixed, "mixed")
-    most = F.least("x.inside", "y.inside") + F.least("x.outside", "y.outside")
+
+    def shared_of(name: str):
+        bits = [F.bit_count(F.col(f"x.{name}{i}").bitwiseAND(F.col(f"y.{name}{i}"))) for i in range(DIFF_LONGS)]
+        return sum(bits[1:], bits[0]) + F.least(f"x.{name}_more", f"y.{name}_more")
+
+    most = F.col("x.both") + F.col("y.both") - F.col("x.n_centre") + shared_of("lack") + shared_of("own")
+    allowed = F.coalesce(100 * most >= THRESHOLD * (F.col("x.n") + F.col("y.n") - most), F.lit(True))
     rest = mixed.alias("x").join(mixed.alias("y"), "key").filter((F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")))
-    rest = rest.filter(_likely("x", "y") & (100 * most >= THRESHOLD * (F.col("x.n") + F.col("y.n") - most))).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    more = confirmed(rest, rows, words).filter("linked").select("a", "b")
+    close = 100 * F.least("x.n", "y.n") >= THRESHOLD * F.greatest("x.n", "y.n")
+    rest = rest.filter(close & allowed).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    more = confirmed(likely(rest), rows, words).filter("linked").select("a", "b")
     if more.limit(1).count():
         found = components(links.union(more))
     named = sets.select("low", "high", "rep").join(found, F.col("rep") == F.col("node"), "left").select("low", "high", F.coalesce("component", "rep").alias("component_id"))
