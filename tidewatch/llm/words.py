@@ -23,12 +23,14 @@ _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _NOT_ALNUM = np.zeros(256, bool)
 _NOT_ALNUM[:0x80] = True
 _NOT_ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = False
+_BREAK = np.zeros(256, bool)
+_BREAK[0x0A] = True
 _SAME = np.arange(256, dtype=np.uint8)
 _LOWER = _SAME.copy()
 _LOWER[0x41:0x5B] += 32
 
-#: name -> (separator bytes, byte mapping): words between white space; the same lower-cased; runs of letters and digits lower-cased
-KINDS = {"space": (_SPACE, _SAME), "lower": (_SPACE, _LOWER), "alnum": (_NOT_ALNUM, _LOWER)}
+#: name -> (separator bytes, byte mapping): words between white space; the same lower-cased; runs of letters and digits lower-cased; lines
+KINDS = {"space": (_SPACE, _SAME), "lower": (_SPACE, _LOWER), "alnum": (_NOT_ALNUM, _LOWER), "line": (_BREAK, _SAME)}
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _GRAM = np.uint64(0xD6E8FEB86659FD93)
