@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import decontaminate, near, quality, substring, token_files  # noqa: F401  (operators register their queries)
+from tidewatch.llm import decontaminate, near, quality, substring, token_files, toxicity  # noqa: F401  (operators register their queries)
 from tidewatch.llm.common import QUERIES, SQL
 
 
