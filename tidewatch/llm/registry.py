@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import decontaminate, html_text, near, quality, substring, token_files, toxicity, url_filter  # noqa: F401  (operators register their queries)
+from tidewatch.llm import decontaminate, html_text, multiset_hash, near, quality, substring, token_files, toxicity, url_filter  # noqa: F401  (operators register their queries)
 from tidewatch.llm.common import QUERIES, SQL
 
 
