@@ -30,7 +30,9 @@ from tidewatch.session import fresh_path
 
 BLOCK_IDS, SAMPLE = 1 << 20, 256
 #: bytes of the stored table per partition, and entries of a worker's cache of encoded words
-PARTITION_BYTES, CACHE_ENTRIES = 12 << 20, 300_000
+PARTITION_BYTES, CACHE_ENTRIES = 12 << 20, 800_000
+#: marks that end a piece; after a letter or digit they are split off before anything is merged
+_MARKS = ".,;:!?*&%$#"
 
 _LIST = "low_bits int, low binary, high binary, samples binary"
 SCHEMA = "shard int, block int, before long, n_docs long, n_ids long, id_bytes int, ids binary, n_null long, first_id long, " + ", ".join(f"{p}_{c}" for p in ("end", "doc") for c in _LIST.split(", "))
@@ -92,16 +94,30 @@ class WordCache:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.known: dict[str, bytes] = {}
 
+    @staticmethod
+    def parts(piece: str) -> tuple[str, ...]:
+        """Texts that the vocabulary's splitter and lower-casing treat as this piece, which more pieces share."""
+        core = piece.rstrip(_MARKS)
+        if "'" in piece or "<" in piece or not core or not core[-1].isalnum():
+            return (piece,)
+        low = core.lower() if core.isascii() else core
+        return (low, piece[len(core) :]) if len(core) < len(piece) else (low,)
+
     def encode(self, text: str) -> bytes:
         pieces = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         known = self.known
-        new = [p for p in dict.fromkeys(pieces) if p not in known]
+        new = [p for p in set(pieces) if p not in known]
         if new:
-            if len(known) + len(new) > CACHE_ENTRIES:
+            if len(known) + 3 * len(new) > CACHE_ENTRIES:
                 known.clear()
-                new = list(dict.fromkeys(pieces))
-            for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+                new = list(set(pieces))
+            split = {p: self.parts(p) for p in new}
+            whole = list({x for parts in split.values() for x in parts if x not in known})
+            for p, e in zip(whole, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False), strict=True):
                 known[p] = np.array(e.ids, f"<u{self.width}").tobytes()
+            for p, parts in split.items():
+                if p not in known:
+                    known[p] = b"".join(map(known.__getitem__, parts))
         return b"".join(map(known.__getitem__, pieces))
 
 
