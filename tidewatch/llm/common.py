@@ -45,8 +45,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def groups_for(df: DataFrame, each: int) -> int:
-    """How many groups keep ``each`` bytes of the table apiece, at least one per shuffle partition."""
-    return max(shuffle_partitions(df.sparkSession), math.ceil(bytes_of(df) / each))
+    """How many groups keep ``each`` bytes of the table apiece, at least one per shuffle partition.
+
+    Where the planner knows no size (it then assumes a huge one), the texts are measured.
+    """
+    size = bytes_of(df)
+    if size > 1 << 55:
+        size = df.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    return max(shuffle_partitions(df.sparkSession), math.ceil(size / each))
 
 
 def remainder(doc_id: str, n: int):

@@ -102,8 +102,9 @@ def fit(pages: list[str]) -> dict[str, dict[str, float]]:
                 if base == "article":
                     inside = 1
             elif n := len(what.split()):
+                within = int(bool(inside) and not any(map(_furniture, around)))
                 for s in set(around):
-                    words[inside][s] += n
+                    words[within if s.split(".")[0] != "article" else inside][s] += n
     weigh = lambda counts, k: math.log((counts[1][k] + 0.5) / (counts[0][k] + 0.5))
     return {"words": {k: weigh(words, k) for k in {*words[0], *words[1]}}, "tags": {k: weigh(tags, k) for k in {*tags[0], *tags[1]}}}
 
