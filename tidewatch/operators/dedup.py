@@ -15,17 +15,21 @@ EXACT_KEY = ("client_id", "ts_seconds", "event_type", "payload")
 
 
 def identity_mode(events: DataFrame) -> DataFrame:
-    """One row: how many rows carry a unique identifier. Mixing both kinds is not supported."""
+    """One row: how many rows carry a unique identifier, and whether both kinds occur."""
     return events.agg(
         F.count("uid").alias("with_uid"), F.count("*").alias("records")
     ).withColumn("mixed", (F.col("with_uid") > 0) & (F.col("with_uid") < F.col("records")))
 
 
 def retain_first(events: DataFrame, by_uid: bool, key: tuple[str, ...] = EXACT_KEY) -> DataFrame:
-    keys = ["uid"] if by_uid else list(key)
+    """First copy of each key and the number of its copies.
+
+    ``by_uid``: rows with an identifier are copies by it, rows without one by the exact key among themselves.
+    """
     rest = [c for c in events.columns if c not in ("ts_seconds", "original_order")]
     row = F.struct("ts_seconds", "original_order", *rest)
-    first = events.groupBy(*[F.col(k).alias(f"_g_{k}") for k in keys]).agg(
+    exact = [(F.when(F.col("uid").isNull(), F.col(k)) if by_uid else F.col(k)).alias(f"_g_{k}") for k in key]
+    first = events.groupBy(*([F.col("uid").alias("_g_uid")] if by_uid else []), *exact).agg(
         F.min(row).alias("_first"), F.count("*").alias("copies")
     )
     return first.select(*[F.col(f"_first.{c}").alias(c) for c in events.columns], "copies")
@@ -55,11 +59,13 @@ def deduplicated(events: DataFrame, by_uid: bool) -> DataFrame:
 def accounting(events: DataFrame, by_uid: bool) -> DataFrame:
     """State, retained and duplicate counts.
 
-    For an invalid data set only the copies seen before the first conflict (in chronological
-    order) count as duplicates.
+    For an invalid data set only the copies by identifier seen before the first conflict (in
+    chronological order) count as duplicates.
     """
     kept = retain_first(events, by_uid).agg(
-        F.count("*").alias("retained"), F.coalesce(F.sum("copies"), F.lit(0)).alias("records")
+        F.count("*").alias("retained"),
+        F.coalesce(F.sum("copies"), F.lit(0)).alias("records"),
+        F.coalesce(F.sum(F.when(F.col("uid").isNull(), F.col("copies") - 1)), F.lit(0)).alias("exact_copies"),
     )
     if not by_uid:
         return kept.select(
@@ -76,9 +82,9 @@ def accounting(events: DataFrame, by_uid: bool) -> DataFrame:
     conflict = copies.filter(~same).agg(F.min("at")).scalar()
     late = copies.filter(F.col("at") != F.col("first_at")).withColumn("conflict_at", conflict)
     before = late.agg(F.count_if(F.col("conflict_at").isNull() | (F.col("at") < F.col("conflict_at")))).scalar()
-    judged = kept.withColumn("invalid", conflict.isNotNull()).withColumn("duplicates", F.coalesce(before, F.lit(0)))
+    judged = kept.withColumn("invalid", conflict.isNotNull()).withColumn("by_uid", F.coalesce(before, F.lit(0)))
     return judged.select(
         F.when(F.col("invalid"), "Invalid").otherwise("READY").alias("state"),
         F.when(F.col("invalid"), F.lit(0)).otherwise(F.col("retained")).cast("long").alias("retained"),
-        F.col("duplicates").cast("long").alias("duplicates"),
+        (F.col("by_uid") + F.when(F.col("invalid"), 0).otherwise(F.col("exact_copies"))).cast("long").alias("duplicates"),
     )

@@ -274,6 +274,18 @@ def dedup_by_identifier(w: Workload) -> DataFrame:
     return dedup.deduplicated(w.with_copies(), by_uid=True).select("uid", "client_id", "original_order", "copies")
 
 
+@query(
+    _COPIES + """, mixed AS (SELECT * REPLACE (CASE WHEN original_order % 3 = 0 THEN NULL ELSE uid END AS uid) FROM copies)
+SELECT uid, client_id, event_type, original_order, CAST(copies AS BIGINT) AS copies FROM (SELECT *, count(*) OVER w AS copies, row_number() OVER (w ORDER BY ts_seconds, original_order) AS i
+  FROM mixed WINDOW w AS (PARTITION BY uid, CASE WHEN uid IS NULL THEN (client_id, ts_seconds, event_type, payload) END)) WHERE i = 1"""
+)
+def dedup_mixed_identity(w: Workload) -> DataFrame:
+    """A third of the records lose their identifier; those are copies by the exact key among themselves."""
+    rows = w.with_copies()
+    mixed = rows.withColumn("uid", F.when(F.col("original_order") % 3 == 0, F.lit(None)).otherwise(F.col("uid")))
+    return dedup.deduplicated(mixed, by_uid=True).select("uid", "client_id", "event_type", "original_order", "copies")
+
+
 @query(
     _COPIES + "SELECT client_id, event_type, original_order, CAST(copies AS BIGINT) AS copies FROM (SELECT *, count(*) OVER w AS copies, row_number() OVER (w ORDER BY original_order) AS i "
     "FROM copies WINDOW w AS (PARTITION BY client_id, ts_seconds, event_type, payload)) WHERE i = 1"

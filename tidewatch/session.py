@@ -35,6 +35,8 @@ def shared_folder(spark: SparkSession) -> str:
     if app not in _ROOTS:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             base = tempfile.mkdtemp(prefix="spark-tidewatch-", dir="/tmp")
         _ROOTS[app] = f"{base.rstrip('/')}/tidewatch-{uuid.uuid4().hex[:12]}"
     return _ROOTS[app]
