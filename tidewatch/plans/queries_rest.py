@@ -481,12 +481,12 @@ def _stream(w: Workload) -> DataFrame:
 
 
 @query(
-    "SELECT epoch, client_id, bucket, count(*) AS n FROM labelled WHERE (epoch + 1) * 3600 <= (SELECT max(floor(ts_seconds * 1000) / 1000) - 600 FROM labelled) GROUP BY ALL",
+    "SELECT epoch, client_id, bucket, count(*) AS n FROM labelled GROUP BY ALL",
     "labelled",
 )
 def stream_epoch_counts(w: Workload) -> DataFrame:
-    """Closed epochs of the streaming aggregate (those the watermark has passed)."""
-    out = jobs.drain(jobs.epoch_counts(_stream(w), "ts", w.p.epoch_seconds, w.p.hash_buckets, "10 minutes"), "stream-counts")
+    """All epochs of the streaming aggregate, the last ones by the closing marker."""
+    out = jobs.drain(_stream(w), "stream-counts", lambda s: jobs.epoch_counts(s, "ts", w.p.epoch_seconds, w.p.hash_buckets, "10 minutes"), "ts")
     return out.select("epoch", "client_id", n64("bucket").alias("bucket"), "n")
 
 
@@ -516,24 +516,23 @@ def stream_online_ranks(w: Workload) -> DataFrame:
 
 @query(
     """, starts AS (SELECT unnest([e * 3600 - k * 3600 for k in [0, 1, 2, 3, 4, 5]]) AS s FROM (SELECT DISTINCT epoch AS e FROM labelled))
-SELECT CAST(s AS BIGINT) AS start_second, (SELECT count(*) FROM labelled WHERE ts_seconds >= s AND ts_seconds < s + 21600) AS n FROM (SELECT DISTINCT s FROM starts)
-WHERE s + 21600 <= (SELECT max(floor(ts_seconds * 1000) / 1000) - 600 FROM labelled)""",
+SELECT CAST(s AS BIGINT) AS start_second, (SELECT count(*) FROM labelled WHERE ts_seconds >= s AND ts_seconds < s + 21600) AS n FROM (SELECT DISTINCT s FROM starts)""",
     "labelled",
 )
 def stream_stress_windows(w: Workload) -> DataFrame:
-    return jobs.drain(jobs.stress_counts(_stream(w), "ts", 6 * 3600, 3600, "10 minutes"), "stream-stress")
+    return jobs.drain(_stream(w), "stream-stress", lambda s: jobs.stress_counts(s, "ts", 6 * 3600, 3600, "10 minutes"), "ts")
 
 
 @query(
     """, hot AS (SELECT client_id, CAST(round(ts_seconds * 1000000) AS BIGINT) AS t FROM labelled WHERE gt_class = 'malicious'),
 cut AS (SELECT *, sum(CASE WHEN t - p < 10800000000 THEN 0 ELSE 1 END) OVER (PARTITION BY client_id ORDER BY t) AS g FROM (SELECT *, lag(t) OVER (PARTITION BY client_id ORDER BY t) AS p FROM hot)),
 runs_ AS (SELECT client_id, min(t) AS a, max(t) + 10800000000 AS b, count(*) AS n FROM cut GROUP BY client_id, g)
-SELECT client_id, a AS start_micros, b AS end_micros, n AS records FROM runs_ WHERE b // 1000 <= (SELECT max(t) // 1000 - 600000 FROM hot)""",
+SELECT client_id, a AS start_micros, b AS end_micros, n AS records FROM runs_""",
     "labelled",
 )
 def stream_malicious_sessions(w: Workload) -> DataFrame:
     hot = _stream(w).filter(F.col("value") >= w.p.attack_value)
-    return jobs.drain(jobs.malicious_sessions(hot, "ts", (w.p.merge_gap + 1) * w.p.epoch_seconds, "10 minutes"), "stream-sessions")
+    return jobs.drain(hot, "stream-sessions", lambda s: jobs.malicious_sessions(s, "ts", (w.p.merge_gap + 1) * w.p.epoch_seconds, "10 minutes"), "ts")
 
 
 def _epoch_stream(w: Workload, name: str, rows: DataFrame, value: str) -> DataFrame:
@@ -563,14 +562,14 @@ def _with_rocksdb(w: Workload, run):
     """, base AS (SELECT epoch, factor FROM method_evidence WHERE method = 'order_one' AND stream = 'all'),
 walk AS (WITH RECURSIVE go AS (SELECT epoch, factor AS state FROM base WHERE epoch = (SELECT min(epoch) FROM base)
   UNION ALL SELECT b.epoch, (g.state + 1) * b.factor FROM go g JOIN base b ON b.epoch = g.epoch + 1) SELECT * FROM go)
-SELECT epoch AS pos, round(state, 6) AS state FROM walk WHERE epoch * 3600 <= (SELECT max(epoch) * 3600 - 7200 FROM base)""",
+SELECT epoch AS pos, round(state, 6) AS state, min(CASE WHEN state >= 2.6 THEN epoch END) OVER (ORDER BY epoch) AS stop FROM walk""",
     "method_evidence",
 )
 def stream_global_recursion(w: Workload) -> DataFrame:
     rows = w.method_evidence(check=True).filter("method = 'order_one' AND stream = 'all'").withColumn("key", F.col("method"))
     source = _epoch_stream(w, "recursion", rows, "factor")
-    out = _with_rocksdb(w, lambda: jobs.drain(jobs.online_recursion(source, 2.6, "2 hours"), "stream-recursion"))
-    return out.select("pos", r6("state").alias("state"))
+    out = _with_rocksdb(w, lambda: jobs.drain(source, "stream-recursion", lambda s: jobs.online_recursion(s, 2.6, "2 hours"), "at"))
+    return out.select("pos", r6("state").alias("state"), "stop")
 
 
 @query(
@@ -578,23 +577,23 @@ def stream_global_recursion(w: Workload) -> DataFrame:
   go AS (SELECT client_id, epoch, greatest(0, rank - 0.55) AS c FROM base WHERE epoch = (SELECT min(epoch) FROM base)
     UNION ALL SELECT b.client_id, b.epoch, greatest(0, g.c + b.rank - 0.55) FROM go g JOIN base b ON b.client_id = g.client_id AND b.epoch = g.epoch + 1)
   SELECT * FROM go)
-SELECT client_id, epoch AS pos, round(c, 6) AS cusum FROM walk WHERE epoch * 3600 <= (SELECT max(epoch) * 3600 - 7200 FROM walk)""",
+SELECT client_id, epoch AS pos, round(c, 6) AS cusum FROM walk""",
     "ranks",
 )
 def stream_cusum(w: Workload) -> DataFrame:
     source = _epoch_stream(w, "ranks", w.ranks().filter("stream = 'all'").withColumn("key", F.col("client_id")), "rank")
-    out = _with_rocksdb(w, lambda: jobs.drain(jobs.online_cusum(source, w.p.cusum_center, w.p.cusum_drift, "2 hours"), "stream-cusum"))
+    out = _with_rocksdb(w, lambda: jobs.drain(source, "stream-cusum", lambda s: jobs.online_cusum(s, w.p.cusum_center, w.p.cusum_drift, "2 hours"), "at"))
     return out.select(F.col("key").alias("client_id"), "pos", r6("state").alias("cusum"))
 
 
 @query(
     """, hits AS (SELECT client_id, epoch, count(*) FILTER (rank >= 0.8) OVER (PARTITION BY client_id ORDER BY epoch ROWS 4 PRECEDING) AS h FROM ranks WHERE stream = 'all')
-SELECT client_id, epoch AS pos, CAST(h AS BIGINT) AS hits FROM hits WHERE epoch * 3600 <= (SELECT max(epoch) * 3600 - 7200 FROM hits)""",
+SELECT client_id, epoch AS pos, CAST(h AS BIGINT) AS hits FROM hits""",
     "ranks",
 )
 def stream_persistence(w: Workload) -> DataFrame:
     source = _epoch_stream(w, "ranks", w.ranks().filter("stream = 'all'").withColumn("key", F.col("client_id")), "rank")
-    out = _with_rocksdb(w, lambda: jobs.drain(jobs.online_persistence(source, 0.8, 3, 5, "2 hours"), "stream-persistence"))
+    out = _with_rocksdb(w, lambda: jobs.drain(source, "stream-persistence", lambda s: jobs.online_persistence(s, 0.8, 3, 5, "2 hours"), "at"))
     return out.select(F.col("key").alias("client_id"), "pos", n64("state").alias("hits"))
 
 

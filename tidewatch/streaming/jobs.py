@@ -1,12 +1,13 @@
 """Structured Streaming twins of the sequential tail.
 
-Rows later than the watermark are dropped. Epochs must reach a recursion in order, so stateful
-jobs buffer per key until the watermark has passed an epoch.
+Epochs must reach a recursion in order, so stateful jobs buffer per key until the watermark has
+passed an epoch. A replayed table ends with a closing marker, so its last epochs, windows and sessions
+come out too; a replay that would lose rows behind the watermark fails.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -21,14 +22,20 @@ from tidewatch.session import fresh_path
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def event_stream(spark: SparkSession, folder: str, name_filter: str, schema: StructType) -> DataFrame:
-    return spark.readStream.schema(schema).option("pathGlobFilter", name_filter).parquet(folder)
+#: time of the closing marker, near the end of what nanoseconds express
+END = "2262-01-01 00:00:00"
 
 
-def drain(stream: DataFrame, name: str) -> DataFrame:
-    """Run a stream over everything available into a parquet table and return the table."""
-    spark = stream.sparkSession
-    out, marks = fresh_path(spark, name), fresh_path(spark, f"{name}-checkpoint")
+def event_stream(spark: SparkSession, folder: str, name: str, schema: StructType) -> DataFrame:
+    """Stream of a parquet table, be it one file or a folder of part files.
+
+    Spark takes a plain path for a folder; as a pattern that matches nothing else it may be either.
+    """
+    return spark.readStream.schema(schema).parquet(f"{folder}/{name[:-1]}[{name[-1]}]")
+
+
+def _run(stream: DataFrame, out: str, marks: str) -> None:
+    """One pass over everything available; rows dropped as too late are an error."""
     query = (
         stream.writeStream.format("parquet")
         .option("path", out)
@@ -38,7 +45,38 @@ def drain(stream: DataFrame, name: str) -> DataFrame:
         .start()
     )
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    late = sum(state["numRowsDroppedByWatermark"] for p in query.recentProgress for state in p["stateOperators"])
+    if late:
+        raise ValueError(f"{late} rows came later than the watermark and were dropped")
+
+
+def _marker(schema: StructType, ts: str) -> list:
+    """Columns of the closing marker: the last time, empty texts, zeros."""
+    values = {ts: F.lit(END)}
+    return [values.get(f.name, F.lit("" if f.dataType.typeName() == "string" else 0)).cast(f.dataType).alias(f.name) for f in schema]
+
+
+def drain(stream: DataFrame, name: str, job: Callable[[DataFrame], DataFrame] = lambda s: s, ts: str | None = None) -> DataFrame:
+    """Run ``job`` on a stream over everything available into a parquet table and return the table.
+
+    With ``ts``, the event time of a job that holds rows back, the run goes on with one marker row at :data:`END`
+    from the same checkpoint. It moves the watermark past all data. The marker's own window, session or position
+    stays behind the watermark, so it never comes out.
+    """
+    spark = stream.sparkSession
+    out, marks = fresh_path(spark, name), fresh_path(spark, f"{name}-checkpoint")
+    if ts is None:
+        result = job(stream)
+        _run(result, out, marks)
+        return spark.read.schema(result.schema).parquet(out)
+    closing = fresh_path(spark, f"{name}-closing")
+    marker = spark.range(1).select(*_marker(stream.schema, ts))
+    marker.limit(0).write.parquet(closing)
+    result = job(stream.unionByName(spark.readStream.schema(stream.schema).parquet(closing)))
+    _run(result, out, marks)
+    marker.write.mode("append").parquet(closing)
+    _run(result, out, marks)
+    return spark.read.schema(result.schema).parquet(out)
 
 
 def epoch_counts(events: DataFrame, ts: str, epoch_seconds: int, buckets: int, delay: str) -> DataFrame:
