@@ -48,7 +48,7 @@ def _stages(w: Workload):
         events = jobs.event_stream(w.spark, FOLDER, "events.parquet", w.table("events").schema).select(
             F.col("ts").cast("timestamp").alias("ts"), w.site().alias("client_id"), "event_type"
         )
-        jobs.drain(jobs.epoch_counts(events, "ts", w.p.epoch_seconds, w.p.hash_buckets, "10 minutes"), "bench-stream").count()
+        jobs.drain(events, "bench-stream", lambda s: jobs.epoch_counts(s, "ts", w.p.epoch_seconds, w.p.hash_buckets, "10 minutes"), "ts").count()
 
     yield "stream_epoch_counts", stream
 
