@@ -178,6 +178,18 @@ def test_token_files_round_trip(spark, docs, empty):
     assert all(token_files.select(i, *packed) == values[i] for i in range(0, 3000, 11))
 
 
+def test_token_files_order_repeated_ids_without_texts_as_range_keys(spark):
+    texts = [f"{'same start ' * (k % 3)}text {k}" for k in range(200)] + ["copy"] * 20
+    rows = [(None if k % 3 == 0 else k % 2, t) for k, t in enumerate(texts)]
+    got = token_files.ordered(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 7)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    keys = re.findall(r"rangepartitioning\((.*), 7\)", plan)
+    assert len(keys) == 1 and "text#" not in re.sub(r"xxhash64\(text#\d+, \d+\)", "", keys[0])
+    found = [(r["doc_id"], r["h"], r["text"], r["p"]) for r in got.select("doc_id", "text", F.xxhash64("text").alias("h"), F.spark_partition_id().alias("p")).collect()]
+    assert len({x[3] for x in found}) > 3 and sorted(((x[0], x[2]) for x in found), key=str) == sorted(rows, key=str)
+    assert [x[:3] for x in found] == sorted((x[:3] for x in found), key=lambda x: (x[0] is not None, x[0] or 0, x[1], x[2]))
+
+
 def test_multiset_hash(spark, docs, empty):
     got = multiset_hash.compared(docs).collect()
     order = sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))

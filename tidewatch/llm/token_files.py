@@ -10,7 +10,8 @@ let :func:`select` find one offset without reading the rest.
 The container is a folder of Parquet files with binary columns, so it can lie in any store that Spark writes to.
 
 Null texts are empty and have the end id alone. Null doc_ids come first. Rows that repeat a doc_id follow each
-other in the order of their texts. The empty table makes no block and reads back as no row.
+other in the order of their texts' hashes and then of their texts. The empty table makes no block and reads back as
+no row.
 """
 
 from __future__ import annotations
@@ -158,11 +159,20 @@ def _packed(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterat
         yield row()
 
 
+def ordered(documents: DataFrame, parts: int) -> DataFrame:
+    """doc_id and text in order of doc_id, hash of the text and text, over ranges of the first two.
+
+    Spark samples the keys of the ranges to the driver, so whole texts are none of them.
+    """
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    hashed = F.xxhash64("text")
+    return rows.repartitionByRange(parts, "doc_id", hashed).sortWithinPartitions("doc_id", hashed, "text")
+
+
 def write(documents: DataFrame, folder: str, tokenizer: str, end_id: int = 1) -> None:
     """Encode the whole texts in ascending doc_id order and write the files."""
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange(groups_for(documents, PARTITION_BYTES), "doc_id", "text").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(lambda it: _packed(it, tokenizer, end_id), SCHEMA).write.parquet(folder)
+    rows = ordered(documents, groups_for(documents, PARTITION_BYTES))
+    rows.mapInArrow(lambda it: _packed(it, tokenizer, end_id), SCHEMA).write.parquet(folder)
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
