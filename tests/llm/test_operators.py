@@ -118,6 +118,28 @@ def test_near_duplicates_match_brute_force(spark, docs, empty, size):
     assert near.deduplicated(docs, size).columns == docs.columns
 
 
+def test_deduplicated_rows_with_shared_or_missing_ids_match_brute_force(spark):
+    rng = np.random.default_rng(8)
+    text = lambda k: " ".join(f"k{k}n{x}" for x in range(60))
+    near_to = lambda k: text(k) + " tail"
+    rows = [(5, text(5)), (9, text(9)), (None, text(5)), (None, near_to(5)), (None, near_to(9)), (None, text(20)), (None, text(21)), (None, text(21)), (None, None), (None, ""), (None, "")]
+    rows += [(30, text(30)), (30, text(31)), (31, near_to(31)), (32, near_to(30)), (33, text(33)), (33, text(33)), (33, text(34)), (34, text(33))]
+    for _ in range(40):
+        k = int(rng.integers(50, 62))
+        rows.append((None if rng.random() < 0.3 else int(rng.integers(100, 112)), [text(k), near_to(k), "lead " + near_to(k)][rng.integers(0, 3)]))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (split(t, lower=True) for _, t in rows)]
+    groups = []
+    for k, x in enumerate(sets):
+        met = [g for g in groups if any(x & sets[j] and 100 * len(x & sets[j]) >= 80 * len(x | sets[j]) for j in g)]
+        groups = [g for g in groups if g not in met] + [sum(met, [k])]
+    number = lambda i: math.inf if i is None else i
+    got = near.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert len(got) == len(groups)
+    for g in groups:
+        least = min(number(rows[j][0]) for j in g)
+        assert sum(r["text"] == t and number(r["doc_id"]) == least for r in got for t in {rows[j][1] for j in g}) == (1 if sets[g[0]] else sum(rows[j][1] == rows[g[0]][1] for j in range(len(rows))))
+
+
 def test_odd_sketch_bits_grow_with_difference():
     keys = W.mix(np.arange(1, 2001, dtype=np.uint64))
     bits = []

@@ -16,8 +16,9 @@ compared. A pair at similarity 0.8 shares a bucket but for 1.3e-7 (30 bands of f
 sketch but for 1e-6.
 
 Null and empty texts have the empty set and link with nothing. Fewer words than a shingle: the whole sequence
-is one shingle. A null doc_id counts as one largest id, and rows that repeat a doc_id as one document with all
-of their texts.
+is one shingle. In :func:`near_duplicates`, one row per doc_id, a null doc_id counts as one largest id, and rows
+that repeat a doc_id as one document with all of their texts. In :func:`deduplicated` each text of each doc_id is a
+node of its own, named by a 64-bit hash of both, so neither a shared nor a missing id links texts or removes them.
 """
 
 from __future__ import annotations
@@ -47,7 +48,7 @@ _NO_ID = np.iinfo(np.int64).max
 _RANDOM = W.mix(np.arange(1, 2 * HASHES + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 _MULTIPLY, _FLIP = (_RANDOM[:HASHES] >> np.uint64(32)).astype(np.uint32) | np.uint32(1), (_RANDOM[HASHES:] >> np.uint64(32)).astype(np.uint32)
 
-_SET = "id long, n_shingles long, low long, high long, bands array<long>, sketch array<long>"
+_SET = "id long, doc long, n_shingles long, low long, high long, bands array<long>, sketch array<long>"
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -114,8 +115,8 @@ def _describe(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Reco
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(size > 0, BANDS, 0))]).astype(np.int32)), pa.array(bands[full].ravel()))
             maps = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * SKETCH_LONGS), pa.array(sketch.ravel()))
             yield pa.RecordBatch.from_arrays(
-                [batch["id"].slice(lo, n), pa.array(size.astype(np.int64)), pa.array(low.view(np.int64)), pa.array(high.view(np.int64)), lists, maps],
-                ["id", "n_shingles", "low", "high", "bands", "sketch"],
+                [batch["id"].slice(lo, n), batch["doc"].slice(lo, n), pa.array(size.astype(np.int64)), pa.array(low.view(np.int64)), pa.array(high.view(np.int64)), lists, maps],
+                ["id", "doc", "n_shingles", "low", "high", "bands", "sketch"],
             )
 
 
@@ -126,7 +127,12 @@ def _bitmap(keys: np.ndarray) -> list[int]:
 
 
 def _rows(documents: DataFrame) -> DataFrame:
-    return documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))
+    return documents.select(doc.alias("id"), doc.alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+
+def _node(doc: str, text: str):
+    return F.xxhash64(F.coalesce(F.col(doc).cast("long"), F.lit(_NO_ID)), F.coalesce(F.col(text).cast("string"), F.lit("")))
 
 
 def _likely(a: str, b: str):
@@ -137,9 +143,15 @@ def _likely(a: str, b: str):
     return (100 * F.least(n_a, n_b) >= THRESHOLD * F.greatest(n_a, n_b)) & (differ <= MOST_BITS)
 
 
-def confirmed(pairs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
-    """Common shingles of each pair (a, b), and whether the full sets reach the threshold, as a written table."""
+def confirmed(pairs: DataFrame, rows: DataFrame, words: int, copies: bool = False) -> DataFrame:
+    """Common shingles of each pair (a, b), and whether the full sets reach the threshold, as a written table.
+
+    ``copies``: rows with equal ids are copies of one text, read once.
+    """
     spark = pairs.sparkSession
+    if copies:
+        asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        rows = rows.join(asked, "id", "left_semi").dropDuplicates(["id"])
     text_a, text_b = rows.select(F.col("id").alias("a"), F.col("text").alias("text_a")), rows.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,9 +196,8 @@ def components(edges: DataFrame) -> DataFrame:
         before = tuple(state)
 
 
-def classes(documents: DataFrame, words: int) -> DataFrame:
-    """Per document: id, n_shingles and component_id."""
-    rows = _rows(documents)
+def classes(rows: DataFrame, words: int, copies: bool = False) -> DataFrame:
+    """Per row (id, doc, text): id, doc, n_shingles and component_id."""
     described = written(rows.mapInArrow(lambda it: _describe(it, words), _SET), "sets")
     sets = described.filter("n_shingles > 0").groupBy("low", "high").agg(F.min("id").alias("rep"), F.min("n_shingles").alias("n"), F.min("bands").alias("bands"), F.min("sketch").alias("s"))
     sets = written(sets, "classes")
@@ -204,7 +215,7 @@ def classes(documents: DataFrame, words: int) -> DataFrame:
         sides = [side.select(F.col("rep").alias(k), F.struct("n", *sketch).alias(v)) for k, v in (("a", "x"), ("b", "y"))]
         return pairs.join(sides[0], "a").join(sides[1], "b").filter(_likely("x", "y")).select("a", "b")
 
-    compared = confirmed(likely(pairs), rows, words)
+    compared = confirmed(likely(pairs), rows, words, copies)
     links = compared.filter("linked").select("a", "b")
     found = components(links)
     labelled = starred.join(found, F.col("rep") == F.col("node"), "left").select("key", "rep", "centre", F.coalesce("component", "rep").alias("component"))
@@ -227,23 +238,37 @@ def classes(documents: DataFrame, words: int) -> DataFrame:
     rest = mixed.alias("x").join(mixed.alias("y"), "key").filter((F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")))
     close = 100 * F.least("x.n", "y.n") >= THRESHOLD * F.greatest("x.n", "y.n")
     rest = rest.filter(close & allowed).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    more = confirmed(likely(rest), rows, words).filter("linked").select("a", "b")
+    more = confirmed(likely(rest), rows, words, copies).filter("linked").select("a", "b")
     if more.limit(1).count():
         found = components(links.union(more))
     named = sets.select("low", "high", "rep").join(found, F.col("rep") == F.col("node"), "left").select("low", "high", F.coalesce("component", "rep").alias("component_id"))
-    return described.select("id", "n_shingles", "low", "high").join(named, ["low", "high"], "left").select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
+    return described.select("id", "doc", "n_shingles", "low", "high").join(named, ["low", "high"], "left").select("id", "doc", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
 
 
 def near_duplicates(documents: DataFrame, words: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
     ids = [F.nullif(c, F.lit(_NO_ID)).alias(n) for c, n in (("id", "doc_id"), ("component_id", "component_id"))]
-    return classes(documents, words).select(ids[0], "n_shingles", ids[1], (F.col("id") == F.col("component_id")).alias("kept"))
+    return classes(_rows(documents), words).select(ids[0], "n_shingles", ids[1], (F.col("id") == F.col("component_id")).alias("kept"))
 
 
 def deduplicated(documents: DataFrame, words: int = 5) -> DataFrame:
-    """The documents, all their columns, without those that a smaller doc_id represents."""
-    gone = classes(documents, words).filter("id != component_id").select(F.col("id").alias("_gone")).distinct()
-    return documents.join(gone, F.coalesce(documents["doc_id"].cast("long"), F.lit(_NO_ID)) == gone["_gone"], "left_anti")
+    """The documents, all their columns, without those that a row with a smaller doc_id represents.
+
+    One row of each component stays, of the smallest doc_id (a null one is the largest); of rows with equal doc_id
+    and text that is the smallest by all columns. Null texts and texts without words all stay.
+    """
+    rows = _rows(documents).withColumn("id", _node("doc", "text"))
+    nodes = written(classes(rows, words, copies=True).filter("n_shingles > 0").select("id", "doc", "component_id"), "nodes")
+    several = nodes.groupBy("component_id").agg(F.min(F.struct("doc", "id")).alias("first"), F.count("*").alias("m")).filter("m > 1")
+    gone = nodes.join(several, "component_id").filter(F.col("id") != F.col("first.id")).select(F.col("id").alias("_gone")).distinct()
+    named = documents.withColumn("_node", _node("doc_id", "text"))
+    kept = named.join(gone, F.col("_node") == F.col("_gone"), "left_anti")
+    again = nodes.groupBy("id").count().filter("count > 1").join(several.select(F.col("first.id").alias("id")), "id", "left_semi").select(F.col("id").alias("_again"))
+    if not again.limit(1).count():
+        return kept.drop("_node")
+    again = written(again, "again")
+    copies = kept.join(again, F.col("_node") == F.col("_again"), "left_semi").groupBy("_node").agg(F.min(F.struct(*documents.columns)).alias("r")).select("r.*")
+    return kept.join(again, F.col("_node") == F.col("_again"), "left_anti").drop("_node").union(copies)
 
 
 _ORACLE = r"""
