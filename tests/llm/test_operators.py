@@ -271,6 +271,23 @@ def test_html(spark):
     assert html_text.extracted(table.limit(0), ["page_id", "url"]).count() == 0
 
 
+def test_html_adverts_in_articles_and_menu_heavy_pages():
+    lead, rest = " ".join(f"lead{k}" for k in range(30)), " ".join(f"rest{k}" for k in range(80))
+    advert = " ".join(f"buy{k}" for k in range(40))
+    box = "".join(f"<li><a href=/{k}>other story {k}</a></li>" for k in range(20))
+    page = "<html><body><div class=outer><nav>{menu}</nav><article><h1>Head line</h1><p>{lead}</p>{mid}<p>{rest}</p></article><div class=legal><p>{legal}</p></div></div></body></html>"
+    legal = " ".join(f"legal{k}" for k in range(20))
+    light = html_text.fit([page.format(menu="one two", lead=lead, rest=rest, mid="", legal=legal)] * 20)
+    heavy = html_text.fit([page.format(menu="<p>menu entry</p>" * 400, lead=lead, rest=rest, mid="", legal=legal * 20)] * 20)
+    want = f"Head line {lead} {rest}"
+    for model in (light, heavy):
+        for menu in ("one two", "<p>menu entry</p>" * 400):
+            for mid in ("", f"<div class=advert><p>{advert}</p></div>", f"<aside class=related><ul>{box}</ul></aside>", f"<div class=ad>{advert}</div><aside><p>{advert}</p></aside>"):
+                assert html_text.extract(page.format(menu=menu, lead=lead, rest=rest, mid=mid, legal=legal), model) == want
+        plain = f"<html><body><div class=content><h1>Head line</h1><p>{lead}</p><div class=advert><p>{advert}</p></div><p>{rest}</p></div></body></html>"
+        assert html_text.extract(plain, model) == want
+
+
 def test_pieces(docs, empty):
     import sentencepiece
 

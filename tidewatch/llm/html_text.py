@@ -2,10 +2,11 @@
 
 A page is a sequence of tags and words. Words score positive and tags negative; a linear scan finds the
 contiguous region with the largest sum, and its text is the article. Weights come from labelled pages, those
-that mark one article element: how often words under an element, and tags, fall inside and outside. Words
-under elements that lie outside (menus, adverts, ...) lose their positive score, and such elements are left out
-inside the region too; tags of the article's own inside cost next to nothing, tags around it much. Elements
-that no labelled page has start from a list of usual names for page furniture.
+that mark one article element: how often words under an element, and tags, fall inside and outside, against how often
+all do where most lie outside. Elements that lie outside (menus, adverts, ...) or have a usual name of page
+furniture are left out, in the region too, each at one small cost (:data:`FURNITURE_COST`) however long it is; so
+an advert does not cut an article in two. Elements that hold the article of labelled pages are never furniture,
+and a learned article overrides what is around it. Tags inside an article cost next to nothing, tags around it much.
 
 The fit takes at most :data:`SAMPLE_PAGES` pages of :data:`SAMPLE_CHARS` characters; extraction is one pass over
 whole pages. Null and empty html, and pages without words, have the empty text. Tags that do not close,
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from tidewatch.llm.common import query, table
 
 SAMPLE_PAGES, SAMPLE_CHARS = 1_500, 15_000_000
+#: what a whole furniture element costs, in words, and the share of an element's pages where it must hold the article
+FURNITURE_COST, HOLDS, HOLDS_NAMED = 0.25, 0.1, 0.5
 _PIECE = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|svg)\b.*?(?:</\1\s*>|\Z)|<[!/?a-z](?:[^>"']|"[^"]*"|'[^']*')*(?:>|\Z)|<[!/?a-z][^>]*(?:>|\Z)|[^<]+|<""",
     re.S | re.I,
@@ -37,6 +40,8 @@ _NAME = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'
 _INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _PARTS = frozenset("ul ol li dl dt dd table thead tbody tfoot tr td th".split())
+#: fixed names of elements that hold whole pages
+_PAGE = frozenset("html body main".split())
 #: fixed names of page furniture: elements, and words of a class, an id or a role
 _FURNITURE = frozenset("nav header footer aside form title head dialog menu select button figcaption".split())
 _FURNITURE_WORDS = frozenset(
@@ -67,12 +72,13 @@ def parsed(page: str) -> Iterator[tuple[str, str, tuple[str, ...], bool]]:
         if piece.startswith("<!--"):
             continue
         if m[1]:
-            yield "tag", m[1].lower(), (), True
+            yield "tag", m[1].lower(), tuple(s for _, s in stack), True
             continue
         e = _element(piece)
         if e is None:
             continue
         name, signature, closing = e
+        around = tuple(s for _, s in stack)
         if name not in _INLINE and name not in _VOID and name not in _PARTS:
             if closing:
                 if any(n == name for n, _ in stack):
@@ -82,51 +88,76 @@ def parsed(page: str) -> Iterator[tuple[str, str, tuple[str, ...], bool]]:
                 if name == "p" and stack and stack[-1][0] == "p":
                     stack.pop()
                 stack.append((name, signature))
+                around = tuple(s for _, s in stack)
         if name not in _INLINE:
-            yield "tag", signature, (), True
+            yield "tag", signature, around, True
 
 
-def fit(pages: list[str]) -> dict[str, dict[str, float]]:
-    """Weights of words by element and of tags."""
-    words, tags = (Counter(), Counter()), (Counter(), Counter())
+def _base(signature: str) -> str:
+    return signature.split(".")[0]
+
+
+def _from_article(around: tuple[str, ...]) -> tuple[str, ...]:
+    """The open elements from the innermost article on, or none."""
+    at = max((i for i, s in enumerate(around) if _base(s) == "article"), default=len(around))
+    return around[at:]
+
+
+def fit(pages: list[str]) -> dict:
+    """Weights of words by element and of tags, and the elements that hold articles."""
+    words, tags, total = (Counter(), Counter()), (Counter(), Counter()), [Counter(), Counter()]
+    holds, seen = Counter(), Counter()
     for page in pages:
         if len(re.findall(r"<article\b", page, re.I)) != 1:
             continue
-        inside = 0
+        inside, open_here, met = 0, set(), set()
         for kind, what, around, _ in parsed(page):
+            met.update(around)
             if kind == "tag":
-                base = what.split(".")[0]
+                base = _base(what)
                 if base == "/article":
                     inside = 0
-                tags[inside if base not in ("article", "/article") else 0][what] += 1
+                own = base in ("article", "/article")
+                if own or not any(map(_furniture, _from_article(around) if inside else around)):
+                    tags[0 if own else inside][what] += 1
+                    total[1][0 if own else inside] += 1
                 if base == "article":
                     inside = 1
+                    open_here.update(around[:-1])
             elif n := len(what.split()):
-                within = int(bool(inside) and not any(map(_furniture, around)))
+                within = int(bool(inside) and not any(map(_furniture, _from_article(around))))
                 for s in set(around):
-                    words[within if s.split(".")[0] != "article" else inside][s] += n
-    weigh = lambda counts, k: math.log((counts[1][k] + 0.5) / (counts[0][k] + 0.5))
-    return {"words": {k: weigh(words, k) for k in {*words[0], *words[1]}}, "tags": {k: weigh(tags, k) for k in {*tags[0], *tags[1]}}}
+                    words[within if _base(s) != "article" else inside][s] += n
+                total[0][within] += n
+        holds.update(open_here)
+        seen.update(met)
+
+    def weigh(counts: tuple[Counter, Counter], all_: Counter) -> dict[str, float]:
+        """Log odds of lying inside; where most of all lies outside, against that."""
+        usual = min(0.0, math.log((all_[1] + 0.5) / (all_[0] + 0.5)))
+        return {k: math.log((counts[1][k] + 0.5) / (counts[0][k] + 0.5)) - usual for k in {*counts[0], *counts[1]}}
+
+    wrappers = {s for s, n in holds.items() if n >= (HOLDS_NAMED if _furniture(s) else HOLDS) * seen[s]}
+    return {"words": weigh(words, total[0]), "tags": weigh(tags, total[1]), "wrappers": wrappers}
 
 
 def _furniture(signature: str) -> bool:
     name, *named = signature.lstrip("/").split(".")
-    return name in _FURNITURE or not _FURNITURE_WORDS.isdisjoint(named)
+    return name not in _PAGE and (name in _FURNITURE or not _FURNITURE_WORDS.isdisjoint(named))
 
 
-def word_weight(around: tuple[str, ...], model: dict) -> float:
-    """Positive, unless an element around the words lies outside articles."""
-    least = 1.0
-    for s in around:
-        w = model["words"].get(s)
-        if w is None:
-            w = -3.0 if _furniture(s) else 1.0
-        if w < -1:
-            least = min(least, max(w, -6.0) / 2)
-    return least
+def left_out(around: tuple[str, ...], model: dict) -> bool:
+    """Whether an open element is page furniture; a learned article overrides what is around it."""
+    own = _from_article(around)
+    if own and (_furniture(own[0]) or model["words"].get(own[0], 0.0) <= 0):
+        own = ()
+    return any(s not in model["wrappers"] and (_furniture(s) or _base(s) not in _PAGE and model["words"].get(s, 0.0) < -1) for s in own or around)
 
 
-def tag_weight(signature: str, model: dict) -> float:
+def tag_weight(signature: str, around: tuple[str, ...], model: dict) -> float:
+    own = _from_article(around)
+    if own and _base(signature) not in ("article", "/article") and model["words"].get(own[0], 0.0) > 0:
+        return -0.02
     w = model["tags"].get(signature)
     if w is None:
         w = -3.0 if _furniture(signature) else 1.0
@@ -135,16 +166,17 @@ def tag_weight(signature: str, model: dict) -> float:
 
 def extract(page: str, model: dict) -> str:
     """Text of the best region; of equal sums the first and then the longest."""
-    pieces, sums = [], []
+    pieces, sums, out, known = [], [], False, {}
     for kind, what, around, _ in parsed(page):
-        if kind == "text":
-            w = word_weight(around, model)
-            text = entities.unescape(what)
-            pieces.append((text, w > 0))
-            sums.append(w * len(text.split()))
+        if around not in known:
+            known[around] = left_out(around, model)
+        before, out = out, known[around]
+        text = entities.unescape(what) if kind == "text" else " "
+        pieces.append((text, kind == "tag" or not out))
+        if out:
+            sums.append(0.0 if before else -FURNITURE_COST)
         else:
-            pieces.append((" ", True))
-            sums.append(tag_weight(what, model))
+            sums.append(float(len(text.split())) if kind == "text" else tag_weight(what, around, model))
     best, best_from, best_to, total, start = 0.0, 0, 0, 0.0, 0
     for i, x in enumerate(sums):
         if total <= 0:
