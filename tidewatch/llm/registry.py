@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import conversations, decontaminate, html_text, importance, multiset_hash, near, pieces, quality, substring, token_files, toxicity, url_filter  # noqa: F401  (operators register their queries)
+from tidewatch.llm import conversations, decontaminate, html_text, importance, multiset_hash, near, pieces, quality, secret_scan, substring, token_files, toxicity, url_filter  # noqa: F401  (operators register their queries)
 from tidewatch.llm.common import QUERIES, SQL
 
 
