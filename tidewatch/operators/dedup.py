@@ -2,16 +2,24 @@
 
 Every key keeps its smallest ``(timestamp, original order)`` row by an aggregate that combines
 map-side, so a key with very many copies never gathers in one task.
+
+Rows with and without an identifier in one data set (:func:`judged`): rows come in order and are compared with the rows
+kept so far. Two rows with identifiers are copies if these agree; otherwise the exact key decides. Only the first row without an
+identifier of each key, its *blank*, can be kept, and it is unless an earlier row of the key is. A blank that is kept blocks later rows of
+its key, and an identifier keeps its first row that is not blocked. So identifiers wait for blanks and blanks for
+identifiers, always for earlier rows: both are settled in rounds, over the rows that still wait, until none is left. The
+rounds are as many as the longest alternating chain of identifiers and keys.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.session import written
+
 EXACT_KEY = ("client_id", "ts_seconds", "event_type", "payload")
+CONTENT = ("payload", "client_id", "event_type")
 
 
 def identity_mode(events: DataFrame) -> DataFrame:
@@ -24,67 +32,133 @@ def identity_mode(events: DataFrame) -> DataFrame:
 def retain_first(events: DataFrame, by_uid: bool, key: tuple[str, ...] = EXACT_KEY) -> DataFrame:
     """First copy of each key and the number of its copies.
 
-    ``by_uid``: rows with an identifier are copies by it, rows without one by the exact key among themselves.
+    ``by_uid``: all rows have an identifier, which is the key; otherwise the exact key is, whatever the identifiers.
     """
-    rest = [c for c in events.columns if c not in ("ts_seconds", "original_order")]
-    row = F.struct("ts_seconds", "original_order", *rest)
-    exact = [(F.when(F.col("uid").isNull(), F.col(k)) if by_uid else F.col(k)).alias(f"_g_{k}") for k in key]
-    first = events.groupBy(*([F.col("uid").alias("_g_uid")] if by_uid else []), *exact).agg(
-        F.min(row).alias("_first"), F.count("*").alias("copies")
+    row = F.struct(*[c for c in events.columns if c not in ("ts_seconds", "original_order")])
+    at = F.struct("ts_seconds", "original_order")
+    groups = [F.col(k).alias(f"_g_{k}") for k in (("uid",) if by_uid else key)]
+    first = events.groupBy(*groups).agg(F.min(at).alias("_at"), F.min_by(row, at).alias("_first"), F.count("*").alias("copies"))
+    columns = [F.col(f"_at.{c}" if c in ("ts_seconds", "original_order") else f"_first.{c}").alias(c) for c in events.columns]
+    return first.select(*columns, "copies")
+
+
+def _digest(columns: tuple[str, ...]) -> Column:
+    """One text of fixed length for several columns; nulls differ from empty texts."""
+    parts = [F.coalesce(F.concat(F.octet_length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-")) for c in columns]
+    return F.sha2(F.concat(*parts), 256)
+
+
+def judged(events: DataFrame, key: tuple[str, ...] = EXACT_KEY) -> DataFrame:
+    """``at`` (timestamp, order), ``uid``, ``owner`` and ``conflict`` of every row of a data set of both kinds.
+
+    ``owner`` is the ``at`` of the kept row that the row is compared with successfully first, its own if it is kept.
+    ``conflict``: that row has the same identifier but another payload, client or event type.
+    """
+    rows = events.select(
+        F.struct("ts_seconds", "original_order").alias("at"), "uid", _digest(key).alias("k"), _digest(CONTENT).alias("content")
     )
-    return first.select(*[F.col(f"_first.{c}").alias(c) for c in events.columns], "copies")
+    rows = written(rows, "dedup-rows")
+    named = rows.filter("uid IS NOT NULL")
+    blanks = rows.filter("uid IS NULL").groupBy("k").agg(F.min("at").alias("blank"))
+    named = written(named.join(blanks, "k", "left"), "dedup-named")
+    # rows behind a blank may be blocked, so the first one before or without a blank is the last that an identifier can keep
+    free = named.groupBy("uid").agg(F.min(F.when(F.col("blank").isNull() | (F.col("at") < F.col("blank")), F.col("at"))).alias("free"))
+    free = written(free, "dedup-free")
+    waiting = written(
+        named.filter(F.col("at") > F.col("blank")).join(free, "uid").filter(F.col("free").isNull() | (F.col("at") < F.col("free"))).select("uid", "k", "at"),
+        "dedup-waiting",
+    )
+    guards = named.filter(F.col("at") < F.col("blank")).select("uid", "k", "at")
+    guards = written(guards.join(waiting.select("k").distinct(), "k", "left_semi"), "dedup-guards")
+    settled = free.join(waiting.select("uid").distinct(), "uid", "left_anti").select("uid", F.col("free").alias("kept"))
+    owners = written(settled, "dedup-owners")
+    while not waiting.isEmpty():
+        known = guards.join(owners, "uid", "left").groupBy("k").agg(
+            F.bool_or(F.coalesce(F.col("at") == F.col("kept"), F.lit(False))).alias("taken"), F.bool_or(F.col("kept").isNull()).alias("open")
+        )
+        state = F.when(F.col("taken"), "taken").when(F.col("open"), "open").otherwise("blocked")
+        told = waiting.join(known, "k", "left").withColumn("state", F.when(F.col("taken").isNull(), "blocked").otherwise(state))
+        step = told.groupBy("uid").agg(F.min(F.when(F.col("state") != "blocked", F.struct("at", "state"))).alias("next"))
+        step = written(step.join(free, "uid"), "dedup-step")
+        done = step.filter("next IS NULL OR next.state = 'taken'")
+        # an identifier whose rows are all blocked keeps none; the empty place tells it from one that waits
+        none = F.struct(F.lit(None).cast("double").alias("ts_seconds"), F.lit(None).cast("long").alias("original_order")).cast(rows.schema["at"].dataType)
+        owners = written(owners.unionByName(done.select("uid", F.coalesce("next.at", "free", none).alias("kept"))), "dedup-owners")
+        waiting = written(waiting.join(done.select("uid"), "uid", "left_anti"), "dedup-waiting")
+    whole = named.join(owners, "uid")
+    mine = F.col("at") == F.col("kept")
+    first = whole.filter(mine).groupBy("k").agg(F.min("at").alias("first"))
+    keys = blanks.join(first, "k", "full").withColumn("blank_kept", F.col("blank").isNotNull() & (F.col("first").isNull() | (F.col("blank") < F.col("first"))))
+    keys = written(keys, "dedup-keys")
+    contents = whole.filter(mine).select("uid", F.col("content").alias("kept_content"))
+    by_name = whole.join(contents, "uid", "left").join(keys.filter("blank_kept").select("k", F.col("blank").alias("stop")), "k", "left")
+    earlier = F.when(F.col("kept.original_order").isNotNull() & (F.col("kept") <= F.col("at")), F.col("kept"))
+    stop = F.when(F.col("stop") < F.col("at"), F.col("stop"))
+    by_name = by_name.withColumn("owner", F.least(earlier, stop)).withColumn(
+        "conflict", F.coalesce((F.col("owner") == F.col("kept")) & (F.col("content") != F.col("kept_content")), F.lit(False))
+    )
+    by_key = rows.filter("uid IS NULL").join(keys, "k").withColumn("owner", F.least(F.when(F.col("blank_kept"), F.col("blank")), F.col("first")))
+    columns = ["at", "uid", "owner", "conflict"]
+    return by_name.select(*columns).unionByName(by_key.withColumn("conflict", F.lit(False)).select(*columns))
+
+
+def _mixed(events: DataFrame) -> bool:
+    """Whether rows with and without an identifier occur; one row comes to the driver."""
+    return identity_mode(events).first()["mixed"]
 
 
 def conflicting_uids(events: DataFrame) -> DataFrame:
     """Identifiers whose copies disagree on payload, client or event type."""
-    content = F.struct("payload", "client_id", "event_type")
     return (
         events.filter(F.col("uid").isNotNull())
+        .withColumn("content", _digest(CONTENT))
         .groupBy("uid")
-        .agg(F.min(content).alias("lo"), F.max(content).alias("hi"))
-        .filter(~F.col("lo").eqNullSafe(F.col("hi")))
+        .agg(F.min("content").alias("lo"), F.max("content").alias("hi"))
+        .filter(F.col("lo") != F.col("hi"))
         .select("uid")
     )
 
 
 def deduplicated(events: DataFrame, by_uid: bool) -> DataFrame:
-    """First copies; a conflict anywhere makes the data set invalid and leaves no rows."""
-    kept = retain_first(events, by_uid)
+    """Kept rows and the number of their copies; a conflict anywhere makes the data set invalid and leaves no rows.
+
+    ``by_uid`` false takes the exact key alone. Where only some rows have an identifier, rows are judged in order.
+    """
     if not by_uid:
-        return kept
-    conflicts = conflicting_uids(events).agg(F.count("*")).scalar()
-    return kept.filter(conflicts == 0)
+        return retain_first(events, False)
+    if not _mixed(events):
+        kept = retain_first(events, events.filter("uid IS NOT NULL").limit(1).count() > 0)
+        return kept.filter(conflicting_uids(events).agg(F.count("*")).scalar() == 0)
+    verdicts = written(judged(events), "dedup-verdicts")
+    sizes = verdicts.groupBy("owner").agg(F.count("*").alias("copies"))
+    conflicts = verdicts.agg(F.count_if("conflict")).scalar()
+    at = F.struct("ts_seconds", "original_order")
+    return events.withColumn("owner", at).join(sizes, "owner").drop("owner").filter(conflicts == 0)
 
 
 def accounting(events: DataFrame, by_uid: bool) -> DataFrame:
     """State, retained and duplicate counts.
 
-    For an invalid data set only the copies by identifier seen before the first conflict (in
-    chronological order) count as duplicates.
+    For an invalid data set only the duplicates before the first conflict, in chronological order, count.
     """
-    kept = retain_first(events, by_uid).agg(
-        F.count("*").alias("retained"),
-        F.coalesce(F.sum("copies"), F.lit(0)).alias("records"),
-        F.coalesce(F.sum(F.when(F.col("uid").isNull(), F.col("copies") - 1)), F.lit(0)).alias("exact_copies"),
-    )
-    if not by_uid:
-        return kept.select(
-            F.lit("READY").alias("state"), "retained", (F.col("records") - F.col("retained")).alias("duplicates")
-        )
-    columns = ("payload", "client_id", "event_type")
-    first = retain_first(events, True).select(
-        "uid", F.struct("ts_seconds", "original_order").alias("first_at"), *[F.col(c).alias(f"first_{c}") for c in columns]
-    )
-    copies = events.filter(F.col("uid").isNotNull()).join(first, "uid").withColumn(
-        "at", F.struct("ts_seconds", "original_order")
-    )
-    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"first_{c}")) for c in columns])
-    conflict = copies.filter(~same).agg(F.min("at")).scalar()
-    late = copies.filter(F.col("at") != F.col("first_at")).withColumn("conflict_at", conflict)
-    before = late.agg(F.count_if(F.col("conflict_at").isNull() | (F.col("at") < F.col("conflict_at")))).scalar()
-    judged = kept.withColumn("invalid", conflict.isNotNull()).withColumn("by_uid", F.coalesce(before, F.lit(0)))
-    return judged.select(
-        F.when(F.col("invalid"), "Invalid").otherwise("READY").alias("state"),
-        F.when(F.col("invalid"), F.lit(0)).otherwise(F.col("retained")).cast("long").alias("retained"),
-        (F.col("by_uid") + F.when(F.col("invalid"), 0).otherwise(F.col("exact_copies"))).cast("long").alias("duplicates"),
+    if by_uid and _mixed(events):
+        verdicts = written(judged(events), "dedup-verdicts")
+        verdicts = verdicts.select("at", "conflict", (F.col("at") == F.col("owner")).alias("kept"))
+    elif by_uid:
+        at = F.struct("ts_seconds", "original_order")
+        content = _digest(CONTENT)
+        first = events.groupBy("uid").agg(F.min(at).alias("first_at"), F.min_by(content, at).alias("first_content"))
+        both = events.select(at.alias("at"), "uid", content.alias("content")).join(first, "uid")
+        verdicts = both.select("at", (F.col("content") != F.col("first_content")).alias("conflict"), (F.col("at") == F.col("first_at")).alias("kept"))
+    else:
+        kept = retain_first(events, False).agg(F.count("*").alias("retained"), F.coalesce(F.sum("copies"), F.lit(0)).alias("records"))
+        return kept.select(F.lit("READY").alias("state"), "retained", (F.col("records") - F.col("retained")).alias("duplicates"))
+    conflict = verdicts.filter("conflict").agg(F.min("at")).scalar()
+    counted = verdicts.withColumn("stop", conflict)
+    before = ~F.col("kept") & (F.col("stop").isNull() | (F.col("at") < F.col("stop")))
+    totals = counted.agg(F.count_if("conflict").alias("conflicts"), F.count_if("kept").alias("kept"), F.count_if(before).alias("duplicates"))
+    return totals.select(
+        F.when(F.col("conflicts") > 0, "Invalid").otherwise("READY").alias("state"),
+        F.when(F.col("conflicts") > 0, F.lit(0)).otherwise(F.col("kept")).cast("long").alias("retained"),
+        F.col("duplicates").cast("long").alias("duplicates"),
     )

@@ -274,16 +274,36 @@ def dedup_by_identifier(w: Workload) -> DataFrame:
     return dedup.deduplicated(w.with_copies(), by_uid=True).select("uid", "client_id", "original_order", "copies")
 
 
+def _walked(name: str, payload: str) -> str:
+    """Rows of the data set of both kinds, walked one by one in order; each linked set of rows is walked on its own."""
+    return f"""
+{name}_rows AS MATERIALIZED (SELECT row_number() OVER (ORDER BY ts_seconds, original_order) AS i, *, (client_id, ts_seconds, event_type, payload) AS k FROM (
+  SELECT original_order * 8 AS original_order, CASE WHEN original_order % 3 <> 0 THEN uid END AS uid, client_id, ts_seconds, event_type, payload FROM base WHERE original_order % 10 <> 3
+  UNION ALL SELECT original_order * 8 + (v * 3 + original_order) % 8, CASE WHEN (original_order // 10 + v) % 3 = 0 THEN NULL WHEN v % 2 = 1 THEN uid ELSE uid || 'b' END,
+    client_id, ts_seconds + 30 * ((original_order + 2 * v) % 3), event_type, {payload} FROM base CROSS JOIN (SELECT unnest(range(6)) AS v) WHERE original_order % 10 = 3)),
+{name}_links AS MATERIALIZED (SELECT a.i AS a, b.i AS b FROM {name}_rows a JOIN {name}_rows b ON a.uid = b.uid UNION SELECT a.i, b.i FROM {name}_rows a JOIN {name}_rows b ON a.k = b.k),
+{name}_reach(a, b) AS (SELECT i, i FROM {name}_rows UNION SELECT r.a, l.b FROM {name}_reach r JOIN {name}_links l ON r.b = l.a),
+{name}_steps AS MATERIALIZED (SELECT r.*, c, row_number() OVER (PARTITION BY c ORDER BY i) AS step FROM {name}_rows r JOIN (SELECT a, min(b) AS c FROM {name}_reach GROUP BY a) ON a = i),
+{name}_walk AS (
+  SELECT c, step, i, i AS owner, false AS clash, [{{'i': i, 'uid': uid, 'k': k, 'what': (payload, client_id, event_type)}}] AS kept FROM {name}_steps WHERE step = 1
+  UNION ALL
+  SELECT c, step, i, coalesce(hit.i, i), hit IS NOT NULL AND uid = hit.uid AND what <> hit.what, CASE WHEN hit IS NULL THEN list_append(kept, {{'i': i, 'uid': uid, 'k': k, 'what': what}}) ELSE kept END
+  FROM (SELECT s.c, s.step, s.i, s.uid, s.k, (s.payload, s.client_id, s.event_type) AS what, kept,
+      list_filter(kept, lambda e: CASE WHEN e.uid IS NULL OR s.uid IS NULL THEN e.k = s.k ELSE e.uid = s.uid END)[1] AS hit
+    FROM {name}_walk w JOIN {name}_steps s ON s.c = w.c AND s.step = w.step + 1))"""
+
+
+_MIXED = _COPIES.replace("WITH base", "WITH RECURSIVE base").rstrip() + "," + _walked("mixed", "payload")
+_MIXED_CLASH = _MIXED + "," + _walked("odd", "CASE WHEN v = 4 AND original_order % 100 = 13 THEN 'changed' ELSE payload END")
+
+
 @query(
-    _COPIES + """, mixed AS (SELECT * REPLACE (CASE WHEN original_order % 3 = 0 THEN NULL ELSE uid END AS uid) FROM copies)
-SELECT uid, client_id, event_type, original_order, CAST(copies AS BIGINT) AS copies FROM (SELECT *, count(*) OVER w AS copies, row_number() OVER (w ORDER BY ts_seconds, original_order) AS i
-  FROM mixed WINDOW w AS (PARTITION BY uid, CASE WHEN uid IS NULL THEN (client_id, ts_seconds, event_type, payload) END)) WHERE i = 1"""
+    _MIXED + """
+SELECT uid, client_id, event_type, original_order, copies FROM mixed_rows JOIN (SELECT owner, count(*) AS copies FROM mixed_walk GROUP BY owner) ON owner = i"""
 )
 def dedup_mixed_identity(w: Workload) -> DataFrame:
-    """A third of the records lose their identifier; those are copies by the exact key among themselves."""
-    rows = w.with_copies()
-    mixed = rows.withColumn("uid", F.when(F.col("original_order") % 3 == 0, F.lit(None)).otherwise(F.col("uid")))
-    return dedup.deduplicated(mixed, by_uid=True).select("uid", "client_id", "event_type", "original_order", "copies")
+    """Records of both kinds: identifiers decide between identified rows, the exact key wherever one row has none."""
+    return dedup.deduplicated(w.with_mixed_copies(), by_uid=True).select("uid", "client_id", "event_type", "original_order", "copies")
 
 
 @query(
@@ -301,18 +321,22 @@ def dedup_conflicts(w: Workload) -> DataFrame:
 
 
 @query(
-    _COPIES + """, ranked AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY ts_seconds, original_order) AS i,
+    _MIXED_CLASH + """, ranked AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY ts_seconds, original_order) AS i,
   first_value(payload) OVER (PARTITION BY uid ORDER BY ts_seconds, original_order) AS p0 FROM clash),
 hit AS (SELECT min((ts_seconds, original_order)) AS first_hit FROM ranked WHERE payload <> p0)
 SELECT 'copies' AS data, 'READY' AS state, count(DISTINCT uid) AS retained, count(*) - count(DISTINCT uid) AS duplicates FROM copies
 UNION ALL SELECT 'clash', 'Invalid', CAST(0 AS BIGINT), count(*) FROM ranked, hit WHERE i > 1 AND (ts_seconds, original_order) < first_hit
-UNION ALL SELECT 'exact', 'READY', count(DISTINCT (client_id, ts_seconds, event_type, payload)), count(*) - count(DISTINCT (client_id, ts_seconds, event_type, payload)) FROM copies"""
+UNION ALL SELECT 'exact', 'READY', count(DISTINCT (client_id, ts_seconds, event_type, payload)), count(*) - count(DISTINCT (client_id, ts_seconds, event_type, payload)) FROM copies
+UNION ALL SELECT 'mixed', 'READY', count(*) FILTER (WHERE owner = i), count(*) FILTER (WHERE owner <> i) FROM mixed_walk
+UNION ALL SELECT 'mixed clash', 'Invalid', CAST(0 AS BIGINT), count(*) FILTER (WHERE owner <> i AND i < (SELECT min(i) FROM odd_walk WHERE clash)) FROM odd_walk"""
 )
 def dedup_accounting(w: Workload) -> DataFrame:
     good = dedup.accounting(w.with_copies(), by_uid=True).withColumn("data", F.lit("copies"))
     bad = dedup.accounting(w.with_copies(conflict=True), by_uid=True).withColumn("data", F.lit("clash"))
     exact = dedup.accounting(w.with_copies(), by_uid=False).withColumn("data", F.lit("exact"))
-    return good.unionByName(bad).unionByName(exact)
+    mixed = dedup.accounting(w.with_mixed_copies(), by_uid=True).withColumn("data", F.lit("mixed"))
+    odd = dedup.accounting(w.with_mixed_copies(conflict=True), by_uid=True).withColumn("data", F.lit("mixed clash"))
+    return good.unionByName(bad).unionByName(exact).unionByName(mixed).unionByName(odd)
 
 
 # -- client selection ---------------------------------------------------------------------------

@@ -119,6 +119,21 @@ class Workload:
             late = late.withColumn("payload", F.when(F.col("original_order") % 100 == 3, "changed").otherwise(F.col("payload")))
         return base.unionByName(late)
 
+    def with_mixed_copies(self, conflict: bool = False) -> DataFrame:
+        """Every tenth event six times, a third of the copies without identifier and others under a second one, at three times
+        out of order; every third other event without identifier. With ``conflict`` some copies disagree."""
+        base = self.flows().select("original_order", "uid", "client_id", "ts_seconds", "event_type", "payload")
+        o, v = F.col("original_order"), F.col("v")
+        often = base.filter(o % 10 == 3).withColumn("v", F.explode(F.array(*[F.lit(i).cast("long") for i in range(6)])))
+        uid = F.when((F.floor(o / 10) + v) % 3 == 0, F.lit(None)).when(v % 2 == 1, F.col("uid")).otherwise(F.concat("uid", F.lit("b")))
+        changed = (v == 4) & (o % 100 == 13) if conflict else F.lit(False)
+        often = often.select(
+            (o * 8 + (v * 3 + o) % 8).alias("original_order"), uid.alias("uid"), "client_id", (F.col("ts_seconds") + 30 * ((o + 2 * v) % 3)).alias("ts_seconds"),
+            "event_type", F.when(changed, "changed").otherwise(F.col("payload")).alias("payload"),
+        )
+        once = base.filter(o % 10 != 3).withColumn("uid", F.when(o % 3 == 0, F.lit(None)).otherwise(F.col("uid")))
+        return once.withColumn("original_order", o * 8).unionByName(often)
+
     # -- clients and epochs ---------------------------------------------------------------------
 
     def sparse(self) -> DataFrame:
