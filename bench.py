@@ -30,7 +30,7 @@ def _stages(w: Workload):
     yield "scaled_scores", lambda: (w.scaler(), w.scores())
     yield "marginal_ranks", lambda: w.ranks()
     yield "campaign_registry", lambda: (w.epoch_labels(), w.epoch_runs(), w.registry())
-    yield "context_centroids", lambda: (w.capped(), w.centroids())
+    yield "context_centroids", lambda: w.centroids()
     yield "coalition_epochs", lambda: w.cells()
     yield "conditional_ranks", lambda: (w.support(), w.conditional())
     yield "cross_fitted_projection", lambda: (w.folded(), w.fits())

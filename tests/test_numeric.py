@@ -163,11 +163,45 @@ def test_kmeans_finds_separated_groups(spark):
     frame = spark.createDataFrame(rows, "dataset string, ord int, members array<string>, epoch long, hist array<double>")
     capped = contexts.capped_rows(frame, 4100, 1000)
     assert sorted(r["pos"] for r in capped.collect()) == list(range(120))
-    best = contexts.fit_centroids(capped, 2, 5, 50, 1e-6, 1e-12, 7)[1]
+    assert contexts.capped_rows(frame, 4100, 7).count() == 7
+    best = contexts.fit_centroids(frame, 2, 5, 50, 1e-6, 1e-12, 7).first()["cells"]
     x = np.array([r[4] for r in rows])
     groups = [x[[i for i in range(120) if (i % 3 > 0) == side]].mean(0) for side in (True, False)]
     np.testing.assert_allclose(sorted(best), sorted(g.tolist() for g in groups), atol=1e-9)
-    assert contexts.fit_centroids(contexts.capped_rows(frame, 4100, 1), 2, 1, 5, 1e-6, 1e-12, 7) == {}
+    assert contexts.fit_centroids(frame.limit(1), 2, 1, 5, 1e-6, 1e-12, 7).collect() == []
+
+
+def plain_kmeans(x, cells, restarts, iterations, tolerance, tie, seed):
+    """Row by row: the same draws, no weights, no distinct histograms."""
+    x = np.array(sorted(x.tolist()))
+    n, runs = len(x), []
+    for r in range(restarts):
+        state = x[contexts._starts(seed, n, r, cells)]
+        for step in range(iterations):
+            far = np.sqrt(((x[:, None] - state[None]) ** 2).sum(2))
+            cell = (far - far.min(1, keepdims=True) <= tie).argmax(1)
+            new = np.stack([x[cell == c].mean(0) if (cell == c).any() else x[contexts.draw_number(seed, n, r, c, step)] for c in range(cells)])
+            shift = np.linalg.norm(new - state, axis=1).max()
+            inertia = sum(((x[cell == c] - new[c]) ** 2).sum() for c in range(cells))
+            state = new
+            if shift <= tolerance:
+                break
+        runs.append((inertia, state))
+    least = min(i for i, _ in runs)
+    return next(s for i, s in runs if i <= least + 1e-9 * (1 + least))
+
+
+@pytest.mark.parametrize("cells", [2, 4])
+def test_kmeans_agrees_with_plain_rows(spark, cells):
+    """Two keys, many equal histograms (so that cells run empty) and every restart to its end."""
+    rng = np.random.default_rng(cells)
+    x = {o: np.repeat(rng.integers(0, 4, size=(9, 3)) / 8, rng.integers(1, 30, size=9), axis=0) for o in (1, 2)}
+    frame = spark.createDataFrame([(o, h.tolist()) for o, m in x.items() for h in m], "ord int, hist array<double>").repartition(3)
+    got = {r["ord"]: r["cells"] for r in contexts.fit_centroids(frame, cells, 6, 50, 1e-9, 1e-12, 11).collect()}
+    for o, m in x.items():
+        np.testing.assert_allclose(got[o], plain_kmeans(m, cells, 6, 50, 1e-9, 1e-12, 11), atol=1e-12)
+    two = spark.createDataFrame([(1, [0.5])] * 5, "ord int, hist array<double>")
+    assert contexts.fit_centroids(two, 2, 3, 10, 1e-9, 1e-12, 1).first()["cells"] == [[0.5], [0.5]]
 
 
 def test_training_hash_is_canonical_json(spark):

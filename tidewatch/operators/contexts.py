@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -101,8 +103,8 @@ def training_hash(dataset: Column, order: Column, members: Column, epoch: Column
     return F.substring(F.sha2(body, 256), 1, 16)
 
 
-def capped_rows(rows: DataFrame, seed: int, cap: int, by: tuple[str, ...] = ("ord",)) -> DataFrame:
-    """Training rows per order in hash order with position ``pos``; at most ``cap`` of each order.
+def hashed_rows(rows: DataFrame, seed: int, by: tuple[str, ...] = ("ord",)) -> DataFrame:
+    """Training rows with their position ``pos`` in hash order.
 
     ``rows`` has ``dataset, ord, members, epoch``; ``by`` names the keys of one clustering. The hash is uniform, so its first digits cut
     the rows into equal chunks and no order is ever sorted in one task.
@@ -112,7 +114,12 @@ def capped_rows(rows: DataFrame, seed: int, cap: int, by: tuple[str, ...] = ("or
     ).withColumn("_one", F.lit(1).cast("long"))
     chunk = F.conv(F.substring("row_hash", 1, 3), 16, 10).cast("long")
     ran = prefix.running_sums(hashed, list(by), ["row_hash", "members", "epoch"], chunk, {"pos": "_one"})
-    return ran.withColumn("pos", F.col("pos") - 1).drop("_one").filter(F.col("pos") < cap)
+    return ran.withColumn("pos", F.col("pos") - 1).drop("_one")
+
+
+def capped_rows(rows: DataFrame, seed: int, cap: int, by: tuple[str, ...] = ("ord",)) -> DataFrame:
+    """The ``cap`` rows of each order with the smallest hashes. An operator of its own; centroids are fitted to all rows."""
+    return hashed_rows(rows, seed, by).filter(F.col("pos") < cap)
 
 
 def assign_cells(rows: DataFrame, centroids: DataFrame, tolerance: float, by: tuple[str, ...] = ("ord",)) -> DataFrame:
@@ -163,50 +170,70 @@ def weigh(capped: DataFrame, by: tuple[str, ...] = ("ord",)) -> DataFrame:
     return capped.groupBy(*by, "hist").agg(F.count("*").alias("w"))
 
 
-def fit_centroids(
-    capped: DataFrame, cells: int, restarts: int, iterations: int, tolerance: float, tie: float, seed: int
-) -> dict[int, list[list[float]]]:
-    """K-means per order with restarts; the best inertia wins. Orders with too few rows get none.
+def draw_number(seed: int, n: int, *names: int) -> int:
+    """A number below n from the SHA-256 of the seed and the names, the same on every engine."""
+    text = ":".join(str(x) for x in (seed, *names))
+    return int(hashlib.sha256(text.encode()).hexdigest()[:15], 16) % n
+
+
+def _starts(seed: int, n: int, restart: int, cells: int) -> list[int]:
+    """Numbers of ``cells`` different rows of n: each draw is among the rows that are left, in order."""
+    taken: list[int] = []
+    for j in range(cells):
+        x = draw_number(seed, n - j, restart, j)
+        for t in sorted(taken):
+            x += x >= t
+        taken.append(x)
+    return taken
 
-    One Spark job per Lloyd iteration serves every order and restart. The driver holds only
-    centroids: orders x restarts x cells x bins numbers.
+
+def numbered_histograms(rows: DataFrame, by: tuple[str, ...] = ("ord",)) -> DataFrame:
+    """Distinct histograms with their weight ``w`` and row numbers ``lo`` up to ``hi`` (exclusive) of ``n``.
+
+    Rows are numbered in the order of their histograms, so equal ones have neighbouring numbers.
     """
-    stage = written(capped.select("ord", "pos", "hist"), "context-rows")
-    weighted = written(stage.groupBy("ord", "hist").agg(F.count("*").alias("w")), "context-weights")
-    sizes = {r["ord"]: r["n"] for r in stage.groupBy("ord").agg(F.count("*").alias("n")).collect()}
-    rng = np.random.default_rng(seed % (1 << 32))
-    state: dict[tuple[int, int], np.ndarray] = {}
-    wanted = {}
-    for order, n in sorted(sizes.items()):
-        if n < cells:
-            continue
-        for restart in range(restarts):
-            wanted[order, restart] = rng.choice(n, size=cells, replace=False)
-
-    def rows_at(picks: dict) -> dict:
-        pairs = sorted({(o, int(p)) for (o, _r), ps in picks.items() for p in np.atleast_1d(ps)})
-        if not pairs:
+    chunk = F.floor(F.coalesce(F.get("hist", F.lit(0)), F.lit(0.0)) * 1024).cast("long")
+    ran = prefix.running_sums(weigh(rows, by), list(by), ["hist"], chunk, {"hi": "w"}, whole=True)
+    return ran.select(*by, "hist", "w", (F.col("hi") - F.col("w")).alias("lo"), "hi", F.col("hi_all").alias("n"))
+
+
+def fit_centroids(
+    rows: DataFrame, cells: int, restarts: int, iterations: int, tolerance: float, tie: float, seed: int, by: tuple[str, ...] = ("ord",)
+) -> DataFrame:
+    """K-means with restarts over all training rows, as (by, cells); keys with fewer rows than cells have none.
+
+    Rows shrink to distinct histograms with weights once. One Spark job per Lloyd iteration serves every key and every restart that still
+    moves; the driver holds centroids only: keys x restarts x cells x bins numbers. A cell without rows starts again
+    from a drawn row. A restart ends when no centroid moves by more than ``tolerance``. Within a billionth of the least
+    inertia the first restart wins, so restarts that meet at the same cells are not told apart by rounding.
+    """
+    table = written(numbered_histograms(rows, by), "context-histograms")
+    spark, kinds = table.sparkSession, dict(table.dtypes)
+    head = ", ".join(f"{k} {kinds[k]}" for k in by)
+    sizes = {tuple(r[k] for k in by): r["n"] for r in table.groupBy(*by).agg(F.max("n").alias("n")).collect()}
+
+    def rows_at(asked: dict[tuple, int]) -> dict[tuple, np.ndarray]:
+        """Histogram of each asked row; ``asked`` maps (key, name) to a row number. There are few."""
+        if not asked:
             return {}
-        ask = stage.sparkSession.createDataFrame(pairs, "ord int, pos long")
-        found = stage.join(ask, ["ord", "pos"]).collect()
-        return {(r["ord"], r["pos"]): np.array(r["hist"]) for r in found}
-
-    rows = rows_at(wanted)
-    for (order, restart), picks in wanted.items():
-        state[order, restart] = np.stack([rows[order, int(p)] for p in picks])
-    running = set(state)
-    inertia: dict[tuple[int, int], float] = {}
+        names = list(asked)
+        few = spark.createDataFrame([(*names[i][0], i, asked[names[i]]) for i in range(len(names))], f"{head}, i int, x long")
+        hit = (F.col("x") >= F.col("lo")) & (F.col("x") < F.col("hi"))
+        return {names[r["i"]]: np.array(r["hist"]) for r in table.join(F.broadcast(few), list(by)).filter(hit).select("i", "hist").collect()}
+
+    starts = {(key, (r, j)): x for key, n in sizes.items() if n >= cells for r in range(restarts) for j, x in enumerate(_starts(seed, n, r, cells))}
+    first = rows_at(starts)
+    state = {(key, r): np.stack([first[key, (r, j)] for j in range(cells)]) for key, n in sizes.items() if n >= cells for r in range(restarts)}
+    running, inertia = set(state), {}
+    bins = len(next(iter(state.values()))[0]) if state else 0
     for step in range(iterations):
         if not running:
             break
-        table = stage.sparkSession.createDataFrame(
-            [(o, r, state[o, r].tolist()) for o, r in sorted(running)], "ord int, restart int, cells array<array<double>>"
-        )
-        bins = len(next(iter(state.values()))[0])
+        now = spark.createDataFrame([(*key, r, state[key, r].tolist()) for key, r in sorted(running)], f"{head}, restart int, cells array<array<double>>")
         got = (
-            weighted.join(table, "ord")
+            table.join(F.broadcast(now), list(by))
             .withColumn("cell", arrays.nearest(F.col("hist"), F.col("cells"), tie))
-            .groupBy("ord", "restart", "cell")
+            .groupBy(*by, "restart", "cell")
             .agg(
                 F.sum("w").alias("w"),
                 F.array(*[F.sum(F.get("hist", F.lit(i)) * F.col("w")) for i in range(bins)]).alias("s"),
@@ -214,37 +241,27 @@ def fit_centroids(
             )
             .collect()
         )
-        groups: dict[tuple[int, int], dict[int, tuple]] = {}
+        groups: dict[tuple, dict[int, tuple]] = {}
         for g in got:
             mean = np.array(g["s"]) / g["w"]
-            spread = g["sq"] - g["w"] * float(mean @ mean)
-            groups.setdefault((g["ord"], g["restart"]), {})[g["cell"]] = (mean, spread)
-        reseed: dict[tuple[int, int], list[int]] = {}
-        for key in sorted(running):
-            lost = [c for c in range(cells) if c not in groups[key]]
-            if lost:
-                reseed[key] = rng.integers(0, sizes[key[0]], size=len(lost))
-        fresh = rows_at(reseed)
-        for key in sorted(running):
-            old, new = state[key], state[key].copy()
-            lost = iter(reseed.get(key, []))
-            for c in range(cells):
-                new[c] = groups[key][c][0] if c in groups[key] else fresh[key[0], int(next(lost))]
-            shift = float(np.max(np.linalg.norm(new - old, axis=1)))
-            inertia[key] = sum(v[1] for v in groups[key].values())
-            if shift <= tolerance or step == iterations - 1:
-                running.discard(key)
-            state[key] = new
-    best: dict[int, list[list[float]]] = {}
-    for order in sizes:
-        runs = [k for k in state if k[0] == order]
-        if runs:
-            best[order] = state[min(runs, key=lambda k: (inertia[k], k[1]))].tolist()
-    return best
-
-
-def centroid_table(spark, centroids: dict[int, list[list[float]]]) -> DataFrame:
-    return spark.createDataFrame(sorted(centroids.items()), "ord int, cells array<array<double>>")
+            groups.setdefault((tuple(g[k] for k in by), g["restart"]), {})[g["cell"]] = (mean, g["sq"] - g["w"] * float(mean @ mean))
+        lost = {(key, (r, c)): draw_number(seed, sizes[key], r, c, step) for key, r in running for c in range(cells) if c not in groups[key, r]}
+        fresh = rows_at(lost)
+        for key, r in sorted(running):
+            found = groups[key, r]
+            new = np.stack([found[c][0] if c in found else fresh[key, (r, c)] for c in range(cells)])
+            shift = float(np.max(np.linalg.norm(new - state[key, r], axis=1)))
+            inertia[key, r] = sum(v[1] for v in found.values())
+            state[key, r] = new
+            if shift <= tolerance:
+                running.discard((key, r))
+    best = []
+    for key, n in sorted(sizes.items()):
+        if n >= cells:
+            least = min(inertia[key, r] for r in range(restarts))
+            chosen = min(r for r in range(restarts) if inertia[key, r] <= least + 1e-9 * (1 + least))
+            best.append((*key, state[key, chosen].tolist()))
+    return spark.createDataFrame(best, f"{head}, cells array<array<double>>")
 
 
 def required_support(order: Column, minima: tuple[int, int, int]) -> Column:

@@ -62,7 +62,6 @@ class Params:
     kmeans_restarts: int = 20
     kmeans_iterations: int = 300
     kmeans_tolerance: float = 1e-4
-    kmeans_rows: int = 200_000
     tie_tolerance: float = 1e-12
     context_seed: int = 4100
     support_minima: tuple[int, int, int] = (100, 200, 400)

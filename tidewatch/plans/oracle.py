@@ -7,6 +7,65 @@ windows), so it is a check that does not share the shape of the Spark plans.
 
 from __future__ import annotations
 
+
+
+def _kmeans(p: str, rows: str, keys: str, restarts: int = 20, iterations: int = 300) -> list[tuple[str, str]]:
+    """K-means with two cells over the histograms of ``rows``, one row per restart and iteration."""
+
+    def draw(names: str, below: str) -> str:
+        return f"('0x' || substr(sha256('4100:' || {names}), 1, 15))::BIGINT % {below}"
+
+    def mean(cell: int) -> str:
+        return "[" + ", ".join(f"sum(w * hist[{i}]) FILTER (cell = {cell}) / sum(w) FILTER (cell = {cell})" for i in range(1, 9)) + "]"
+
+    def square(m: str) -> str:
+        return f"list_sum(list_transform({m}, lambda v: v * v))"
+
+    key_list = keys.split(", ")
+    same = " AND ".join(f"s.{k} = h.{k}" for k in key_list)
+    return [
+        (f"{p}weights", f"SELECT {keys}, hist, count(*) AS w FROM {rows} GROUP BY ALL"),
+        (f"{p}numbered", f"""
+SELECT *, sum(w) OVER (PARTITION BY {keys} ORDER BY hist) - w AS lo, CAST(sum(w) OVER (PARTITION BY {keys}) AS BIGINT) AS n FROM {p}weights"""),
+        (f"{p}starts", f"""
+SELECT {keys}, r, max(hist) FILTER (j = 0) AS c0, max(hist) FILTER (j = 1) AS c1 FROM (
+  SELECT s.* , h.hist FROM (SELECT {keys}, r, j, CASE WHEN j = 0 THEN x0 WHEN x1 >= x0 THEN x1 + 1 ELSE x1 END AS x FROM (
+    SELECT {keys}, r, {draw("r || ':0'", "n")} AS x0, {draw("r || ':1'", "(n - 1)")} AS x1
+    FROM (SELECT DISTINCT {keys}, n FROM {p}numbered WHERE n >= 2), (SELECT unnest(range(0, {restarts})) AS r)), (SELECT unnest([0, 1]) AS j)) s
+  ASOF JOIN {p}numbered h ON {same} AND s.x >= h.lo) GROUP BY ALL"""),
+        (f"{p}again", f"""
+SELECT {keys}, r, it, max(hist) FILTER (j = 0) AS f0, max(hist) FILTER (j = 1) AS f1 FROM (
+  SELECT s.*, h.hist FROM (SELECT {keys}, r, it, j, {draw("r || ':' || j || ':' || it", "n")} AS x FROM (SELECT DISTINCT {keys}, n FROM {p}numbered WHERE n >= 2),
+    (SELECT unnest(range(0, {restarts})) AS r), (SELECT unnest(range(0, {iterations})) AS it), (SELECT unnest([0, 1]) AS j)) s
+  ASOF JOIN {p}numbered h ON {same} AND s.x >= h.lo) GROUP BY ALL"""),
+        (f"{p}lloyd", f"""
+SELECT {keys}, r, CAST(0 AS BIGINT) AS it, c0, c1, CAST(1e9 AS DOUBLE) AS shift, CAST(0 AS DOUBLE) AS inertia FROM {p}starts
+UNION ALL
+SELECT {keys}, r, it + 1, n0, n1, greatest(list_distance(c0, n0), list_distance(c1, n1)), inertia FROM (
+  SELECT {keys}, r, it, c0, c1, CASE WHEN w0 > 0 THEN m0 ELSE f0 END AS n0, CASE WHEN w1 > 0 THEN m1 ELSE f1 END AS n1,
+    sq - CASE WHEN w0 > 0 THEN w0 * {square('m0')} ELSE 0 END - CASE WHEN w1 > 0 THEN w1 * {square('m1')} ELSE 0 END AS inertia
+  FROM (SELECT {keys}, r, it, c0, c1, {mean(0)} AS m0, {mean(1)} AS m1, sum(w) FILTER (cell = 0) AS w0, sum(w) FILTER (cell = 1) AS w1, sum(w * {square('hist')}) AS sq
+    FROM (SELECT k.*, w, hist, CASE WHEN list_distance(hist, c0) - least(list_distance(hist, c0), list_distance(hist, c1)) <= 1e-12 THEN 0 ELSE 1 END AS cell
+      FROM {p}lloyd k JOIN {p}weights USING ({keys}) WHERE k.shift > 1e-4 AND k.it < {iterations}) GROUP BY ALL)
+  JOIN {p}again USING ({keys}, r, it))"""),
+        (f"{p}centroids", f"""
+SELECT {keys}, arg_min(c0, r) AS c0, arg_min(c1, r) AS c1 FROM (SELECT *, min(inertia) OVER (PARTITION BY {keys}) AS least FROM (
+  SELECT {keys}, r, arg_max(c0, it) AS c0, arg_max(c1, it) AS c1, arg_max(inertia, it) AS inertia FROM {p}lloyd GROUP BY ALL))
+WHERE inertia <= least + 1e-9 * (1 + least) GROUP BY ALL"""),
+    ]
+
+
+#: the first distinct histograms in hash order and one mean step from them
+LLOYD_STEP = """,
+capped AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY ord ORDER BY row_hash, members, epoch) - 1 AS pos FROM training),
+seeds AS (SELECT ord, max(hist) FILTER (i = 1) AS c0, max(hist) FILTER (i = 2) AS c1 FROM (
+  SELECT ord, hist, row_number() OVER (PARTITION BY ord ORDER BY min(pos)) AS i FROM capped GROUP BY ord, hist) WHERE i <= 2 GROUP BY 1),
+stepped AS (SELECT ord, list(m ORDER BY bin) FILTER (cell = 0) AS c0, list(m ORDER BY bin) FILTER (cell = 1) AS c1 FROM (
+  SELECT ord, cell, bin, avg(mass) AS m FROM (
+    SELECT ord, CASE WHEN list_distance(hist, c0) - least(list_distance(hist, c0), list_distance(hist, c1)) <= 1e-12 THEN 0 ELSE 1 END AS cell,
+      unnest(hist) AS mass, unnest(range(0, 8)) AS bin FROM capped JOIN seeds USING (ord)) GROUP BY ALL) GROUP BY 1)
+"""
+
 STEPS: list[tuple[str, str]] = [
     ("labelled", """
 SELECT event_id AS original_order, CAST(event_id AS VARCHAR) AS uid, user_id,
@@ -120,16 +179,7 @@ FROM coalition_epochs c JOIN fed_bins f USING (stream, epoch)"""),
 SELECT ord, members, epoch, hist, substr(sha256('{"coalition_client_ids":["' || array_to_string(members, '","') || '"],"coalition_order":' || ord
   || ',"context_seed":4100,"dataset":"network","epoch_index":' || epoch || '}'), 1, 16) AS row_hash
 FROM hists JOIN coalitions USING (coalition_id, ord) WHERE stream = 'benign' AND partition = 'nuisance_fit'"""),
-    ("capped", """
-SELECT *, row_number() OVER (PARTITION BY ord ORDER BY row_hash, members, epoch) - 1 AS pos FROM training"""),
-    ("seeds", """
-SELECT ord, max(hist) FILTER (i = 1) AS c0, max(hist) FILTER (i = 2) AS c1 FROM (
-  SELECT ord, hist, row_number() OVER (PARTITION BY ord ORDER BY min(pos)) AS i FROM capped GROUP BY ord, hist) WHERE i <= 2 GROUP BY 1"""),
-    ("centroids", """
-SELECT ord, list(m ORDER BY bin) FILTER (cell = 0) AS c0, list(m ORDER BY bin) FILTER (cell = 1) AS c1 FROM (
-  SELECT ord, cell, bin, avg(mass) AS m FROM (
-    SELECT ord, CASE WHEN list_distance(hist, c0) - least(list_distance(hist, c0), list_distance(hist, c1)) <= 1e-12 THEN 0 ELSE 1 END AS cell,
-      unnest(hist) AS mass, unnest(range(0, 8)) AS bin FROM capped JOIN seeds USING (ord)) GROUP BY ALL) GROUP BY 1"""),
+    *_kmeans("", "training", "ord"),
     ("cells", """
 SELECT h.*, CASE WHEN list_distance(hist, c0) - least(list_distance(hist, c0), list_distance(hist, c1)) <= 1e-12 THEN 0 ELSE 1 END AS cell
 FROM hists h JOIN centroids USING (ord)"""),
@@ -291,18 +341,7 @@ SELECT a.held, a.epoch, list(a.c ORDER BY a.b) AS counts FROM (
 SELECT c.* EXCLUDE (bs), list_transform(range(0, 8), lambda k: (f.counts[k + 1] - len(list_filter(coalesce(c.bs, []), lambda x: x = k))) / CAST(12 - c.ord AS DOUBLE)) AS hist
 FROM (SELECT m.coalition_id, m.ord, r.held, r.mine, r.epoch, list(r.rank ORDER BY m.slot) AS u, list(l.b) FILTER (l.b IS NOT NULL) AS bs
   FROM member_slots m JOIN x_ranks r USING (client_id) LEFT JOIN x_lagged l USING (held, epoch, client_id) WHERE m.ord <= 2 GROUP BY ALL) c JOIN x_fed f USING (held, epoch)"""),
-    ("x_capped", """
-SELECT *, row_number() OVER (PARTITION BY held, ord ORDER BY row_hash, members, epoch) - 1 AS pos FROM (
-  SELECT held, ord, members, epoch, hist, substr(sha256('{"coalition_client_ids":["' || array_to_string(members, '","') || '"],"coalition_order":' || ord
-    || ',"context_seed":4100,"dataset":"network","epoch_index":' || epoch || '}'), 1, 16) AS row_hash
-  FROM x_hists JOIN coalitions USING (coalition_id, ord) WHERE mine <> held)"""),
-    ("x_seeds", """
-SELECT held, ord, max(hist) FILTER (i = 1) AS c0, max(hist) FILTER (i = 2) AS c1 FROM (
-  SELECT held, ord, hist, row_number() OVER (PARTITION BY held, ord ORDER BY min(pos)) AS i FROM x_capped GROUP BY held, ord, hist) WHERE i <= 2 GROUP BY 1, 2"""),
-    ("x_centroids", """
-SELECT held, ord, list(m ORDER BY bin) FILTER (cell = 0) AS c0, list(m ORDER BY bin) FILTER (cell = 1) AS c1 FROM (SELECT held, ord, cell, bin, avg(mass) AS m FROM (
-  SELECT held, ord, CASE WHEN list_distance(hist, c0) - least(list_distance(hist, c0), list_distance(hist, c1)) <= 1e-12 THEN 0 ELSE 1 END AS cell,
-    unnest(hist) AS mass, unnest(range(0, 8)) AS bin FROM x_capped JOIN x_seeds USING (held, ord)) GROUP BY ALL) GROUP BY 1, 2"""),
+    *_kmeans("x_", "(SELECT * FROM x_hists WHERE mine <> held)", "held, ord"),
     ("x_cells", """
 SELECT h.*, CASE WHEN list_distance(hist, c0) - least(list_distance(hist, c0), list_distance(hist, c1)) <= 1e-12 THEN 0 ELSE 1 END AS cell FROM x_hists h JOIN x_centroids USING (held, ord)"""),
     ("x_slots", """
@@ -334,11 +373,11 @@ JOIN x_chosen USING (held, coalition_id, cell, l) WHERE p.mine = p.held"""),
 ]
 
 # steps that are read often are kept by the engine instead of being recomputed
-_KEEP = {"grid", "scores", "ranks", "hists", "cells", "conditional", "fit_points", "slopes", "evidence", "horizon_states", "capped", "x_scores", "x_ranks", "x_hists", "x_cells", "x_slots", "x_train", "x_slopes"}
+_KEEP = {"grid", "scores", "ranks", "hists", "cells", "conditional", "fit_points", "slopes", "evidence", "horizon_states", "weights", "numbered", "again", "x_weights", "x_numbered", "x_again", "x_scores", "x_ranks", "x_hists", "x_cells", "x_slots", "x_train", "x_slopes"}
 
 
 def chain(upto: str, final: str) -> str:
     names = [n for n, _ in STEPS]
     used = STEPS[: names.index(upto) + 1]
     parts = [f"{n} AS {'MATERIALIZED ' if n in _KEEP else ''}({body.strip()})" for n, body in used]
-    return "WITH " + ",\n".join(parts) + "\n" + final  # ``final`` may start with ", name AS (...)"
+    return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + final  # ``final`` may start with ", name AS (...)"

@@ -14,7 +14,7 @@ from tidewatch.operators import (
     partitions, perturb, policy, projection, sequential, statistics,
 )
 from tidewatch.params import PARTITIONS, WorkloadParams
-from tidewatch.plans.oracle import chain
+from tidewatch.plans.oracle import LLOYD_STEP, chain
 from tidewatch.plans.workload import Workload
 from tidewatch.session import fresh_path
 from tidewatch.sources import flows
@@ -751,7 +751,7 @@ def context_shuffled(w: Workload) -> DataFrame:
     return contexts.shuffled_epochs(epochs, ["stream", "partition"], 11)
 
 
-@query("SELECT CAST(ord AS BIGINT) AS ord, array_to_string(members, '|') AS coalition_id, epoch, CAST(pos AS BIGINT) AS pos, row_hash FROM capped WHERE pos < 5000", "capped")
+@query(LLOYD_STEP + "SELECT CAST(ord AS BIGINT) AS ord, array_to_string(members, '|') AS coalition_id, epoch, CAST(pos AS BIGINT) AS pos, row_hash FROM capped WHERE pos < 5000", "training")
 def context_row_cap(w: Workload) -> DataFrame:
     """The cap operator: rows of each order with the smallest hashes."""
     rows = contexts.capped_rows(w.training_rows(), w.p.context_seed, 5000)
@@ -759,25 +759,33 @@ def context_row_cap(w: Workload) -> DataFrame:
 
 
 @query(
-    "SELECT CAST(ord AS BIGINT) AS ord, CAST(cell AS BIGINT) AS cell, CAST(bin AS BIGINT) AS bin, round(mass, 9) AS mass FROM (SELECT ord, 0 AS cell, unnest(c0) AS mass, unnest(range(0, 8)) AS bin FROM centroids "
-    "UNION ALL SELECT ord, 1, unnest(c1), unnest(range(0, 8)) FROM centroids)",
-    "centroids",
+    LLOYD_STEP + "SELECT CAST(ord AS BIGINT) AS ord, CAST(cell AS BIGINT) AS cell, CAST(bin AS BIGINT) AS bin, round(mass, 9) AS mass FROM (SELECT ord, 0 AS cell, unnest(c0) AS mass, "
+    "unnest(range(0, 8)) AS bin FROM stepped UNION ALL SELECT ord, 1, unnest(c1), unnest(range(0, 8)) FROM stepped)",
+    "training",
 )
 def context_lloyd_step(w: Workload) -> DataFrame:
-    rows = w.centroids().select("ord", F.posexplode("cells").alias("cell", "c"))
+    """One mean step from the first distinct histograms in hash order."""
+    hashed = w.stage("hashed-rows", lambda: contexts.hashed_rows(w.training_rows(), w.p.context_seed))
+    start = contexts.seed_centroids(hashed, w.p.cells)
+    rows = contexts.lloyd_step(contexts.weigh(hashed), start, w.p.tie_tolerance).select("ord", F.posexplode("cells").alias("cell", "c"))
     return rows.select(n64("ord").alias("ord"), n64("cell").alias("cell"), F.posexplode("c").alias("bin", "mass")).select(
         "ord", "cell", n64("bin").alias("bin"), F.round("mass", 9).alias("mass")
     )
 
 
-@query()
+@query(
+    """SELECT CAST(ord AS BIGINT) AS ord, CAST(cell AS BIGINT) AS cell, CAST(bin AS BIGINT) AS bin, round(mass, 9) AS mass, CAST(rows AS BIGINT) AS rows FROM (
+  SELECT ord, 0 AS cell, unnest(c0) AS mass, unnest(range(0, 8)) AS bin FROM centroids UNION ALL SELECT ord, 1, unnest(c1), unnest(range(0, 8)) FROM centroids)
+JOIN (SELECT ord, cell, sum(w) AS rows FROM (SELECT w.*, CASE WHEN list_distance(hist, c0) - least(list_distance(hist, c0), list_distance(hist, c1)) <= 1e-12 THEN 0 ELSE 1 END AS cell
+  FROM weights w JOIN centroids USING (ord)) GROUP BY ALL) USING (ord, cell)""",
+    "centroids",
+)
 def context_kmeans(w: Workload) -> DataFrame:
-    """Restarted k-means to convergence; the best restart per order."""
-    p = w.p
-    best = contexts.fit_centroids(w.capped(), p.cells, 4, 30, p.kmeans_tolerance, p.tie_tolerance, p.context_seed)
-    table = contexts.centroid_table(w.spark, best)
-    sizes = contexts.assign_cells(contexts.weigh(w.capped()), table, p.tie_tolerance).groupBy("ord", "cell").agg(F.sum("w").alias("rows"))
-    return sizes.select("ord", "cell", "rows")
+    """Centroids of the best of all restarts over all training rows, with the rows of each cell."""
+    table = w.centroids()
+    sizes = contexts.assign_cells(contexts.weigh(w.training_rows()), table, w.p.tie_tolerance).groupBy("ord", "cell").agg(F.sum("w").alias("rows"))
+    long = table.select("ord", F.posexplode("cells").alias("cell", "c")).select("ord", "cell", F.posexplode("c").alias("bin", "mass"))
+    return long.join(sizes, ["ord", "cell"]).select(n64("ord").alias("ord"), n64("cell").alias("cell"), n64("bin").alias("bin"), F.round("mass", 9).alias("mass"), "rows")
 
 
 @query("SELECT coalition_id, stream, CAST(cell AS BIGINT) AS cell, count(*) AS epochs, CAST(sum(epoch) AS BIGINT) AS epoch_sum FROM cells GROUP BY ALL", "cells")

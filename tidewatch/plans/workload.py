@@ -257,19 +257,13 @@ class Workload:
             F.lit(self.p.dataset).alias("dataset"), "ord", F.split("coalition_id", r"\|").alias("members"), "epoch", "hist"
         )
 
-    def capped(self) -> DataFrame:
+    def _kmeans(self, rows: DataFrame, by: tuple[str, ...] = ("ord",)) -> DataFrame:
         p = self.p
-        return self.stage("capped", lambda: contexts.capped_rows(self.training_rows(), p.context_seed, p.kmeans_rows))
+        return contexts.fit_centroids(rows, p.cells, p.kmeans_restarts, p.kmeans_iterations, p.kmeans_tolerance, p.tie_tolerance, p.context_seed, by)
 
     def centroids(self) -> DataFrame:
-        """One Lloyd step from the first distinct histograms in hash order."""
-        p = self.p
-        return self.stage(
-            "centroids",
-            lambda: contexts.lloyd_step(
-                contexts.weigh(self.capped()), contexts.seed_centroids(self.capped(), p.cells), p.tie_tolerance
-            ),
-        )
+        """K-means over all training rows, with restarts."""
+        return self.stage("centroids", lambda: self._kmeans(self.training_rows()))
 
     def cells(self) -> DataFrame:
         """Active coalition epochs with their context cell."""
@@ -456,15 +450,8 @@ class Workload:
             hist = contexts.exact_histogram(F.col("idx"), F.col("_bins"), F.col("_counts"), F.col("avail"), F.col("_n"))
             rows = wide.filter("active").select("held", "own", "coalition_id", "ord", "epoch", "u", hist.alias("hist"))
             rows = self.stage(f"crossfit-rows-{check}", lambda: rows)
-            train = rows.filter("own <> held").select(
-                "held", F.lit(p.dataset).alias("dataset"), "ord", F.split("coalition_id", r"\|").alias("members"), "epoch", "hist"
-            )
-            capped = self.stage(f"crossfit-capped-{check}", lambda: contexts.capped_rows(train, p.context_seed, p.kmeans_rows, by))
-            start = contexts.seed_centroids(capped, p.cells, by)
-            centroids = self.stage(
-                f"crossfit-centroids-{check}",
-                lambda: contexts.lloyd_step(contexts.weigh(capped, by), start, p.tie_tolerance, by),
-            )
+            train = rows.filter("own <> held").select("held", "ord", "hist")
+            centroids = self.stage(f"crossfit-centroids-{check}", lambda: self._kmeans(train, by))
             found = contexts.assign_cells(rows, centroids, p.tie_tolerance, by)
             # a variant of a coalition is a coalition of its own from here on
             name = F.concat_ws("#", F.col("held").cast("string"), "coalition_id")
