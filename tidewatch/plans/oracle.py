@@ -16,7 +16,7 @@ def _kmeans(p: str, rows: str, keys: str, restarts: int = 20, iterations: int =
         return f"('0x' || substr(sha256('4100:' || {names}), 1, 15))::BIGINT % {below}"
 
     def mean(cell: int) -> str:
-        return "[" + ", ".join(f"sum(w * hist[{i}]) FILTER (cell = {cell}) / sum(w) FILTER (cell = {cell})" for i in range(1, 9)) + "]"
+        return "[" + ", ".join(f"coalesce(sum(w * hist[{i}]) FILTER (cell = {cell}) / sum(w) FILTER (cell = {cell}), 0)" for i in range(1, 9)) + "]"
 
     def square(m: str) -> str:
         return f"list_sum(list_transform({m}, lambda v: v * v))"
