@@ -214,17 +214,33 @@ def test_training_hash_is_canonical_json(spark):
     assert got == want
 
 
-@pytest.mark.parametrize("points", [7, 100_000])
-def test_kendall_with_and_without_cuts(spark, points):
-    rng = np.random.default_rng(5)
-    a = rng.integers(0, 12, 150) / 12
-    b = np.clip(a * 0.6 + rng.integers(0, 6, 150) / 12, 0, 1)
-    frame = spark.createDataFrame([("k", float(x), float(y)) for x, y in zip(a, b, strict=True)], "k string, a double, b double")
-    got = comparators.kendall(frame, ["k"], "a", "b", points).first()["tau"]
-    s = sum(np.sign(a[i] - a[j]) * np.sign(b[i] - b[j]) for i in range(150) for j in range(i))
+def plain_tau(a, b):
+    n = len(a)
+    s = sum(np.sign(a[i] - a[j]) * np.sign(b[i] - b[j]) for i in range(n) for j in range(i))
     ties = [sum(c * (c - 1) / 2 for c in np.unique(v, return_counts=True)[1]) for v in (a, b)]
-    n0 = 150 * 149 / 2
-    assert abs(got - s / math.sqrt((n0 - ties[0]) * (n0 - ties[1]))) < 1e-12
+    n0 = n * (n - 1) / 2
+    spread = math.sqrt((n0 - ties[0]) * (n0 - ties[1]))
+    return s / spread if spread else 0.0
+
+
+@pytest.mark.parametrize(("points", "fan"), [(2, 2), (7, 3), (1 << 16, 16)])
+def test_kendall_over_levels(spark, points, fan):
+    """Ties, repeated points, a value of x that half the points share, points outside 0 to 1, several keys."""
+    rng = np.random.default_rng(5)
+    data = {"a": rng.integers(0, 12, (150, 2)) / 12, "b": np.stack([np.where(rng.random(90) < 0.5, -3.0, rng.normal(size=90) * 100), rng.normal(size=90)], 1)}
+    data |= {"one": np.array([[1.0, 2.0]]), "flat": np.array([[1.0, 2.0], [1.0, 3.0]]), "c": np.repeat(rng.random((20, 2)), 3, axis=0)}
+    frame = spark.createDataFrame([(k, float(x), float(y)) for k, m in data.items() for x, y in m], "k string, a double, b double").repartition(3)
+    got = {r["k"]: r["tau"] for r in comparators.kendall(frame, ["k"], "a", "b", points, fan).collect()}
+    for k, m in data.items():
+        assert got[k] == pytest.approx(plain_tau(m[:, 0], m[:, 1]), abs=1e-12)
+
+
+def test_concordance_by_merging():
+    rng = np.random.default_rng(9)
+    for n in (2, 5, 64, 129, 700):
+        y, w = rng.permutation(n), rng.integers(1, 5, n).astype(float)
+        want = sum(w[i] * w[j] * np.sign(y[i] - y[j]) for i in range(n) for j in range(i))
+        assert comparators.concordance(y, w, small=1) == want == comparators.concordance(y, w)
 
 
 def test_pair_tables_and_ipf():

@@ -10,7 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.session import written
+
 CHUNK = 4096
+#: rows of one range of :func:`positions`
+RANGE = 1 << 20
 
 
 def time_chunk(order: str, width: int = CHUNK) -> Column:
@@ -70,6 +74,27 @@ def row_positions(df: DataFrame, keys: list[str], order: str, width: int = CHUNK
     return ran.select(*df.columns, (F.col("_pos") - 1).alias("pos"), F.col("_pos_all").alias("n"))
 
 
+def positions(rows: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """0-based position ``name`` of each row of its key in an order of any columns, for rows that differ in it.
+
+    Rows are cut into ranges of keys and order together, so neither a key nor one value of the first order column fills a
+    task. The ranges are a written table: positions inside and counts before them refer to the same cut.
+    """
+    spark = rows.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // RANGE))
+    ranged = rows.repartitionByRange(parts, *keys, *order).withColumn("_part", F.spark_partition_id())
+    ranged = written(ranged, f"ranges-{name}")
+    counts = ranged.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_part").alias("_k_part"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    same = F.col("_part") == F.col("_k_part")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    inner = Window.partitionBy("_part", *keys).orderBy(*order)
+    out = ranged.withColumn("_at", F.row_number().over(inner)).join(starts, same)
+    return out.select(*rows.columns, (F.col("_at") - 1 + F.col("_before")).cast("long").alias(name))
+
+
 def midrank_table(
     reference: DataFrame, queries: DataFrame, keys: list[str], value: str, bucket: Column
 ) -> DataFrame:

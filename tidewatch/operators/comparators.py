@@ -13,6 +13,7 @@ from pyspark.sql.types import DoubleType
 
 from tidewatch.functions import arrays, prefix
 from tidewatch.operators import evidence
+from tidewatch.session import written
 
 
 def rank_fusion(ranks: DataFrame, keys: list[str]) -> DataFrame:
@@ -164,63 +165,77 @@ def binned_scores(rows: DataFrame, tables: DataFrame, bins: int, floor: float) -
 # -- Kendall's tau and the Gaussian D-vine ------------------------------------------------------
 
 
-def concordance(x: np.ndarray, y: np.ndarray, w: np.ndarray, block: int = 512) -> float:
-    """Weighted sum of sign(dx) * sign(dy) over unordered pairs."""
-    total = 0.0
-    for i in range(0, len(x), block):
-        sx = np.sign(x[i : i + block, None] - x[None, :])
-        sy = np.sign(y[i : i + block, None] - y[None, :])
-        total += float(w[i : i + block] @ ((sx * sy) @ w))
-    return total / 2.0
+def concordance(y: np.ndarray, w: np.ndarray, small: int = 256) -> float:
+    """Weighted sum of sign(dx) * sign(dy) over unordered pairs of points in ascending x; all y differ.
 
-
-def kendall(rows: DataFrame, keys: list[str], x: str, y: str, task_points: int = 2048) -> DataFrame:
-    """Kendall's tau-b of two columns in [0, 1] per key, exact and without a whole key in one task.
-
-    A key with many points is cut into ``n / task_points`` buckets per axis. Pairs then fall in four
-    kinds: different x and y bucket (settled by a grid of counts), same x bucket, same y bucket, and
-    same grid cell, which the two middle kinds count twice. A small key is one bucket.
+    Blocks of doubled size are put in order of y; what lies to the right meets the running weight of what lies to the left.
+    """
+    n, total = len(y), 0.0
+    if n <= small:
+        return float(sum(w[i] * (np.sign(y[i] - y[:i]) @ w[:i]) for i in range(1, n)))
+    place = np.arange(n)
+    size = 1
+    while size < n:
+        order = np.lexsort((y, place // (2 * size)))
+        right, weight = (order // size) % 2 == 1, w[order]
+        left = np.where(right, 0.0, weight)
+        running = np.cumsum(left)
+        block = order // (2 * size)
+        begins = np.flatnonzero(np.diff(block, prepend=-1))
+        sizes = np.diff(np.append(begins, n))
+        before = np.repeat(running[begins] - left[begins], sizes)
+        whole = np.repeat(np.add.reduceat(left, begins), sizes)
+        total += float((weight * (2 * (running - before) - whole))[right].sum())
+        size *= 2
+    return total
+
+
+def kendall(rows: DataFrame, keys: list[str], x: str, y: str, task_points: int = 1 << 16, fan: int = 16) -> DataFrame:
+    """Kendall's tau-b of two columns per key, exact, without a whole key or one value in one task and without pairs.
+
+    Equal points become one with a weight. Points get their places in the order (x, y) and in the order (y, x); with places instead
+    of values no two are tied, and each pair that ties in x or in y counts as concordant, which the tie
+    counts take back. Runs of ``task_points`` places in x are counted inside one task by merging. Between runs,
+    ``fan`` neighbouring runs make a block, ``fan`` blocks a larger one, and so on: in the order of y, the running weight of each part of
+    a block tells every point how much of the parts to its left lies below it. A level is one shuffle, a
+    key of n points has log(n / task_points) / log(fan) levels, a small key none.
     """
     points = rows.groupBy(*keys, F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").cast("double").alias("w"))
-    sizes = points.groupBy(*keys).agg(F.least(F.ceil(F.count("*") / task_points), F.lit(256)).cast("long").alias("cuts"))
-    points = points.join(sizes, keys)
-    for axis in ("x", "y"):
-        points = points.withColumn(f"{axis}b", F.least(F.floor(F.col(axis) * F.col("cuts")), F.col("cuts") - 1))
-    nothing = F.lit(-1).cast("long")
-    kinds = points.select(
-        *keys, "x", "y", "w", "cuts",
-        F.explode(
-            F.array(
-                F.struct(F.lit("x").alias("kind"), F.col("xb").alias("a"), nothing.alias("b")),
-                F.struct(F.lit("y").alias("kind"), nothing.alias("a"), F.col("yb").alias("b")),
-                F.struct(F.lit("cell").alias("kind"), F.col("xb").alias("a"), F.col("yb").alias("b")),
-            )
-        ).alias("g"),
-    ).filter((F.col("cuts") > 1) | (F.col("g.kind") == "x")).select(*keys, "x", "y", "w", "g.kind", "g.a", "g.b")
-    grid = points.filter("cuts > 1").groupBy(*keys, "xb", "yb").agg(F.sum("w").alias("w")).select(
-        *keys, F.col("xb").cast("double").alias("x"), F.col("yb").cast("double").alias("y"), "w",
-        F.lit("grid").alias("kind"), F.lit(-1).cast("long").alias("a"), F.lit(-1).cast("long").alias("b"),
-    )
-    parts = kinds.unionByName(grid)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in parts.select(*keys).schema) + ", s double"
-    sign = {"x": 1.0, "y": 1.0, "cell": -1.0, "grid": 1.0}
+    placed = prefix.positions(prefix.positions(points, keys, ["x", "y"], "px"), keys, ["y", "x"], "py")
+    placed = written(placed.select(*keys, "x", "y", "w", "px", "py"), "kendall-points")
+    kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in placed.select(*keys).schema)
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = concordance(pdf["x"].to_numpy(), pdf["y"].to_numpy(), pdf["w"].to_numpy())
-        return pdf[keys].head(1).assign(s=sign[pdf["kind"].iat[0]] * s)
-
-    sums = parts.groupBy(*keys, "kind", "a", "b").applyInPandas(score, schema).groupBy(*keys).agg(F.sum("s").alias("s"))
+        pdf = pdf.sort_values("px")
+        return pdf[keys].head(1).assign(s=concordance(pdf["py"].to_numpy(), pdf["w"].to_numpy()))
+
+    run = F.floor(F.col("px") / task_points)
+    parts = placed.select(*keys, "px", "py", "w", run.alias("run")).groupBy(*keys, "run").applyInPandas(score, f"{kinds}s double")
+    last = placed.agg(F.max("px")).first()[0] or 0
+    width = task_points
+    while width <= last:
+        block = [*keys, "block"]
+        level = placed.select(*keys, "py", "w", F.floor(F.col("px") / (width * fan)).alias("block"), (F.floor(F.col("px") / width) % fan).alias("part"))
+        level = level.withColumns({f"w{i}": F.when(F.col("part") == i, F.col("w")).otherwise(0.0) for i in range(fan)})
+        ran = prefix.running_sums(level, block, ["py"], F.floor(F.col("py") / task_points), {f"r{i}": f"w{i}" for i in range(fan)}, whole=True)
+        below = sum(F.when(F.col("part") > i, 2 * F.col(f"r{i}") - F.col(f"r{i}_all")).otherwise(0.0) for i in range(fan))
+        parts = parts.unionByName(ran.groupBy(*keys).agg(F.sum(F.col("w") * below).alias("s")))
+        width *= fan
+    sums = parts.groupBy(*keys).agg(F.sum("s").alias("s"))
 
     def tied(col: str) -> DataFrame:
-        per = points.groupBy(*keys, col).agg(F.sum("w").alias("t"))
+        per = placed.groupBy(*keys, col).agg(F.sum("w").alias("t"), F.sum(F.col("w") * F.col("w")).alias("q"))
         return per.groupBy(*keys).agg(
-            F.sum(F.col("t") * (F.col("t") - 1) / 2).alias(f"t_{col}"), F.sum("t").alias(f"n_{col}")
+            F.sum(F.col("t") * (F.col("t") - 1) / 2).alias(f"t_{col}"),
+            F.sum((F.col("t") * F.col("t") - F.col("q")) / 2).alias(f"d_{col}"),
+            F.sum("t").alias(f"n_{col}"),
         )
 
     joined = sums.join(tied("x"), keys).join(tied("y"), keys)
     pairs = F.col("n_x") * (F.col("n_x") - 1) / 2
     spread = F.sqrt((pairs - F.col("t_x")) * (pairs - F.col("t_y")))
-    return joined.select(*keys, F.when(spread > 0, F.col("s") / spread).otherwise(0.0).alias("tau"))
+    agreed = F.col("s") - F.col("d_x") - F.col("d_y")
+    return joined.select(*keys, F.when(spread > 0, agreed / spread).otherwise(0.0).alias("tau"))
 
 
 _NORMAL = NormalDist()

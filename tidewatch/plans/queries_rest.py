@@ -118,10 +118,40 @@ def comparator_kendall(w: Workload) -> DataFrame:
     return tau.select("coalition_id", n64("cell").alias("cell"), r6("tau").alias("tau"))
 
 
-@query()
+def _newton(source: str) -> str:
+    """One Newton step for the normal quantile z of u; the distribution function by its series of positive terms."""
+    a = "least(abs(z), 8.5)"
+    cdf = f"0.5 + sign(z) * exp(-z * z / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 160), lambda k: exp((2 * k + 1) * ln({a}) - odd[k + 1])))"
+    return f"SELECT u, CASE WHEN z = 0 THEN 0 ELSE z - ({cdf} - u) / (exp(-z * z / 2) / sqrt(2 * pi())) END AS z FROM {source}, odds"
+
+
+def _tau(source: str, x: str, y: str) -> str:
+    """Correlation of the Gaussian copula from Kendall's tau over all pairs."""
+    return f"""SELECT coalition_id, cell, least(greatest(sin(pi() / 2 * CASE WHEN xx * yy > 0 THEN s / sqrt(xx * yy) ELSE 0 END), -0.999999), 0.999999) AS rho FROM (
+  SELECT a.coalition_id, a.cell, sum(sign(a.{x} - b.{x}) * sign(a.{y} - b.{y})) AS s, count(*) FILTER (a.{x} <> b.{x}) * 1.0 AS xx, count(*) FILTER (a.{y} <> b.{y}) * 1.0 AS yy
+  FROM {source} a JOIN {source} b USING (coalition_id, cell) GROUP BY ALL)"""
+
+
+@query(
+    """, three AS MATERIALIZED (SELECT coalition_id, cell, stream, epoch, r, stream = 'benign' AND partition = 'nuisance_fit' AS ref FROM conditional WHERE ord = 3),
+odds AS MATERIALIZED (SELECT list_transform(range(0, 160), lambda k: lgamma(2 * k + 2) - k * ln(2) - lgamma(k + 1)) AS odd),
+q0 AS (SELECT u, CASE WHEN u < 0.5 THEN -1 ELSE 1 END * (t - (2.515517 + 0.802853 * t + 0.010328 * t * t) / (1 + 1.432788 * t + 0.189269 * t * t + 0.001308 * t * t * t)) AS z FROM (
+  SELECT u, sqrt(-2 * ln(least(u, 1 - u))) AS t FROM (SELECT DISTINCT least(greatest(unnest(r), 1e-12), 1 - 1e-12) AS u FROM three))),
+q1 AS MATERIALIZED (""" + _newton("q0") + "), q2 AS MATERIALIZED (" + _newton("q1") + "), q3 AS MATERIALIZED (" + _newton("q2") + """),
+marks AS MATERIALIZED (SELECT coalition_id, cell, stream, epoch, ref, r[1] AS u1, r[2] AS u2, r[3] AS u3, a.z AS z1, b.z AS z2, c.z AS z3 FROM three JOIN q3 a ON a.u = r[1] JOIN q3 b ON b.u = r[2] JOIN q3 c ON c.u = r[3]),
+base AS MATERIALIZED (SELECT * FROM marks WHERE ref),
+r12 AS MATERIALIZED (""" + _tau("base", "u1", "u2") + "), r23 AS MATERIALIZED (" + _tau("base", "u2", "u3") + """),
+given AS MATERIALIZED (SELECT m.*, (z1 - r12.rho * z2) / sqrt(1 - r12.rho ** 2) AS t1, (z3 - r23.rho * z2) / sqrt(1 - r23.rho ** 2) AS t3 FROM marks m JOIN r12 USING (coalition_id, cell) JOIN r23 USING (coalition_id, cell)),
+given_base AS MATERIALIZED (SELECT * FROM given WHERE ref),
+r13 AS MATERIALIZED (""" + _tau("given_base", "t1", "t3") + """),
+scored AS (SELECT coalition_id, stream, abs(-ln(1 - rho * rho) / 2 - (rho * rho * (a * a + b * b) - 2 * rho * a * b) / (2 * (1 - rho * rho))) AS vine FROM (
+  SELECT g.*, rho, least(greatest(t1, -7.034483825), 7.034483825) AS a, least(greatest(t3, -7.034483825), 7.034483825) AS b FROM given g JOIN r13 USING (coalition_id, cell)))
+SELECT coalition_id, stream, count(*) AS rows, round(avg(vine), 4) AS score FROM scored GROUP BY ALL""",
+    "conditional",
+)
 def comparator_vine(w: Workload) -> DataFrame:
     scored = comparators.vine_scores(w.conditional(), w.conditional_nuisance(), w.p.rank_epsilon)
-    return scored.groupBy("coalition_id", "stream").agg(F.count("*").alias("rows"), r6(F.avg("vine")).alias("score"))
+    return scored.groupBy("coalition_id", "stream").agg(F.count("*").alias("rows"), F.round(F.avg("vine"), 4).alias("score"))
 
 
 @query(
