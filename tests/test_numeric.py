@@ -69,6 +69,25 @@ def test_binomial_bounds(spark):
     assert big
 
 
+def test_binomial_bounds_of_large_counts_cost_no_more(spark):
+    """A billion successes: against sums of probability ratios around the bound, and the tail at it."""
+
+    def tail(x, n, p):
+        reach = int(40 * math.sqrt(n * p * (1 - p)) + 40)
+        down = np.arange(x, max(0, x - reach), -1, dtype=np.longdouble)
+        up = np.arange(x + 1, min(n, x + reach) + 1, dtype=np.longdouble)
+        odds = np.log(np.longdouble(p)) - np.log1p(-np.longdouble(p))
+        below = 1 + np.exp(np.cumsum(np.log(down) - np.log(n - down + 1) - odds)).sum()
+        above = np.exp(np.cumsum(np.log(n - up + 1) - np.log(up) + odds)).sum()
+        return float(below / (below + above))
+
+    for x, n in ((10**9, 2 * 10**9), (1000, 10**9), (3, 10**9), (10**6, 10**8), (2 * 10**6 - 5, 2 * 10**6), (40, 1500)):
+        got = spark.createDataFrame([(x, n)], "x long, n long").select(binomial.upper_bound(F.col("x"), F.col("n"), 0.95).alias("u")).first()["u"]
+        assert tail(x, n, got) == pytest.approx(0.05, abs=1e-9)
+        cdf = spark.createDataFrame([(x, n, got)], "x long, n long, p double").select(binomial.binomial_cdf(F.col("x"), F.col("n"), F.col("p"))).first()[0]
+        assert cdf == pytest.approx(0.05, abs=1e-9)
+
+
 def test_basis_native_equals_numpy(spark):
     rng = np.random.default_rng(3)
     for order in (1, 2, 3):

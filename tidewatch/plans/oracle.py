@@ -55,6 +55,15 @@ WHERE inertia <= least + 1e-9 * (1 + least) GROUP BY ALL"""),
     ]
 
 
+def bisected(counts: str, alpha: str) -> str:
+    """(n, x, lo, hi): the p at which x or fewer of n are as likely as ``alpha``, by halving with sums of binomial terms."""
+    mid = "(lo + hi) / 2"
+    tail = f"list_sum(list_transform(range(0, x + 1), lambda k: exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln({mid}) + (n - k) * ln(1 - {mid}))))"
+    return f"""WITH RECURSIVE halving AS (SELECT n, x, 0 AS step, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi FROM {counts}
+  UNION ALL SELECT n, x, step + 1, CASE WHEN t > {alpha} THEN {mid} ELSE lo END, CASE WHEN t > {alpha} THEN hi ELSE {mid} END FROM (SELECT *, {tail} AS t FROM halving WHERE step < 50))
+SELECT n, x, lo, hi FROM halving WHERE step = 50"""
+
+
 #: the first distinct histograms in hash order and one mean step from them
 LLOYD_STEP = """,
 capped AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY ord ORDER BY row_hash, members, epoch) - 1 AS pos FROM training),

@@ -14,7 +14,7 @@ from tidewatch.operators import (
     partitions, perturb, policy, projection, sequential, statistics,
 )
 from tidewatch.params import PARTITIONS, WorkloadParams
-from tidewatch.plans.oracle import LLOYD_STEP, chain
+from tidewatch.plans.oracle import LLOYD_STEP, bisected, chain
 from tidewatch.plans.workload import Workload
 from tidewatch.session import fresh_path
 from tidewatch.sources import flows
@@ -581,9 +581,10 @@ def policy_first_stops(w: Workload) -> DataFrame:
     """, tails AS (WITH RECURSIVE t AS (SELECT DISTINCT horizons AS n, 0 AS k, power(0.7, horizons) AS t FROM policy_counts
   UNION ALL SELECT n, k + 1, t * (n - k) / (k + 1.0) * (0.3 / 0.7) FROM t WHERE k < n)
   SELECT n AS horizons, k AS false_stops, sum(t) OVER (PARTITION BY n ORDER BY k) AS cdf FROM t)
-SELECT DISTINCT CAST(horizons AS BIGINT) AS horizons, CAST(false_stops AS BIGINT) AS false_stops, round(cdf, 6) AS tail, false_stops < horizons AND cdf <= 0.05 + 1e-15 AS within,
-  CASE WHEN false_stops = 0 THEN round(1 - power(0.05, 1.0 / horizons), 6) END AS zero_bound
-FROM policy_counts JOIN tails USING (horizons, false_stops) WHERE partition = 'threshold_and_policy_calibration'""",
+SELECT CAST(horizons AS BIGINT) AS horizons, CAST(false_stops AS BIGINT) AS false_stops, round(cdf, 6) AS tail, false_stops < horizons AND cdf <= 0.05 + 1e-15 AS within,
+  CASE WHEN false_stops = horizons THEN 1.0 ELSE round((lo + hi) / 2, 6) END AS bound
+FROM (SELECT DISTINCT horizons, false_stops FROM policy_counts WHERE partition = 'threshold_and_policy_calibration') JOIN tails USING (horizons, false_stops)
+JOIN (""" + bisected("(SELECT DISTINCT horizons AS n, false_stops AS x FROM policy_counts)", "0.05") + """) ON n = horizons AND x = false_stops""",
     "policy_counts",
 )
 def policy_bound(w: Workload) -> DataFrame:
@@ -594,7 +595,7 @@ def policy_bound(w: Workload) -> DataFrame:
     return c.select(
         "horizons", "false_stops", r6(binomial.binomial_cdf(x, n, w.p.pfa_target)).alias("tail"),
         binomial.bound_within(x, n, w.p.confidence, w.p.pfa_target).alias("within"),
-        F.when(x == 0, r6(bound)).alias("zero_bound"),
+        r6(bound).alias("bound"),
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions import binomial
 from tidewatch.operators import comparators, detectors, metrics, perturb, projection, statistics
 from tidewatch.params import PARTITIONS
+from tidewatch.plans.oracle import bisected
 from tidewatch.plans.queries import HELDOUT, NUISANCE, n64, query, r6
 from tidewatch.plans.workload import Workload
 from tidewatch.streaming import jobs
@@ -360,16 +361,16 @@ def statistic_claim_state(w: Workload) -> DataFrame:
 
 @query(
     """WITH counts AS (SELECT user_id, count(*) AS n, count(*) FILTER (value >= 200) AS x FROM events GROUP BY 1)
-SELECT user_id, n AS trials, x AS successes, CASE WHEN x = 0 THEN round(1 - power(0.025, 1.0 / n), 6) ELSE -1 END AS zero_upper, CASE WHEN x = 0 THEN 0.0::DOUBLE ELSE -1 END AS zero_lower FROM counts"""
+SELECT user_id, counts.n AS trials, counts.x AS successes, CASE WHEN counts.x = 0 THEN 0 ELSE round(1 - (down.lo + down.hi) / 2, 6) END AS lower,
+  CASE WHEN counts.x = counts.n THEN 1 ELSE round((up.lo + up.hi) / 2, 6) END AS upper FROM counts
+JOIN (""" + bisected("(SELECT DISTINCT n, x FROM counts)", "0.025") + """) up ON up.n = counts.n AND up.x = counts.x
+JOIN (""" + bisected("(SELECT DISTINCT n, n - x AS x FROM counts)", "0.025") + """) down ON down.n = counts.n AND down.x = counts.n - counts.x"""
 )
 def statistic_two_sided_interval(w: Workload) -> DataFrame:
-    """Equal-tail exact intervals; the closed form for zero successes is compared."""
+    """Equal-tail exact intervals."""
     c = w.table("events").groupBy("user_id").agg(F.count("*").alias("trials"), F.count_if(F.col("value") >= 200).alias("successes"))
     both = c.select("*", *statistics.two_sided_interval(F.col("successes"), F.col("trials"), 0.95))
-    zero = F.col("successes") == 0
-    return both.select(
-        "user_id", "trials", "successes", F.when(zero, r6("upper")).otherwise(-1.0).alias("zero_upper"), F.when(zero, r6("lower")).otherwise(-1.0).alias("zero_lower")
-    )
+    return both.select("user_id", "trials", "successes", r6("lower").alias("lower"), r6("upper").alias("upper"))
 
 
 @query(
