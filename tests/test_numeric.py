@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.functions import arrays, basis, binomial, prefix
+from tidewatch.functions import arrays, basis, binomial, prefix, quantiles
 from tidewatch.operators import comparators, contexts, metrics, projection, statistics
 
 
@@ -51,6 +51,24 @@ def test_midranks_with_hot_ties(spark):
     assert {r["v"]: r["midrank"] for r in prefix.midrank_table(*four, ["k"], "v", prefix.unit_bucket("v")).collect()}[0.5] == 0.5
 
 
+@pytest.mark.parametrize("limit", [5, 60, 1 << 16])
+def test_quantiles_by_selection(spark, limit):
+    """Frequent values, values over many magnitudes, two values, one value, nulls, and a key with most of the rows."""
+    rng = np.random.default_rng(8)
+    data = {
+        "hot": np.where(rng.random(9000) < 0.4, 0.0, rng.normal(size=9000)), "wide": np.sign(rng.normal(size=700)) * 10.0 ** rng.integers(-300, 300, 700),
+        "two": np.repeat([1.0, 2.0], [399, 1]), "same": np.full(300, 7.5), "one": np.array([3.0]), "steps": rng.integers(0, 5, 2000).astype(float), None: rng.random(400),
+    }
+    rows = [(k, float(x)) for k, v in data.items() for x in v] + [("hot", None), ("void", None)]
+    frame = spark.createDataFrame(rows, "k string, v double").repartition(4)
+    ps = (0.0, 0.25, 0.5, 0.9, 0.999, 1.0)
+    got = {r["k"]: r["q"] for r in quantiles.exact_quantiles(frame, ["k"], "v", ps, limit).collect()}
+    want = {r["k"]: r["q"] for r in frame.groupBy("k").agg(F.percentile("v", F.array(*[F.lit(p) for p in ps])).alias("q")).collect() if r["q"]}
+    assert got == want
+    whole = quantiles.exact_quantiles(frame, [], "v", (0.3,), limit).first()["q"]
+    assert whole == frame.agg(F.percentile("v", F.array(F.lit(0.3)))).first()[0]
+
+
 def test_binomial_bounds(spark):
     def cdf(x, n, p):
         return sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(x + 1))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from tidewatch.functions import arrays, prefix
+from tidewatch.functions.quantiles import exact_quantiles
 from tidewatch.operators import evidence
 from tidewatch.session import written
 
@@ -50,7 +51,7 @@ def common_calibration(
 ) -> DataFrame:
     """Standardize on nuisance rows, take the magnitude, refer it to its nuisance quantile, bound it."""
     ref = nonconformity(reference, reference, keys, value, scale_floor)
-    quantiles = ref.groupBy(*keys).agg(F.percentile("nonconformity", F.lit(quantile)).alias("_q"))
+    quantiles = exact_quantiles(ref, keys, "nonconformity", (quantile,)).select(*keys, F.col("q")[0].alias("_q"))
     scored = nonconformity(rows, reference, keys, value, scale_floor)
     joined = with_stats(scored, quantiles, keys)
     return joined.withColumn(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions import arrays, text, timing
+from tidewatch.functions.quantiles import exact_quantiles
 
 
 def bucket_counts(events: DataFrame, epoch_seconds: int, buckets: int) -> DataFrame:
@@ -109,17 +110,10 @@ def require_finite(features: DataFrame, column: str = "features") -> DataFrame:
 
 
 def fit_scaler(rows: DataFrame) -> DataFrame:
-    """Median and inter-quartile range per client and feature of the given rows.
-
-    Groups hold one value per epoch; the exact percentile combines distinct values map-side.
-    """
+    """Median and inter-quartile range per client and feature of the given rows."""
     long = rows.select("client_id", F.posexplode("features").alias("feature", "value"))
-    return (
-        long.groupBy("client_id", "feature")
-        .agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-        .select(
-            "client_id", "feature", F.col("q")[1].alias("median"), (F.col("q")[2] - F.col("q")[0]).alias("iqr")
-        )
+    return exact_quantiles(long, ["client_id", "feature"], "value", (0.25, 0.5, 0.75)).select(
+        "client_id", "feature", F.col("q")[1].alias("median"), (F.col("q")[2] - F.col("q")[0]).alias("iqr")
     )
 
 

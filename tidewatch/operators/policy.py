@@ -6,14 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions import binomial
+from tidewatch.functions.quantiles import exact_quantiles
 
 
 def candidate_thresholds(nuisance: DataFrame, quantiles: tuple[float, ...]) -> DataFrame:
     """Linear quantiles of each client's nuisance scores."""
-    packed = nuisance.groupBy("client_id").agg(
-        F.percentile("score", F.array(*[F.lit(q) for q in quantiles])).alias("t")
-    )
-    return packed.select("client_id", F.posexplode("t").alias("q_index", "threshold"))
+    packed = exact_quantiles(nuisance, ["client_id"], "score", quantiles)
+    return packed.select("client_id", F.posexplode("q").alias("q_index", "threshold"))
 
 
 def persistence(exceeded: Column, m: int, n: int, keys: list[str], pos: str) -> Column:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import arrays, prefix
 from tidewatch.functions.basis import design, design_and_tensor, design_size, tensor
+from tidewatch.functions.quantiles import exact_quantiles
 from tidewatch.session import spread
 
 PARTIAL_SCHEMA = (
@@ -185,7 +186,8 @@ def norm_reference(innovations: DataFrame, moments: DataFrame, quantile: float,
     norms = joined.select(
         "coalition_id", "cell", arrays.norm(standardize(F.col("z"), F.col("mu"), F.col("sd"), floor)).alias("norm")
     )
-    return norms.groupBy("coalition_id", "cell").agg(F.percentile("norm", F.lit(quantile)).alias("q_norm"))
+    found = exact_quantiles(norms, ["coalition_id", "cell"], "norm", (quantile,))
+    return found.select("coalition_id", "cell", F.col("q")[0].alias("q_norm"))
 
 
 def calibration(fits: DataFrame, moments: DataFrame, norms: DataFrame) -> DataFrame:
