@@ -181,6 +181,42 @@ def test_federated_mean_and_tree_samples(spark):
     assert [r["count"] for r in small] == [20, 20, 20]
 
 
+def test_isolation_scores_follow_the_nodes(spark):
+    """Every row walks by hand; blocks of a client, a client without trees and rows that are all alike."""
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    data = [("a", i, np.round(rng.normal(size=3), 3).tolist()) for i in range(90)] + [("b", i, [1.0, 2.0, 3.0]) for i in range(7)] + [("c", 0, [0.0, 0.0, 0.0]), ("d", 0, [0.0, 1.0, 0.0])]
+    rows = spark.createDataFrame(data, "client_id string, epoch long, features array<double>").repartition(3)
+    samples = detectors.tree_samples(rows.filter("client_id <> 'd'"), 5, 16, 2)
+    nodes = detectors.isolation_nodes(samples, 2)
+    table = {(r["client_id"], r["tree"], r["node"]): r for r in nodes.collect()}
+    taken = {(c, t): [r for r in samples.collect() if (r["client_id"], r["tree"]) == (c, t)] for c in "abc" for t in range(5)}
+    for (c, t), mine in taken.items():
+        assert table[c, t, 1]["size"] == len(mine) == min(16, sum(d[0] == c for d in data))
+    assert len({tuple(sorted(r["epoch"] for r in taken["a", t])) for t in range(5)}) == 5
+
+    def mean_path(n):
+        return 2 * (math.log(n - 1) + np.euler_gamma) - 2 * (n - 1) / n if n > 2 else float(n == 2)
+
+    def score(client, x):
+        total = 0.0
+        for t in range(5):
+            node = 1
+            while table[client, t, node]["feature"] >= 0:
+                here = table[client, t, node]
+                node = 2 * node + (x[here["feature"]] > here["cut"])
+            end = table[client, t, node]
+            total += (node.bit_length() - 1 + mean_path(end["size"])) / max(mean_path(end["sample"]), 1e-12)
+        return 2 ** (-total / 5)
+
+    for block in (10, 1 << 16):
+        got = detectors.isolation_scores(rows, nodes, 5, block).collect()
+        assert len(got) == len(data)
+        for r in got:
+            assert r["score"] is None if r["client_id"] == "d" else r["score"] == pytest.approx(score(r["client_id"], r["features"]), abs=1e-12)
+
+
 def test_isolation_and_autoencoder_rank_outliers_high(spark):
     import numpy as np
 
@@ -188,8 +224,8 @@ def test_isolation_and_autoencoder_rank_outliers_high(spark):
     data = [("a", i, rng.normal(0, 1, 4).tolist()) for i in range(200)] + [("a", 999, [9.0, -9.0, 9.0, 9.0])]
     rows = spark.createDataFrame(data, "client_id string, epoch long, features array<double>")
     fit = rows.filter("epoch < 999")
-    trees = detectors.isolation_trees(detectors.tree_samples(fit, 25, 64, 3), 3)
-    scored = detectors.isolation_scores(rows, trees, 1, 25, 64).orderBy(F.desc("score"))
+    trees = detectors.isolation_nodes(detectors.tree_samples(fit, 25, 64, 3), 3)
+    scored = detectors.isolation_scores(rows, trees, 25).orderBy(F.desc("score"))
     assert scored.first()["epoch"] == 999
     models = detectors.train_autoencoders(fit, 4, 30, 0.001, 32, 3)
     assert detectors.reconstruction_scores(rows, models, 4).orderBy(F.desc("score")).first()["epoch"] == 999

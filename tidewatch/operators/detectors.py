@@ -10,13 +10,11 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from tidewatch.functions import arrays, prefix, text
-
-BROADCAST_LIMIT = 256 << 20
+from tidewatch.functions import arrays
 
 
 def _rng(*parts: object) -> np.random.Generator:
@@ -25,23 +23,45 @@ def _rng(*parts: object) -> np.random.Generator:
 
 
 # -- isolation trees ----------------------------------------------------------------------------
+#
+# Every random choice is the SHA-256 of a seed and names, so a tree is the same on every engine and on every retry.
+
+#: rows of a client that walk its trees in one task
+WALK_ROWS = 1 << 16
+#: hexadecimal digits of a hash that make a number from 0 to 1
+_DIGITS = 13
+
+
+def unit_draw(*parts: Column) -> Column:
+    """Number from 0 to below 1 from the SHA-256 of the parts, joined by colons."""
+    digits = F.substring(F.sha2(F.concat_ws(":", *parts), 256), 1, _DIGITS)
+    return F.conv(digits, 16, 10).cast("double") / F.lit(float(16**_DIGITS))
+
+
+def _unit(*parts: object) -> float:
+    return int(hashlib.sha256(":".join(map(str, parts)).encode()).hexdigest()[:_DIGITS], 16) / 16**_DIGITS
 
 
 def tree_samples(rows: DataFrame, trees: int, cap: int, seed: int) -> DataFrame:
-    """``min(cap, n)`` fit rows per client and tree, without replacement.
+    """``min(cap, n)`` fit rows per client and tree, those with the smallest draws: without replacement, and each tree on its own.
 
-    A client's rows get a place on a ring in hash order and tree t takes the places from
-    ``t * cap`` on, so at most ``trees * cap`` rows per client are made, whatever the history.
+    A row is made for the trees for which its draw lies below what ``cap`` of the client's rows reach with many standard deviations to
+    spare, so about ``trees * cap`` rows per client move, whatever the history. Trees that still lack rows, if any, take theirs from all rows.
     """
-    hashed = rows.withColumn(
-        "_h", text.hash64(F.concat_ws(":", F.lit(seed), "client_id", F.col("epoch").cast("string")))
-    ).withColumn("_one", F.lit(1).cast("long"))
-    chunk = F.floor(F.col("_h") / F.lit(2**52).cast("decimal(20,0)")).cast("long")
-    placed = prefix.running_sums(hashed, ["client_id"], ["_h", "epoch"], chunk, {"_place": "_one"}, whole=True)
-    n, place = F.col("_place_all"), F.col("_place") - 1
-    all_trees = F.sequence(F.lit(0), F.lit(trees - 1))
-    mine = F.filter(all_trees, lambda t: F.pmod(place - t * cap, n) < cap)
-    return placed.select("client_id", "epoch", "features", F.least(n, F.lit(cap)).alias("sample"), F.explode(mine).alias("tree"))
+    sizes = rows.groupBy("client_id").agg(F.count("*").alias("n"))
+    known = rows.select("client_id", "epoch", "features").join(sizes, "client_id")
+    draw = lambda t: unit_draw(F.lit(str(seed)), F.lit("row"), F.col("client_id"), t.cast("string"), F.col("epoch").cast("string"))
+    bound = F.least(F.lit(1.0), F.lit(cap + 8 * math.sqrt(cap) + 16) / F.col("n"))
+    every = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), draw(t).alias("u")))
+    near = known.withColumn("c", F.explode(F.filter(every, lambda c: c["u"] < bound))).select("*", "c.tree", "c.u").drop("c")
+    counted = near.groupBy("client_id", "tree").agg(F.count("*").alias("got"))
+    wanted = sizes.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    short = wanted.join(counted, ["client_id", "tree"], "left").filter(F.coalesce("got", F.lit(0)) < F.least(F.lit(cap), F.col("n"))).select("client_id", "tree")
+    whole = known.join(short, "client_id").withColumn("u", draw(F.col("tree")))
+    both = near.join(short, ["client_id", "tree"], "left_anti").unionByName(whole.select(near.columns))
+    first = Window.partitionBy("client_id", "tree").orderBy("u", "epoch")
+    kept = both.withColumn("_i", F.row_number().over(first)).filter(F.col("_i") <= cap)
+    return kept.select("client_id", "tree", "epoch", "features", F.least(F.col("n"), F.lit(cap)).cast("int").alias("sample"))
 
 
 def _average_path(n: np.ndarray) -> np.ndarray:
@@ -51,88 +71,87 @@ def _average_path(n: np.ndarray) -> np.ndarray:
     return np.where(n > 2, long, np.where(n == 2, 1.0, 0.0))
 
 
-def _grow(x: np.ndarray, limit: int, rng: np.random.Generator) -> dict[str, list]:
-    nodes: dict[str, list] = {"feature": [], "cut": [], "left": [], "right": [], "size": []}
-    pending = [(np.arange(len(x)), 0, -1, "")]
-    while pending:
-        rows, depth, parent, side = pending.pop()
-        me = len(nodes["size"])
-        if parent >= 0:
-            nodes[side][parent] = me
-        lo, hi = x[rows].min(0), x[rows].max(0)
-        open_features = np.flatnonzero(hi > lo)
-        leaf = depth >= limit or len(rows) < 2 or not len(open_features)
-        feature = -1 if leaf else int(rng.choice(open_features))
-        cut = 0.0 if leaf else float(rng.uniform(lo[feature], hi[feature]))
-        for key, value in (("feature", feature), ("cut", cut), ("left", -1), ("right", -1), ("size", len(rows))):
-            nodes[key].append(value)
-        if not leaf:
-            below = x[rows, feature] <= cut
-            pending += [(rows[~below], depth + 1, me, "right"), (rows[below], depth + 1, me, "left")]
-    return nodes
-
-
-TREE_SCHEMA = (
-    "client_id string, tree int, sample int, feature array<int>, cut array<double>, "
-    "`left` array<int>, `right` array<int>, size array<int>"
-)
-
-
-def isolation_trees(samples: DataFrame, seed: int) -> DataFrame:
-    """One tree per (client, tree) group of at most ``cap`` rows."""
+def tree_depth(sample: int) -> int:
+    return math.ceil(math.log2(max(sample, 2)))
 
-    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("epoch")
-        x = np.stack(pdf["features"].to_numpy())
-        client, tree, size = pdf["client_id"].iat[0], int(pdf["tree"].iat[0]), int(pdf["sample"].iat[0])
-        nodes = _grow(x, math.ceil(math.log2(max(size, 2))), _rng(seed, client, tree))
-        return pd.DataFrame([{"client_id": client, "tree": tree, "sample": size, **nodes}])
-
-    return samples.groupBy("client_id", "tree").applyInPandas(grow, TREE_SCHEMA)
 
+NODES = "client_id string, tree int, sample int, node int, size int, feature int, cut double"
 
-def _path_lengths(x: np.ndarray, t: dict) -> np.ndarray:
-    at, depth = np.zeros(len(x), dtype=int), np.zeros(len(x))
-    while True:
-        feature = t["feature"][at]
-        moving = feature >= 0
-        if not moving.any():
-            return depth + _average_path(t["size"][at])
-        here = at[moving]
-        below = x[moving, feature[moving]] <= t["cut"][here]
-        at[moving] = np.where(below, t["left"][here], t["right"][here])
-        depth[moving] += 1
 
+def isolation_nodes(samples: DataFrame, seed: int) -> DataFrame:
+    """All nodes of all trees as rows: children of node i are 2 i and 2 i + 1, a leaf has feature -1.
 
-def isolation_scores(rows: DataFrame, trees: DataFrame, clients: int, tree_count: int, cap: int) -> DataFrame:
-    """``2 ** (-mean path / c(sample))`` per row, larger is more anomalous.
+    A tree grows from at most ``cap`` rows in one group. A node draws one of the features that differ inside it, and a cut between
+    their ends; it is a leaf at the depth limit, with one row, or where all rows are alike.
+    """
 
-    Trees have a size fixed by parameters (clients x trees x nodes). They are broadcast in batches
-    that respect a limit, so more or larger trees mean more passes, never a larger broadcast.
+    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(pdf["features"].to_numpy())
+        client, tree, sample = pdf["client_id"].iat[0], int(pdf["tree"].iat[0]), int(pdf["sample"].iat[0])
+        limit, pending, out = tree_depth(sample), [(1, np.arange(len(x)))], []
+        while pending:
+            node, rows = pending.pop()
+            lo, hi = x[rows].min(0), x[rows].max(0)
+            open_features = np.flatnonzero(hi > lo)
+            if node >> limit or len(rows) < 2 or not len(open_features):
+                out.append((node, len(rows), -1, 0.0))
+                continue
+            feature = int(open_features[int(_unit(seed, "feature", client, tree, node) * len(open_features))])
+            cut = float(lo[feature] + _unit(seed, "cut", client, tree, node) * (hi[feature] - lo[feature]))
+            out.append((node, len(rows), feature, cut))
+            right = x[rows, feature] > cut
+            pending += [(2 * node, rows[~right]), (2 * node + 1, rows[right])]
+        nodes = pd.DataFrame(out, columns=["node", "size", "feature", "cut"])
+        return nodes.assign(client_id=client, tree=tree, sample=sample)[["client_id", "tree", "sample", "node", "size", "feature", "cut"]]
+
+    return samples.groupBy("client_id", "tree").applyInPandas(grow, NODES)
+
+
+def path_lengths(x: np.ndarray, nodes: pd.DataFrame, chunk: int = 256) -> np.ndarray:
+    """Sum over trees of the path of each row of ``x``, each over the average path of its sample."""
+    names, tree = np.unique(nodes["tree"].to_numpy(), return_inverse=True)
+    width = 2 << int(math.log2(nodes["node"].max()))
+    shape = (len(names), width)
+    feature, cut, ends = np.full(shape, -1), np.zeros(shape), np.zeros(shape)
+    at = nodes["node"].to_numpy()
+    feature[tree, at], cut[tree, at] = nodes["feature"], nodes["cut"]
+    scale = np.maximum(_average_path(nodes["sample"].to_numpy()), 1e-12)
+    ends[tree, at] = (np.floor(np.log2(at)) + _average_path(nodes["size"].to_numpy())) / scale
+    out = np.zeros(len(x))
+    all_trees = np.arange(len(names))[None, :]
+    for lo in range(0, len(x), chunk):
+        rows = x[lo : lo + chunk]
+        line = np.arange(len(rows))[:, None]
+        here = np.ones((len(rows), len(names)), dtype=int)
+        while True:
+            f = feature[all_trees, here]
+            moving = f >= 0
+            if not moving.any():
+                break
+            here = np.where(moving, 2 * here + (rows[line, f] > cut[all_trees, here]), here)
+        out[lo : lo + chunk] = ends[all_trees, here].sum(1)
+    return out
+
+
+def isolation_scores(rows: DataFrame, nodes: DataFrame, trees: int, block_rows: int = WALK_ROWS) -> DataFrame:
+    """``2 ** (-mean path / average path of the sample)`` per row, larger is more anomalous; null without trees.
+
+    Rows of a client are cut into blocks that meet the client's nodes in a join of groups and walk all trees level by level. A
+    client's trees have a size fixed by parameters, and blocks of a client with very many rows lie in as many tasks.
     """
-    per_tree = clients * (2 * cap - 1) * 28
-    batch = max(1, BROADCAST_LIMIT // per_tree)
-    sc = rows.sparkSession.sparkContext
-    out = rows.withColumn("_path", F.lit(0.0))
-    for start in range(0, tree_count, batch):
-        held: dict[str, list[dict]] = {}
-        for r in trees.filter((F.col("tree") >= start) & (F.col("tree") < start + batch)).collect():
-            t = {k: np.array(r[k]) for k in ("feature", "cut", "left", "right", "size")}
-            held.setdefault(r["client_id"], []).append({**t, "sample": r["sample"]})
-        shared = sc.broadcast(held)
-
-        @F.pandas_udf(DoubleType())
-        def paths(client: pd.Series, features: pd.Series) -> pd.Series:
-            result = np.full(len(client), np.nan)
-            for name, index in client.groupby(client).indices.items():
-                x = np.stack(features.iloc[index].to_numpy())
-                lengths = [_path_lengths(x, t) / max(float(_average_path(t["sample"])), 1e-12) for t in shared.value.get(name, [])]
-                if lengths:
-                    result[index] = np.sum(lengths, axis=0)
-            return pd.Series(result)
-
-        out = out.withColumn("_path", F.col("_path") + paths("client_id", "features"))
-    return out.withColumn("score", F.pow(F.lit(2.0), -F.col("_path") / F.lit(float(tree_count)))).drop("_path")
+    blocks = rows.groupBy("client_id").agg(F.ceil(F.count("*") / block_rows).cast("long").alias("_blocks"))
+    dealt = rows.join(blocks, "client_id").withColumn("_block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), "_blocks")).drop("_blocks")
+    copied = nodes.join(blocks, "client_id").withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))).drop("_blocks")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", score double"
+
+    def walk(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left = left.drop(columns="_block")
+        if not len(left) or not len(right):
+            return left.assign(score=np.nan)
+        return left.assign(score=np.exp2(-path_lengths(np.stack(left["features"].to_numpy()), right) / trees))
+
+    scored = dealt.groupBy("client_id", "_block").cogroup(copied.groupBy("client_id", "_block")).applyInPandas(walk, schema)
+    return scored.withColumn("score", F.when(~F.isnan("score"), F.col("score")))
 
 
 # -- RBF one-class score ------------------------------------------------------------------------

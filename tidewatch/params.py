@@ -125,8 +125,6 @@ class WorkloadParams(Params):
     basis_size: int = 2
     support_minima: tuple[int, int, int] = (10, 15, 20)
     pfa_target: float = 0.3
-    isolation_trees: int = 20
-    isolation_cap: int = 64
     rbf_features: int = 16
     encoder_passes: int = 20
     encoder_batch: int = 32

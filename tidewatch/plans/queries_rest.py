@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import binomial
 from tidewatch.operators import comparators, detectors, metrics, perturb, projection, statistics
-from tidewatch.params import PARTITIONS
+from tidewatch.params import PARTITIONS, Params
 from tidewatch.plans.oracle import bisected
 from tidewatch.plans.queries import HELDOUT, NUISANCE, n64, query, r6
 from tidewatch.plans.workload import Workload
@@ -438,12 +438,41 @@ def _detector_rows(w: Workload) -> tuple[DataFrame, DataFrame, int]:
     return rows, fit, w.p.hash_buckets + 2
 
 
-@query()
+def _forest_sql(trees: int, cap: int, dimension: int, seed: int) -> str:
+    def draw(names: str) -> str:
+        return f"('0x' || substr(sha256('{seed}:' || {names}), 1, 13))::BIGINT / {16**13}::DOUBLE"
+
+    def ends(f: str) -> str:
+        return "[" + ", ".join(f"list_{f}(list_transform(fs, lambda f: f[{i}]))" for i in range(1, dimension + 1)) + "]"
+
+    def path(n: str) -> str:
+        return f"CASE WHEN {n} > 2 THEN 2 * (ln({n} - 1) + 0.5772156649015329) - 2 * ({n} - 1) / {n}::DOUBLE WHEN {n} = 2 THEN 1 ELSE 0 END"
+
+    def judged(source: str) -> str:
+        return f"""SELECT client_id, t, node, depth, sample, fs, CASE WHEN len(os) > 0 THEN os[CAST(floor({draw("'feature:' || client_id || ':' || t || ':' || node")} * len(os)) AS INT) + 1] END AS feature, lo, hi FROM (
+      SELECT *, CASE WHEN depth < ceil(log2(greatest(sample, 2))) AND len(fs) > 1 THEN list_filter(range(1, {dimension + 1}), lambda i: hi[i] > lo[i]) ELSE [] END AS os FROM (SELECT *, {ends("min")} AS lo, {ends("max")} AS hi FROM ({source})))"""
+
+    cut = f"lo[feature] + {draw("'cut:' || client_id || ':' || t || ':' || node")} * (hi[feature] - lo[feature])"
+    return f""", x AS MATERIALIZED (SELECT stream, client_id, epoch, partition, list(round((value - median) / greatest(iqr, 1e-6), 9) ORDER BY feature) AS f FROM featl JOIN scaler USING (client_id, feature) GROUP BY ALL),
+draws AS (SELECT client_id, epoch, f, t, {draw("'row:' || client_id || ':' || t || ':' || epoch")} AS u FROM x, (SELECT unnest(range(0, {trees})) AS t) WHERE stream = 'benign' AND partition = 'detector_fit'),
+picked AS (SELECT client_id, t, list(f) AS fs, count(*) AS sample FROM (SELECT *, row_number() OVER (PARTITION BY client_id, t ORDER BY u, epoch) AS i FROM draws) WHERE i <= {cap} GROUP BY ALL),
+grown AS (SELECT *, {cut} AS cut FROM ({judged("SELECT client_id, t, 1 AS node, 0 AS depth, sample, fs FROM picked")})
+  UNION ALL SELECT *, {cut} AS cut FROM ({judged("SELECT client_id, t, 2 * node + side AS node, depth + 1 AS depth, sample, list_filter(fs, lambda f: CASE WHEN side = 1 THEN f[feature] > cut ELSE f[feature] <= cut END) AS fs FROM grown, (SELECT unnest([0, 1]) AS side) WHERE feature IS NOT NULL")})),
+nodes AS MATERIALIZED (SELECT client_id, t, node, feature, cut, (depth + {path("len(fs)")}) / ({path("sample")}) AS ends FROM grown),
+walked AS (SELECT stream, client_id, epoch, t, f, 1 AS node FROM x, (SELECT unnest(range(0, {trees})) AS t)
+  UNION ALL SELECT w.stream, w.client_id, w.epoch, w.t, w.f, CASE WHEN w.f[n.feature] > n.cut THEN 2 * w.node + 1 ELSE 2 * w.node END FROM walked w JOIN nodes n USING (client_id, t, node) WHERE n.feature IS NOT NULL)
+SELECT stream, client_id, epoch, round(pow(2, -sum(ends) / {trees}), 6) AS score FROM walked JOIN nodes n USING (client_id, t, node) WHERE n.feature IS NULL GROUP BY ALL"""
+
+
+@query(_forest_sql(Params.isolation_trees, Params.isolation_cap, 10, 5), "scores")
 def detector_isolation_forest(w: Workload) -> DataFrame:
-    rows, fit, _ = _detector_rows(w)
-    trees = w.stage("trees", lambda: detectors.isolation_trees(detectors.tree_samples(fit, w.p.isolation_trees, w.p.isolation_cap, 5), 5))
-    out = detectors.isolation_scores(rows, trees, len(w.client_ids()), w.p.isolation_trees, w.p.isolation_cap)
-    return out.groupBy("stream", "client_id").agg(F.count("*").alias("epochs"), r6(F.avg("score")).alias("mean_score"), r6(F.max("score")).alias("max_score"))
+    """Scores of all epochs under forests of the production size."""
+    rows = w.scored().select("stream", "client_id", "epoch", "partition", F.transform("scaled", lambda x: F.round(x, 9)).alias("features"))
+    fit = rows.filter((F.col("stream") == "benign") & (F.col("partition") == PARTITIONS[0]))
+    samples = w.stage("tree-samples", lambda: detectors.tree_samples(fit, w.p.isolation_trees, w.p.isolation_cap, 5))
+    nodes = w.stage("tree-nodes", lambda: detectors.isolation_nodes(samples, 5))
+    out = detectors.isolation_scores(rows, nodes, w.p.isolation_trees)
+    return out.select("stream", "client_id", "epoch", r6("score").alias("score"))
 
 
 def _rbf_sql() -> str:
