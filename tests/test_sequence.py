@@ -29,21 +29,22 @@ def test_epoch_features(spark):
 
 
 def test_grid_interval_partitions_horizons(spark):
-    dense = spark.createDataFrame([(c, e, [1]) for c, e in (("a", 0), ("a", 5), ("b", 0), ("b", 5), ("c", 1), ("c", 5))], "client_id string, epoch long, counts array<long>")
+    seen = {"p": (3, 12), "q": (4, 11), "r": (2, 12)}
+    dense = spark.createDataFrame([(c, e, [2]) for c, ends in seen.items() for e in ends], "client_id string, epoch long, counts array<long>")
     ids = dense.select("client_id").distinct()
     span = features.common_interval(dense, ids)
-    assert tuple(span.first()) == (1, 5)
+    assert tuple(span.first()) == (4, 11)
     grid = features.dense_grid(dense, ids, span, 1)
-    assert grid.count() == 15 and grid.filter("counts[0] = 0").count() == 11
-    roles = partitions.assign_partitions(grid.filter("client_id = 'a'"), (0.2, 0.2, 0.2)).orderBy("pos").collect()
-    assert [r["partition"] for r in roles] == ["detector_fit", "nuisance_fit", "threshold_and_policy_calibration", "heldout_benign", "heldout_benign"]
-    extra = spark.createDataFrame([("z",)], "client_id string")
-    assert features.common_interval(dense, ids.union(extra)).count() == 0
+    assert grid.count() == 24 and grid.filter("counts[0] = 0").count() == 22
+    roles = partitions.assign_partitions(grid.filter("client_id = 'q'"), (0.25, 0.25, 0.125)).orderBy("pos").collect()
+    assert [r["partition"] for r in roles] == ["detector_fit"] * 2 + ["nuisance_fit"] * 2 + ["threshold_and_policy_calibration"] + ["heldout_benign"] * 3
+    silent = ids.union(spark.createDataFrame([("never seen",)], "client_id string"))
+    assert features.common_interval(dense, silent).count() == 0
     with pytest.raises(ValueError, match="exceed"):
-        partitions.assign_partitions(grid, (0.5, 0.5, 0.5))
-    long = spark.range(100).select(F.lit("heldout_benign").alias("partition"), F.col("id").alias("epoch"), F.col("id").alias("part_pos"), F.lit(100).cast("long").alias("part_size"))
-    blocks = partitions.assign_horizons(long, 3)
-    assert blocks.select("horizon_id").distinct().count() == 33 and blocks.count() == 99
+        partitions.assign_partitions(grid, (0.4, 0.4, 0.4))
+    axis = spark.range(50).select(F.lit("heldout_benign").alias("partition"), F.col("id").alias("epoch"), F.col("id").alias("part_pos"), F.lit(50).cast("long").alias("part_size"))
+    blocks = partitions.assign_horizons(axis, 7)
+    assert blocks.select("horizon_id").distinct().count() == 7 and blocks.count() == 49
     assert partitions.horizon_eligibility(blocks, 0.05, 0.95).first()["claim_state"] == "NOT_TESTED"
 
 
@@ -82,17 +83,24 @@ def test_campaign_rules(spark):
 
 
 def test_persistence_and_policy_choice(spark):
-    rows = spark.createDataFrame([("a", 0, i, s, 0.5) for i, s in enumerate((1.0, 0.0, 1.0))], "client_id string, horizon_id long, pos long, score double, threshold double")
-    stops = {(r["m"], r["n"]): r["stop"] for r in policy.local_stops(rows, ["client_id", "horizon_id"], "pos", ((1, 1), (2, 3), (2, 2), (3, 5))).collect()}
-    assert stops == {(1, 1): 0, (2, 3): 2, (2, 2): None, (3, 5): None}
-    counts = spark.createDataFrame([("a", 0.1, 1, 1, 20, 8), ("a", 0.9, 1, 1, 20, 0), ("b", 0.1, 1, 1, 20, 20)], "client_id string, threshold double, m int, n int, horizons long, false_stops long")
-    got = {r["client_id"]: (r["threshold"], r["operating_point"]) for r in policy.choose_policy(counts, 0.95, 0.2).collect()}
-    assert got == {"a": (0.9, "Available"), "b": (None, "Operating Point Unavailable")}
+    """Exceedances at 1, 2 and 5 of seven epochs; a score equal to the threshold exceeds it."""
+    scores = (0.1, 0.5, 3.0, 0.49, 0.0, 0.5, 0.2)
+    rows = spark.createDataFrame([("a", 0, i, s, 0.5) for i, s in enumerate(scores)], "client_id string, horizon_id long, pos long, score double, threshold double")
+    stops = {(r["m"], r["n"]): r["stop"] for r in policy.local_stops(rows, ["client_id", "horizon_id"], "pos", ((1, 4), (2, 2), (2, 4), (3, 5), (3, 4))).collect()}
+    assert stops == {(1, 4): 1, (2, 2): 2, (2, 4): 2, (3, 5): 5, (3, 4): None}
+    counts = spark.createDataFrame(
+        [("a", 2.0, 1, 1, 40, 6), ("a", 2.5, 1, 1, 40, 1), ("a", 2.5, 2, 3, 40, 0), ("a", 9.0, 1, 1, 40, 0), ("b", 2.0, 1, 1, 40, 40)],
+        "client_id string, threshold double, m int, n int, horizons long, false_stops long",
+    )
+    got = {r["client_id"]: (r["threshold"], r["m"], r["operating_point"]) for r in policy.choose_policy(counts, 0.95, 0.08).collect()}
+    assert got == {"a": (2.5, 2, "Available"), "b": (None, None, "Operating Point Unavailable")}
 
 
 def test_threshold_choice(spark):
-    counts = spark.createDataFrame([("m", float(h), 200, x) for h, x in ((2, 20), (3, 15), (5, 5), (10, 0))], "method string, threshold double, horizons long, false_stops long")
-    assert sequential.calibrated_threshold(counts, ["method"], 0.95, 0.05).first()["threshold"] == 10.0
+    """60 horizons: with one stop the bound at 90 % is 0.063, with three 0.109; a method that always stops has no threshold."""
+    counts = spark.createDataFrame([("slow", 4.0, 60, 0), ("slow", 1.5, 60, 1), ("slow", 1.0, 60, 3), ("eager", 4.0, 60, 60)], "method string, threshold double, horizons long, false_stops long")
+    got = {r["method"]: (r["threshold"], r["operating_point"]) for r in sequential.calibrated_threshold(counts, ["method"], 0.90, 0.08).collect()}
+    assert got == {"slow": (1.5, "Available"), "eager": (None, "Operating Point Unavailable")}
 
 
 def test_evidence_values(spark):

@@ -334,15 +334,12 @@ def panel_covariance(panel: DataFrame, width: int) -> DataFrame:
 
 
 def factor_rank(values: np.ndarray, target: float, fallback: int, candidates: tuple[int, ...]) -> int:
-    """Smallest candidate rank that reaches the target share of squared singular values."""
-    total = float(np.sum(values**2))
-    if total <= 0:
+    """Least candidate whose leading singular values hold the target share of variance; else the fallback rank."""
+    explained = np.cumsum(np.square(values))
+    if not explained[-1] > 0:
         return fallback
-    shares = np.cumsum(values**2) / total
-    reached = [r for r in sorted(candidates) if r <= len(shares) and shares[r - 1] >= target]
-    if reached:
-        return reached[0]
-    return fallback if fallback in candidates else candidates[-1]
+    needed = 1 + int(np.searchsorted(explained, target * explained[-1]))
+    return min((r for r in candidates if needed <= r <= len(values)), default=fallback)
 
 
 def factor_residuals(

@@ -9,6 +9,8 @@ penalties and the complete refit are all solved from the stacked factors.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -60,25 +62,20 @@ def _partial(size: int):
 
 
 def solve(x: np.ndarray, y: np.ndarray, ridge: float, cutoff: float) -> np.ndarray:
-    """Coefficients (p x q). The intercept is not penalised and the Gram matrix is not divided by n."""
-    if ridge > 0.0:
-        penalty = np.full(x.shape[1], ridge)
-        penalty[0] = 0.0
-        return np.linalg.solve(x.T @ x + np.diag(penalty), x.T @ y)
-    left, values, right = np.linalg.svd(x, full_matrices=False)
-    inverse = np.where(values > cutoff * values.max(initial=0.0), 1.0 / np.where(values > 0, values, 1.0), 0.0)
-    return (right.T * inverse) @ (left.T @ y)
+    """Least-squares coefficients (p x q) with ``ridge`` on all but the intercept, as rows below the data.
+
+    Without a penalty, directions whose singular value is at most ``cutoff`` times the largest get no weight.
+    """
+    if ridge <= 0.0:
+        return np.linalg.lstsq(x, y, rcond=cutoff)[0]
+    below = math.sqrt(ridge) * np.eye(x.shape[1])[1:]
+    return np.linalg.lstsq(np.vstack([x, below]), np.vstack([y, np.zeros((len(below), y.shape[1]))]), rcond=None)[0]
 
 
 def choose_ridge(candidates: tuple[float, ...], errors: list[float], tolerance: float) -> float:
-    """Smallest error in listed order; a tie with the running best moves to the larger penalty."""
-    best, best_error = candidates[0], errors[0]
-    for ridge, error in zip(candidates[1:], errors[1:], strict=True):
-        if error + tolerance < best_error:
-            best, best_error = ridge, error
-        elif abs(error - best_error) <= tolerance and ridge > best:
-            best, best_error = ridge, min(best_error, error)
-    return best
+    """Largest penalty whose error is within the tolerance of the least error."""
+    error = np.asarray(errors, dtype=float)
+    return float(np.asarray(candidates)[error <= error.min() + tolerance].max())
 
 
 def _fit(size: int, candidates: tuple[float, ...], folds: int, tie: float, cutoff: float):
