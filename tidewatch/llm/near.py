@@ -7,18 +7,18 @@ every (hash, sample) toggles one bit. The XOR of two sketches keeps the bits of
 population count estimates high similarities; pairs far below the threshold go before any text is read.
 
 Links are confirmed on full sets. First each bucket is a star: its members are compared with its centre, the
-member that meets most band mates, never all with all. What the stars join are components; only buckets that
-still span several components are compared further, across components alone. There a pair (X, Y) is read only
-if its sketches allow the threshold, and if the differences to the centre R do: the members keep bitmaps of
-X - R and R - X, whose common bits bound |X n Y| from above without fail. So a group of thousands of near
-copies costs about its size, and every pair of classes in one bucket ends up in one component, ruled out, or
-compared. A pair at similarity 0.8 shares a bucket but for 1.3e-7 (30 bands of four hashes) and passes its
-sketch but for 1e-6.
+member that meets most band mates, never all with all. What the stars join are components; the members of buckets of three and more that
+still span several components are compared further, across components alone. For that they are not paired by bucket but by prefix:
+shingles have one order, rare ones first, and two sets that reach the threshold have a shingle in common among the first fifth (and
+one more) of each. So neither near copies nor pages of one template, which share their frequent shingles, meet in pairs, and
+every pair of classes in one bucket ends up in one component, ruled out, or compared. A pair at similarity 0.8 shares a
+bucket but for 1.3e-7 (30 bands of four hashes) and passes its sketch but for 1e-6.
 
 Null and empty texts have the empty set and link with nothing. Fewer words than a shingle: the whole sequence
-is one shingle. In :func:`near_duplicates`, one row per doc_id, a null doc_id counts as one largest id, and rows
-that repeat a doc_id as one document with all of their texts. In :func:`deduplicated` each text of each doc_id is a
-node of its own, named by a 64-bit hash of both, so neither a shared nor a missing id links texts or removes them.
+is one shingle. Inside, each text of each doc_id is a node of its own, named by a 64-bit hash of both, so a shared or missing id
+multiplies nothing. In :func:`near_duplicates`, one row per document, nodes of equal ids are joined at the end: a null doc_id counts
+as one largest id, and rows that repeat a doc_id as one document with all of their texts. In :func:`deduplicated` they stay apart, so
+neither a shared nor a missing id links texts or removes them.
 """
 
 from __future__ import annotations
@@ -38,9 +38,9 @@ BANDS, ROWS, HASHES = 30, 4, 240
 #: longs of an odd sketch, and the most differing bits of a pair at the threshold: 48 of 240 samples are expected
 #: to differ, deviation 6.2; at five deviations 79 differ and toggle 158 of 1024 bits, 136 of them odd times
 SKETCH_LONGS, MOST_BITS = 16, 140
-#: longs of the bitmap of what a set has and its bucket's centre has not, and the other way round
-DIFF_LONGS = 8
 THRESHOLD = 80
+#: counters that put shingles in order of their frequency; shingles that share one are ordered by their hash
+COUNTERS = 1 << 18
 #: pairs of texts that a Python worker holds at once
 PAIR_ROWS = 200
 _NO_ID = np.iinfo(np.int64).max
@@ -120,15 +120,10 @@ def _describe(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Reco
             )
 
 
-def _bitmap(keys: np.ndarray) -> list[int]:
-    bits = np.zeros(DIFF_LONGS * 64, np.uint8)
-    bits[(keys % np.uint64(len(bits))).astype(np.int64)] = 1
-    return np.packbits(bits).view(np.int64).tolist()
-
-
 def _rows(documents: DataFrame) -> DataFrame:
+    """id (node), doc and text of every document."""
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))
-    return documents.select(doc.alias("id"), doc.alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return documents.select(_node("doc_id", "text").alias("id"), doc.alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
 def _node(doc: str, text: str):
@@ -138,20 +133,19 @@ def _node(doc: str, text: str):
 def _likely(a: str, b: str):
     """Whether sizes and sketches of two sides allow the threshold."""
     n_a, n_b = F.col(f"{a}.n"), F.col(f"{b}.n")
-    bits = [F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(SKETCH_LONGS)]
-    differ = sum(bits[1:], bits[0])
+    differ = F.aggregate(F.zip_with(f"{a}.s", f"{b}.s", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, c: t + c)
     return (100 * F.least(n_a, n_b) >= THRESHOLD * F.greatest(n_a, n_b)) & (differ <= MOST_BITS)
 
 
-def confirmed(pairs: DataFrame, rows: DataFrame, words: int, copies: bool = False) -> DataFrame:
-    """Common shingles of each pair (a, b), and whether the full sets reach the threshold, as a written table.
+def _texts_of(ids: DataFrame, rows: DataFrame) -> DataFrame:
+    """One text per node of ``ids`` (column id): copies of a node have equal texts."""
+    return rows.join(ids.distinct(), "id", "left_semi").select("id", "text").dropDuplicates(["id"])
 
-    ``copies``: rows with equal ids are copies of one text, read once.
-    """
+
+def confirmed(pairs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the threshold, as a written table."""
     spark = pairs.sparkSession
-    if copies:
-        asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        rows = rows.join(asked, "id", "left_semi").dropDuplicates(["id"])
+    rows = _texts_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), rows)
     text_a, text_b = rows.select(F.col("id").alias("a"), F.col("text").alias("text_a")), rows.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,19 +160,55 @@ def confirmed(pairs: DataFrame, rows: DataFrame, words: int, copies: bool = Fals
                 sides.append(found)
             both = np.array([W.member(x, y).sum() for x, y in zip(*sides, strict=True)], np.int64)
             total = np.array([len(x) + len(y) for x, y in zip(*sides, strict=True)], np.int64)
-            linked = (both > 0) & (100 * both >= THRESHOLD * (total - both))
-            only = [pa.array([_bitmap(s[~W.member(s, t)]) for s, t in zip(x, y, strict=True)], pa.list_(pa.int64())) for x, y in (sides, sides[::-1])]
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(both), pa.array(linked), *only], ["a", "b", "both", "linked", "only_a", "only_b"])
+            linked = pa.array((both > 0) & (100 * both >= THRESHOLD * (total - both)))
+            yield pa.RecordBatch.from_arrays([batch["a"].filter(linked), batch["b"].filter(linked)], ["a", "b"])
 
     limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(limit)
     spark.conf.set(limit, str(PAIR_ROWS))
     try:
-        return written(pairs.join(text_a, "a").join(text_b, "b").select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long, both long, linked boolean, only_a array<long>, only_b array<long>"), "compared")
+        return written(pairs.join(text_a, "a").join(text_b, "b").select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long"), "links")
     finally:
         spark.conf.set(limit, before)
 
 
+def _sets_of(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Rows lo to hi of a batch with their ordered distinct shingles and where each row starts."""
+    data, offsets = W.flat(batch["text"])
+    for lo, hi in W.chunks(offsets):
+        yield lo, hi, *shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], words)
+
+
+def prefixes(texts: DataFrame, words: int) -> DataFrame:
+    """(id, token) for the first shingles of each text, rare ones first, that any text at the threshold shares one of."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for _, _, key, _ in _sets_of(batch, words):
+                total += np.bincount((key % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["counter", "n"])
+
+    sums = texts.select("text").mapInArrow(count, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    seen = np.zeros(COUNTERS, np.int64)  # its size is a parameter, whatever the corpus
+    seen[sums["counter"].to_numpy()] = sums["n"].to_numpy()
+    shared = texts.sparkSession.sparkContext.broadcast(seen)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, key, at in _sets_of(batch, words):
+                size = np.diff(at)
+                row = np.repeat(np.arange(hi - lo), size)
+                order = np.lexsort((key, shared.value[(key % np.uint64(COUNTERS)).astype(np.int64)], row))
+                place = np.arange(len(key)) - np.repeat(at[:-1], size)
+                kept = place < np.repeat(size - (THRESHOLD * size + 99) // 100 + 1, size)
+                ids = batch["id"].slice(lo, hi - lo).to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row[kept]]), pa.array(key[order][kept].view(np.int64))], ["id", "token"])
+
+    return texts.mapInArrow(first, "id long, token long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Smallest node reachable from each node (node, component), by alternating large and small stars."""
     stars, before = edges, None
@@ -196,8 +226,8 @@ def components(edges: DataFrame) -> DataFrame:
         before = tuple(state)
 
 
-def classes(rows: DataFrame, words: int, copies: bool = False) -> DataFrame:
-    """Per row (id, doc, text): id, doc, n_shingles and component_id."""
+def classes(rows: DataFrame, words: int) -> DataFrame:
+    """Per row (id, doc, text): id, doc, n_shingles and the component, a node."""
     described = written(rows.mapInArrow(lambda it: _describe(it, words), _SET), "sets")
     sets = described.filter("n_shingles > 0").groupBy("low", "high").agg(F.min("id").alias("rep"), F.min("n_shingles").alias("n"), F.min("bands").alias("bands"), F.min("sketch").alias("s"))
     sets = written(sets, "classes")
@@ -206,69 +236,79 @@ def classes(rows: DataFrame, words: int, copies: bool = False) -> DataFrame:
     shared = written(members.join(buckets, "key"), "buckets")
     met = shared.groupBy("rep").agg(F.sum("m").alias("met"))
     centre = shared.join(met, "rep").groupBy("key").agg(F.max(F.struct("met", (-F.col("rep")).alias("first"))).alias("c")).select("key", (-F.col("c.first")).alias("centre"))
-    starred = written(shared.join(centre, "key").select("key", "rep", "centre"), "starred")
-    sketch = [f"s{i}" for i in range(SKETCH_LONGS)]
-    side = sets.select("rep", "n", *(F.col("s")[i].alias(c) for i, c in enumerate(sketch)))
+    starred = written(shared.join(centre, "key").select("key", "rep", "centre", "m"), "starred")
     pairs = starred.filter("rep != centre").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
 
-    def likely(pairs: DataFrame) -> DataFrame:
-        sides = [side.select(F.col("rep").alias(k), F.struct("n", *sketch).alias(v)) for k, v in (("a", "x"), ("b", "y"))]
-        return pairs.join(sides[0], "a").join(sides[1], "b").filter(_likely("x", "y")).select("a", "b")
+    def linked(pairs: DataFrame) -> DataFrame:
+        sides = [sets.select(F.col("rep").alias(k), F.struct("n", "s").alias(v)) for k, v in (("a", "x"), ("b", "y"))]
+        likely = written(pairs.join(sides[0], "a").join(sides[1], "b").filter(_likely("x", "y")).select("a", "b"), "likely")
+        return confirmed(likely, rows, words)
 
-    compared = confirmed(likely(pairs), rows, words, copies)
-    links = compared.filter("linked").select("a", "b")
+    links = linked(pairs)
     found = components(links)
-    labelled = starred.join(found, F.col("rep") == F.col("node"), "left").select("key", "rep", "centre", F.coalesce("component", "rep").alias("component"))
+    # two members need no more than their star; where more span components, those that are not linked with the centre may be with each other
+    labelled = starred.filter("m > 2").join(found, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
     spanning = labelled.groupBy("key").agg(F.min("component").alias("l"), F.max("component").alias("h")).filter("l < h").select("key")
-    mixed = labelled.filter("rep != centre").join(spanning, "key").withColumns({"a": F.least("rep", "centre"), "b": F.greatest("rep", "centre")})
-    own, lacks = ([F.when(F.col("rep") == F.col("a"), F.col(f"only_{p}")[i]).otherwise(F.col(f"only_{q}")[i]).alias(f"{n}{i}") for i in range(DIFF_LONGS)] for n, p, q in (("own", "a", "b"), ("lack", "b", "a")))
-    sizes = side.select(F.col("rep").alias("centre"), F.col("n").alias("n_centre"))
-    mixed = mixed.join(compared, ["a", "b"], "left").join(side, "rep").join(sizes, "centre").select("key", "rep", "component", "n", "n_centre", "both", *own, *lacks)
-    for name, total in (("own", F.col("n") - F.col("both")), ("lack", F.col("n_centre") - F.col("both"))):
-        # differences beyond one per set bit may be common as well
-        mixed = mixed.withColumn(f"{name}_more", total - sum(F.bit_count(f"{name}{i}") for i in range(1, DIFF_LONGS)) - F.bit_count(f"{name}0"))
-    mixed = written(mixed, "mixed")
-
-    def shared_of(name: str):
-        bits = [F.bit_count(F.col(f"x.{name}{i}").bitwiseAND(F.col(f"y.{name}{i}"))) for i in range(DIFF_LONGS)]
-        return sum(bits[1:], bits[0]) + F.least(f"x.{name}_more", f"y.{name}_more")
-
-    most = F.col("x.both") + F.col("y.both") - F.col("x.n_centre") + shared_of("lack") + shared_of("own")
-    allowed = F.coalesce(100 * most >= THRESHOLD * (F.col("x.n") + F.col("y.n") - most), F.lit(True))
-    rest = mixed.alias("x").join(mixed.alias("y"), "key").filter((F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")))
-    close = 100 * F.least("x.n", "y.n") >= THRESHOLD * F.greatest("x.n", "y.n")
-    rest = rest.filter(close & allowed).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    more = confirmed(likely(rest), rows, words, copies).filter("linked").select("a", "b")
-    if more.limit(1).count():
-        found = components(links.union(more))
-    named = sets.select("low", "high", "rep").join(found, F.col("rep") == F.col("node"), "left").select("low", "high", F.coalesce("component", "rep").alias("component_id"))
-    return described.select("id", "doc", "n_shingles", "low", "high").join(named, ["low", "high"], "left").select("id", "doc", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
+    mixed = written(labelled.join(spanning, "key").select("rep", "component").distinct(), "mixed")
+    if not mixed.isEmpty():
+        texts = written(_texts_of(mixed.select(F.col("rep").alias("id")), rows), "mixed-texts")
+        tokens = prefixes(texts, words).join(mixed.join(sets.select("rep", "n"), "rep").withColumnRenamed("rep", "id"), "id")
+        tokens = written(tokens, "prefixes")
+        # a token of one component alone says nothing across components
+        several = tokens.groupBy("token").agg(F.min("component").alias("l"), F.max("component").alias("h")).filter("l < h").select("token")
+        tokens = written(tokens.join(several, "token"), "shared-prefixes")
+        close = 100 * F.least("x.n", "y.n") >= THRESHOLD * F.greatest("x.n", "y.n")
+        across = tokens.alias("x").join(tokens.alias("y"), "token").filter((F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & close)
+        more = linked(across.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
+        if not more.isEmpty():
+            found = components(links.union(more))
+    named = sets.select("low", "high", "rep").join(found, F.col("rep") == F.col("node"), "left").select("low", "high", F.coalesce("component", "rep").alias("component"))
+    return described.select("id", "doc", "n_shingles", "low", "high").join(named, ["low", "high"], "left").select("id", "doc", "n_shingles", F.coalesce("component", "id").alias("component"))
 
 
 def near_duplicates(documents: DataFrame, words: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
-    ids = [F.nullif(c, F.lit(_NO_ID)).alias(n) for c, n in (("id", "doc_id"), ("component_id", "component_id"))]
-    return classes(_rows(documents), words).select(ids[0], "n_shingles", ids[1], (F.col("id") == F.col("component_id")).alias("kept"))
+    nodes = written(classes(_rows(documents), words), "nodes")
+    first = nodes.groupBy("component").agg(F.min("doc").alias("first"))
+    # rows that repeat a doc_id join the components of their texts, each one with the smallest of them
+    several = nodes.groupBy("doc").agg(F.min("component").alias("l"), F.max("component").alias("h")).filter("l < h")
+    joins = nodes.join(several, "doc").filter("component > l").select(F.col("component").alias("a"), F.col("l").alias("b")).distinct()
+    joins = written(joins, "joins")
+    if not joins.isEmpty():
+        wider = components(joins).withColumnRenamed("component", "whole")
+        first = first.join(wider, F.col("component") == F.col("node"), "left").select("component", "first", F.coalesce("whole", "component").alias("whole"))
+        least = first.groupBy("whole").agg(F.min("first").alias("least"))
+        first = first.join(least, "whole").select("component", F.col("least").alias("first"))
+    out = nodes.join(first, "component")
+    ids = [F.nullif(c, F.lit(_NO_ID)).alias(n) for c, n in (("doc", "doc_id"), ("first", "component_id"))]
+    return out.select(ids[0], "n_shingles", ids[1], (F.col("doc") == F.col("first")).alias("kept"))
 
 
 def deduplicated(documents: DataFrame, words: int = 5) -> DataFrame:
     """The documents, all their columns, without those that a row with a smaller doc_id represents.
 
     One row of each component stays, of the smallest doc_id (a null one is the largest); of rows with equal doc_id
-    and text that is the smallest by all columns. Null texts and texts without words all stay.
+    and text that is the smallest by all columns that have an order. Null texts and texts without words all stay.
     """
-    rows = _rows(documents).withColumn("id", _node("doc", "text"))
-    nodes = written(classes(rows, words, copies=True).filter("n_shingles > 0").select("id", "doc", "component_id"), "nodes")
-    several = nodes.groupBy("component_id").agg(F.min(F.struct("doc", "id")).alias("first"), F.count("*").alias("m")).filter("m > 1")
-    gone = nodes.join(several, "component_id").filter(F.col("id") != F.col("first.id")).select(F.col("id").alias("_gone")).distinct()
-    named = documents.withColumn("_node", _node("doc_id", "text"))
-    kept = named.join(gone, F.col("_node") == F.col("_gone"), "left_anti")
-    again = nodes.groupBy("id").count().filter("count > 1").join(several.select(F.col("first.id").alias("id")), "id", "left_semi").select(F.col("id").alias("_again"))
-    if not again.limit(1).count():
-        return kept.drop("_node")
+    nodes = written(classes(_rows(documents), words).filter("n_shingles > 0").select("id", "doc", "component"), "nodes")
+    several = nodes.groupBy("component").agg(F.min(F.struct("doc", "id")).alias("first"), F.count("*").alias("m")).filter("m > 1")
+    gone = nodes.join(several, "component").filter(F.col("id") != F.col("first.id")).select(F.col("id").alias("gone")).distinct()
+    again = nodes.groupBy("id").count().filter("count > 1").join(several.select(F.col("first.id").alias("id")), "id", "left_semi").select(F.col("id").alias("again"))
     again = written(again, "again")
-    copies = kept.join(again, F.col("_node") == F.col("_again"), "left_semi").groupBy("_node").agg(F.min(F.struct(*documents.columns)).alias("r")).select("r.*")
-    return kept.join(again, F.col("_node") == F.col("_again"), "left_anti").drop("_node").union(copies)
+    # the document's columns travel as one value, so no name of theirs meets one of these
+    named = documents.select(_node("doc_id", "text").alias("node"), F.struct(*documents.columns).alias("row"))
+    kept = named.join(gone, F.col("node") == F.col("gone"), "left_anti")
+    if again.isEmpty():
+        return kept.select("row.*")
+    order = F.struct(*[c for c in documents.columns if _has_order(documents.schema[c].dataType)])
+    copies = documents.select(_node("doc_id", "text").alias("node"), F.struct(*documents.columns).alias("row"), order.alias("order"))
+    copies = copies.join(again, F.col("node") == F.col("again"), "left_semi").groupBy("node").agg(F.min_by("row", "order").alias("row"))
+    return kept.join(again, F.col("node") == F.col("again"), "left_anti").select("row.*").union(copies.select("row.*"))
+
+
+def _has_order(kind) -> bool:
+    """Whether Spark can compare values of the type; maps have no order."""
+    return "map" not in kind.simpleString()
 
 
 _ORACLE = r"""

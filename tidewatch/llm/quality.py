@@ -77,6 +77,27 @@ def binned(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
     return np.concatenate(out, axis=1)
 
 
+def pair_weights(f: np.ndarray, over: np.ndarray, under: np.ndarray, ridge: float, steps: int = 40, block: int = 256) -> np.ndarray:
+    """Weights of the logistic loss on differences of features, by Newton's method; row i of ``over`` is preferred to ``under[i]``.
+
+    A pair (a over b) is also the pair (b under a): with both, the fit needs no intercept. Gradient and curvature are summed
+    over blocks of rows, so the differences of all pairs are never held at once.
+    """
+    w, pairs = np.zeros(f.shape[1]), over.size
+    for _ in range(steps):
+        gradient, curve = ridge * w, ridge * np.eye(len(w))
+        for lo in range(0, len(under), block):
+            d = (f[over[lo : lo + block]] - f[under[lo : lo + block]][:, None, :]).reshape(-1, len(w)).astype(float)
+            p = sigmoid(d @ w)
+            gradient += d.T @ (p - 1) / pairs
+            curve += (d.T * (p * (1 - p))) @ d / pairs
+        step = np.linalg.solve(curve, gradient)
+        w -= step
+        if np.abs(step).max() < 1e-8:
+            break
+    return w
+
+
 def fit(rows: pa.Table) -> dict | None:
     """Bin edges, weights, and the threshold and slope of the reported score; None without both labels."""
     y = np.asarray(rows["y"].to_pylist(), float)
@@ -87,9 +108,7 @@ def fit(rows: pa.Table) -> dict | None:
     f = binned(x, edges)
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     draw = np.random.default_rng(5).integers(0, len(good), (len(bad), PAIRS))
-    difference = (f[good[draw]] - f[bad][:, None, :]).reshape(-1, f.shape[1]).astype(float)
-    # a pair (a over b) is also the pair (b under a): with both, the fit needs no intercept
-    w = logistic(difference, np.ones(len(difference)), ridge=2e-3)
+    w = pair_weights(f, good[draw], bad, ridge=2e-3)
     s = f @ w
     order = np.argsort(s, kind="stable")
     right = np.concatenate([[0], np.cumsum(y[order] == 0)]) + np.concatenate([np.cumsum(y[order][::-1] == 1)[::-1], [0]])
