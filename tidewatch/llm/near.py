@@ -10,8 +10,9 @@ Links are confirmed on full sets. First each bucket is a star: its members are c
 member that meets most band mates, never all with all. What the stars join are components; the members of buckets of three and more that
 still span several components are compared further, across components alone. For that they are not paired by bucket but by prefix:
 shingles have one order, rare ones first, and two sets that reach the threshold have a shingle in common among the first fifth (and
-one more) of each. So neither near copies nor pages of one template, which share their frequent shingles, meet in pairs, and
-every pair of classes in one bucket ends up in one component, ruled out, or compared. A pair at similarity 0.8 shares a
+one more) of each; what either has from the first common one on is at least 4/9 of both sizes. So a shingle far down in a set
+needs a partner small enough, and neither near copies nor pages of one template, which share their frequent shingles, meet in pairs.
+Every pair of classes in one bucket ends up in one component, ruled out, or compared. A pair at similarity 0.8 shares a
 bucket but for 1.3e-7 (30 bands of four hashes) and passes its sketch but for 1e-6.
 
 Null and empty texts have the empty set and link with nothing. Fewer words than a shingle: the whole sequence
@@ -180,7 +181,7 @@ def _sets_of(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, int, np.n
 
 
 def prefixes(texts: DataFrame, words: int) -> DataFrame:
-    """(id, token) for the first shingles of each text, rare ones first, that any text at the threshold shares one of."""
+    """(id, token, place) for the first shingles of each text, rare ones first, that any text at the threshold shares one of."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int64)
@@ -204,9 +205,9 @@ def prefixes(texts: DataFrame, words: int) -> DataFrame:
                 place = np.arange(len(key)) - np.repeat(at[:-1], size)
                 kept = place < np.repeat(size - (THRESHOLD * size + 99) // 100 + 1, size)
                 ids = batch["id"].slice(lo, hi - lo).to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row[kept]]), pa.array(key[order][kept].view(np.int64))], ["id", "token"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row[kept]]), pa.array(key[order][kept].view(np.int64)), pa.array(place[kept])], ["id", "token", "place"])
 
-    return texts.mapInArrow(first, "id long, token long")
+    return texts.mapInArrow(first, "id long, token long, place long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -253,12 +254,15 @@ def classes(rows: DataFrame, words: int) -> DataFrame:
     if not mixed.isEmpty():
         texts = written(_texts_of(mixed.select(F.col("rep").alias("id")), rows), "mixed-texts")
         tokens = prefixes(texts, words).join(mixed.join(sets.select("rep", "n"), "rep").withColumnRenamed("rep", "id"), "id")
-        tokens = written(tokens, "prefixes")
+        # the common part of a pair is at least 4/9 of both sizes, so a shingle at some place allows partners up to a size
+        tokens = written(tokens.withColumn("most", F.floor((5 * F.col("n") - 9 * F.col("place")) / 4)), "prefixes")
+        tokens = tokens.join(tokens.groupBy("token").agg(F.min("n").alias("least")), "token").filter("most >= least").drop("least")
+        tokens = written(tokens, "allowed-prefixes")
         # a token of one component alone says nothing across components
         several = tokens.groupBy("token").agg(F.min("component").alias("l"), F.max("component").alias("h")).filter("l < h").select("token")
         tokens = written(tokens.join(several, "token"), "shared-prefixes")
-        close = 100 * F.least("x.n", "y.n") >= THRESHOLD * F.greatest("x.n", "y.n")
-        across = tokens.alias("x").join(tokens.alias("y"), "token").filter((F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & close)
+        fits = (F.col("x.n") <= F.col("y.most")) & (F.col("y.n") <= F.col("x.most"))
+        across = tokens.alias("x").join(tokens.alias("y"), "token").filter((F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & fits)
         more = linked(across.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
         if not more.isEmpty():
             found = components(links.union(more))
