@@ -148,3 +148,14 @@ def test_pair_scores_against_a_plain_descent(spark):
     scores = np.array([got[i]["score"] for i in sorted(got)])
     assert (plain[:40].min() > plain[40:].max()) == (scores[:40].min() > scores[40:].max())
     assert docs.filter(F.col("doc_id") < 0).count() == 0
+
+
+@pytest.mark.parametrize("bits", [64, 1 << 26])
+def test_a_filter_of_nodes_loses_none(spark, monkeypatch, bits):
+    monkeypatch.setattr(near, "FILTER_BITS", bits)
+    rows = spark.range(3000).select((F.col("id") * 7919 - 5_000_000).alias("id"), F.col("id").cast("string").alias("text"))
+    ids = rows.filter("id % 50 = 0").select("id")
+    wanted = {r["id"] for r in ids.collect()}
+    passed = {r["id"] for r in near._asked(ids, rows).collect()}
+    assert wanted <= passed and (bits == 64 or len(passed) < 3 * len(wanted) + 50)
+    assert {r["id"] for r in near._texts_of(ids.union(ids), rows.union(rows)).collect()} == wanted

@@ -27,6 +27,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +43,8 @@ SKETCH_LONGS, MOST_BITS = 16, 140
 THRESHOLD = 80
 #: counters that put shingles in order of their frequency; shingles that share one are ordered by their hash
 COUNTERS = 1 << 18
+#: most bits of a filter of nodes; beyond the nodes it can tell apart it lets more rows through, never fewer
+FILTER_BITS = 1 << 26
 #: pairs of texts that a Python worker holds at once
 PAIR_ROWS = 200
 _NO_ID = np.iinfo(np.int64).max
@@ -138,9 +141,27 @@ def _likely(a: str, b: str):
     return (100 * F.least(n_a, n_b) >= THRESHOLD * F.greatest(n_a, n_b)) & (differ <= MOST_BITS)
 
 
+def _asked(ids: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows whose node may be among ``ids``: a filter of bounded size, so that the texts of all others need not be shuffled."""
+    bits = min(FILTER_BITS, 1 << max(10, (32 * ids.count()).bit_length()))
+    spot = F.pmod(F.xxhash64("id"), F.lit(bits))
+    words = ids.select(spot.alias("at")).groupBy(F.floor(F.col("at") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 AS int))")).alias("mask")).toArrow()
+    mask = np.zeros(bits // 64, np.int64)
+    mask[words["word"].to_numpy()] = words["mask"].to_numpy()
+    shared = rows.sparkSession.sparkContext.broadcast(mask)
+
+    @F.pandas_udf("boolean")
+    def maybe(at: pd.Series) -> pd.Series:
+        x = at.to_numpy()
+        return pd.Series((shared.value[x // 64] >> (x % 64)) & 1 == 1)
+
+    return rows.filter(maybe(spot))
+
+
 def _texts_of(ids: DataFrame, rows: DataFrame) -> DataFrame:
     """One text per node of ``ids`` (column id): copies of a node have equal texts."""
-    return rows.join(ids.distinct(), "id", "left_semi").select("id", "text").dropDuplicates(["id"])
+    ids = written(ids.distinct(), "asked")
+    return _asked(ids, rows.select("id", "text")).join(ids, "id", "left_semi").dropDuplicates(["id"])
 
 
 def confirmed(pairs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
