@@ -96,6 +96,27 @@ def test_persistence_and_policy_choice(spark):
     assert got == {"a": (2.5, 2, "Available"), "b": (None, None, "Operating Point Unavailable")}
 
 
+@pytest.mark.parametrize("chunk", [1, 3, 64])
+def test_long_trajectories_in_chunks(spark, chunk):
+    """Against a plain walk: crossings in any chunk, none at all, gaps in the positions, factors that overflow and vanish."""
+    import random
+
+    rng = random.Random(chunk)
+    paths = {k: [(p, math.exp(rng.gauss(m, 0.4))) for p in range(rng.randrange(1, 60)) if rng.random() < 0.9] for k, m in enumerate((-0.5, -0.3, -0.1, 0.05, 0.3, -0.2, -0.2))}
+    paths |= {100: [(p, 1e200) for p in range(9)], 101: [(p, 1e-200 if p % 2 else 1e150) for p in range(9)], 102: [(0, 0.0), (1, 0.5), (2, 9.0)], 103: [(5, 0.1)]}
+    rows = [(k, p, f) for k, path in paths.items() for p, f in path]
+    got = {r["k"]: (r["stop"], r["length"]) for r in sequential.stops_by_fold(spark.createDataFrame(rows, "k long, pos long, factor double").repartition(3), ["k"], 3.0, chunk=chunk).collect()}
+    for k, path in paths.items():
+        g, stop = 0.0, None
+        for p, f in path:
+            g = (g + 1.0) * f
+            if g >= 3.0:
+                stop = p
+                break
+        if path:
+            assert got[k] == (stop, len(path))
+
+
 def test_threshold_choice(spark):
     """60 horizons: with one stop the bound at 90 % is 0.063, with three 0.109; a method that always stops has no threshold."""
     counts = spark.createDataFrame([("slow", 4.0, 60, 0), ("slow", 1.5, 60, 1), ("slow", 1.0, 60, 3), ("eager", 4.0, 60, 60)], "method string, threshold double, horizons long, false_stops long")

@@ -1,6 +1,7 @@
 """Sequential recursion, distributed support, stops and threshold calibration.
 
-Every sequence restarts with its horizon or campaign, so a group never exceeds the horizon length.
+Sequences that restart with their horizon or campaign never exceed its length and are one window. Trajectories of any length are
+scanned in chunks (:func:`entry_states`).
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions import binomial
+from tidewatch.session import written
 
 
 def global_state(evidence: DataFrame, keys: list[str], pos: str = "pos") -> DataFrame:
@@ -19,23 +21,53 @@ def global_state(evidence: DataFrame, keys: list[str], pos: str = "pos") -> Data
     return log_sum.withColumn("state", F.exp("_l") * inner).drop("_l")
 
 
-def stops_by_fold(evidence: DataFrame, keys: list[str], threshold: float, pos: str = "pos") -> DataFrame:
-    """First crossing of long trajectories by an ordered fold, free of overflow.
+#: states are cut off here: a state this large has crossed any threshold, and products stay finite
+_MOST = 1e300
 
-    A trajectory is bounded by its configured maximum length.
+
+def _chunk_steps(pos: str) -> Column:
+    return F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col("factor").alias("f"))))
+
+
+def entry_states(evidence: DataFrame, keys: list[str], pos: str = "pos", chunk: int = 1024) -> DataFrame:
+    """(keys, _chunk, entry): the state before each chunk of ``chunk`` positions of a trajectory of any length.
+
+    A step maps g to (g + 1) f, so a chunk maps g to a g + b. Maps of chunks are composed over doubling distances, the
+    first chunk starts from zero; no trajectory is ever one row.
     """
-    steps = F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col("factor").alias("f"))))
-    start = F.struct(F.lit(0.0).alias("g"), F.lit(None).cast("long").alias("stop"))
+    fold = lambda acc, s: F.struct(
+        F.least(acc["a"] * s["f"], F.lit(_MOST)).alias("a"), F.least((acc["b"] + 1.0) * s["f"], F.lit(_MOST)).alias("b")
+    )
+    own = evidence.groupBy(*keys, F.floor(F.col(pos) / chunk).alias("_chunk")).agg(_chunk_steps(pos).alias("s"))
+    start = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"))
+    maps = own.select(*keys, "_chunk", F.aggregate("s", start, fold).alias("m")).select(*keys, "_chunk", "m.a", "m.b")
+    order = Window.partitionBy(*keys).orderBy("_chunk")
+    maps = written(maps.withColumn("_i", F.row_number().over(order)), "chunk-maps")
+    most, distance = maps.agg(F.max("_i")).first()[0] or 0, 1
+    while distance < most:
+        before = [F.lag(c, distance).over(order) for c in ("a", "b")]
+        joined = maps.withColumns({"_a": F.coalesce(before[0], F.lit(1.0)), "_b": F.coalesce(before[1], F.lit(0.0))})
+        both = {"a": F.least(F.col("a") * F.col("_a"), F.lit(_MOST)), "b": F.least(F.col("a") * F.col("_b") + F.col("b"), F.lit(_MOST))}
+        maps = written(joined.withColumns(both).drop("_a", "_b"), "chunk-maps")
+        distance *= 2
+    return maps.select(*keys, "_chunk", F.coalesce(F.lag("b").over(order), F.lit(0.0)).alias("entry"))
+
+
+def stops_by_fold(evidence: DataFrame, keys: list[str], threshold: float, pos: str = "pos", chunk: int = 1024) -> DataFrame:
+    """First crossing of trajectories of any length, free of overflow, with their numbers of rows.
+
+    Every chunk is walked from its entry state; the first crossing of the first chunk that has one is the stop.
+    """
+    entries = entry_states(evidence, keys, pos, chunk)
+    own = evidence.groupBy(*keys, F.floor(F.col(pos) / chunk).alias("_chunk")).agg(_chunk_steps(pos).alias("s"), F.count("*").alias("n"))
 
     def step(acc: Column, s: Column) -> Column:
-        g = (acc["g"] + 1.0) * s["f"]
-        stop = F.coalesce(acc["stop"], F.when(g >= threshold, s["p"].cast("long")))
-        # past the stop the state no longer matters, so it is held
-        return F.struct(F.when(acc["stop"].isNull(), g).otherwise(acc["g"]).alias("g"), stop.alias("stop"))
+        g = F.least((acc["g"] + 1.0) * s["f"], F.lit(_MOST))
+        return F.struct(g.alias("g"), F.coalesce(acc["stop"], F.when(g >= threshold, s["p"].cast("long"))).alias("stop"))
 
-    return evidence.groupBy(*keys).agg(
-        F.aggregate(steps, start, step)["stop"].alias("stop"), F.count("*").alias("length")
-    )
+    start = F.struct(F.col("entry").alias("g"), F.lit(None).cast("long").alias("stop"))
+    walked = own.join(entries, [*keys, "_chunk"]).select(*keys, "n", F.aggregate("s", start, step)["stop"].alias("stop"))
+    return walked.groupBy(*keys).agg(F.min("stop").alias("stop"), F.sum("n").alias("length"))
 
 
 def distributed_support(
