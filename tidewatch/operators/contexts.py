@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions import arrays, prefix, text
-from tidewatch.session import written
+from tidewatch.session import spread, written
 
 VARIANTS = ("exact", "inclusive", "leave_one_out", "partial", "local_history", "none")
 
@@ -207,7 +207,8 @@ def fit_centroids(
     from a drawn row. A restart ends when no centroid moves by more than ``tolerance``. Within a billionth of the least
     inertia the first restart wins, so restarts that meet at the same cells are not told apart by rounding.
     """
-    table = written(numbered_histograms(rows, by), "context-histograms")
+    # few bytes, but each row meets all cells of all restarts in every iteration
+    table = written(spread(numbered_histograms(rows, by), *by, "hist"), "context-histograms")
     spark, kinds = table.sparkSession, dict(table.dtypes)
     head = ", ".join(f"{k} {kinds[k]}" for k in by)
     sizes = {tuple(r[k] for k in by): r["n"] for r in table.groupBy(*by).agg(F.max("n").alias("n")).collect()}
