@@ -11,9 +11,11 @@ adding or subtracting its vector (:func:`combined`). The vector has two parts:
   so products of lanes estimate common pairs, and likeness is 2 <x, y> / (<x, x> + <y, y>) cut to 0..1.
 
 A paragraph without pairs counts as one pair of its whole text. Null counts as the empty text, which is one
-empty paragraph. Documents are put in shards by quantiles of doc_id and each shard is ordered in one task, so
-the next document comes with one shuffle of the texts; the first document of each shard follows the last of the
-shard before. Rows that repeat a doc_id follow each other in the order of their texts; null ids come first.
+empty paragraph. Lanes are summed inside the row: blocks of 255 hashes add their bits as bytes of seven bytes a
+long, so no pair becomes a row. Documents are put in shards by quantiles of doc_id and each shard is ordered in
+one task; the next document's text and sums come from the same window, so the texts are shuffled once. The last
+document of each shard is followed by the first of the next shard with documents. Rows that repeat a doc_id
+follow each other in the order of their texts; null ids come first.
 """
 
 from __future__ import annotations
@@ -27,36 +29,67 @@ from tidewatch.session import written
 EQUAL, NEAR = 8, 48
 #: two bits of a hash that are the two lanes of a long; no text has the 2^31 pairs that would carry over
 _LANE = 31
-_LANES = 1 | 1 << _LANE
+#: hashes of a block: their bits are counted in bytes, of which a signed long has seven whole ones
+_BLOCK, _BYTES = 255, 0x0001010101010101
 #: rows of a shard, and quantiles of doc_id before shards are cut to equal widths
 SHARD_ROWS, QUANTILES = 20_000, 64
 SUMS = [f"e{i}" for i in range(EQUAL)] + ["paragraphs"] + [f"n{i}" for i in range(NEAR)] + ["pairs"]
 
 
-def _sum_lanes() -> list[Column]:
-    """Sums over exploded pairs; hash h0 and h1 of a pair give half of the longs each."""
-    per = NEAR // 2
-    return [F.sum(F.shiftrightunsigned(F.col(f"h{i // per}"), i % per).bitwiseAND(F.lit(_LANES))).alias(f"n{i}") for i in range(NEAR)]
-
-
 def _equal_lane(seed: int) -> Column:
     low = F.lit(0xFFFFFFFF)
-    return F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + F.xxhash64(F.lit(seed), x).bitwiseAND(low)).bitwiseAND(low)
+    return F.aggregate("_mh_lines", F.lit(0).cast("long"), lambda a, x: a + F.xxhash64(F.lit(seed), x).bitwiseAND(low)).bitwiseAND(low)
+
+
+def _blocks(hashes: str) -> Column:
+    """The hashes of a row in blocks, the last one shorter."""
+    starts = F.sequence(F.lit(0), F.floor((F.size(hashes) - 1) / _BLOCK).cast("int"))
+    return F.transform(starts, lambda i: F.slice(hashes, i * _BLOCK + 1, F.lit(_BLOCK)))
+
+
+def _bit_counts(block: Column) -> Column:
+    """Eight longs: byte b of long j counts the hashes of the block with bit 8 b + j, for bits below 56."""
+
+    def ones(j: int) -> Column:
+        return F.aggregate(block, F.lit(0).cast("long"), lambda a, x: a + F.shiftrightunsigned(x, j).bitwiseAND(F.lit(_BYTES)))
+
+    return F.array(*(ones(j) for j in range(8)))
+
+
+def _near_lane(counts: str, bit: int) -> Column:
+    """A long of two lanes, the sums of a bit and of the bit 31 places above it."""
+
+    def count(block: Column, b: int) -> Column:
+        return F.shiftrightunsigned(F.element_at(block, b % 8 + 1), 8 * (b // 8)).bitwiseAND(F.lit(0xFF))
+
+    return F.aggregate(counts, F.lit(0).cast("long"), lambda a, c: a + count(c, bit) + F.shiftleft(count(c, bit + _LANE), _LANE))
+
+
+def with_sums(rows: DataFrame, text: str, name: str) -> DataFrame:
+    """The rows with a struct of the sums of a text's paragraphs; columns ``_mh_*`` are used on the way.
+
+    Each step is a column that the next one reads many times, so the steps stay projections of their own.
+    """
+    keep, per = [c for c in rows.columns if c != name], NEAR // 2
+    step = rows.withColumn("_mh_lines", F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1))
+    step = step.withColumn("_mh_h0", F.flatten(F.transform(F.transform("_mh_lines", lambda line: F.split(line, " ", -1)), _pair_hashes)))
+    step = step.withColumn("_mh_h1", F.transform("_mh_h0", lambda x: F.xxhash64(x)))
+    step = step.withColumns({f"_mh_b{i}": _blocks(f"_mh_h{i}") for i in range(2)})
+    step = step.withColumns({f"_mh_c{i}": F.transform(f"_mh_b{i}", _bit_counts) for i in range(2)})
+    whole = [*(_equal_lane(i).alias(f"e{i}") for i in range(EQUAL)), F.size("_mh_lines").cast("long").alias("paragraphs")]
+    near = [*(_near_lane(f"_mh_c{i // per}", i % per).alias(f"n{i}") for i in range(NEAR)), F.size("_mh_h0").cast("long").alias("pairs")]
+    return step.select(*keep, F.struct(*whole, *near).alias(name))
 
 
 def fingerprints(rows: DataFrame, key: list[str], text: str) -> DataFrame:
-    """The sums of each row's paragraphs; ``key`` tells rows apart."""
-    base = rows.select(*key, F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1).alias("lines"))
-    whole = base.select(*key, *(_equal_lane(i).alias(f"e{i}") for i in range(EQUAL)), F.size("lines").cast("long").alias("paragraphs"))
-    pairs = base.select(*key, F.explode(F.flatten(F.transform("lines", _pair_hashes))).alias("h0")).withColumn("h1", F.xxhash64("h0"))
-    near = pairs.groupBy(*key).agg(*_sum_lanes(), F.count("*").alias("pairs"))
-    return whole.join(near, key)
+    """The sums of each row's paragraphs next to its key."""
+    return with_sums(rows.select(*key, F.col(text).alias("_mh_text")), "_mh_text", "_mh_sums").select(*key, "_mh_sums.*")
 
 
-def _pair_hashes(line: Column) -> Column:
-    words = F.split(line, " ", -1)
-    neighbours = F.zip_with(F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.size(words) - 1), lambda a, b: F.xxhash64(a, b))
-    return F.when(F.size(words) > 1, neighbours).otherwise(F.array(F.xxhash64(line)))
+def _pair_hashes(words: Column) -> Column:
+    n = F.size(words) - 1
+    neighbours = F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.xxhash64(a, b))
+    return F.when(n > 0, neighbours).otherwise(F.transform(words, lambda w: F.xxhash64(w)))
 
 
 def combined(a: dict, b: dict, sign: int = 1) -> dict:
@@ -104,19 +137,21 @@ def _sharded(rows: DataFrame) -> tuple[DataFrame, int]:
 
 
 def followed(documents: DataFrame) -> DataFrame:
-    """doc_id, text, the key (shard, rn) and the next document's key and text, the first following the last."""
-    rows, _ = _sharded(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
+    """doc_id, text, its sums x, and the next document's text and sums; the first document follows the last."""
+    rows, shards = _sharded(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
+    # the first document of each shard, found by ids and then read; their number is bounded like partitions
+    least = rows.groupBy("shard").agg(F.min(F.col("doc_id").isNotNull()).alias("known"), F.min("doc_id").alias("least"))
+    least = least.select("shard", F.when(F.col("known"), F.col("least")).alias("doc_id"))
+    numbers = sorted(r["shard"] for r in least.select("shard").collect())
+    heads = rows.join(least.withColumnsRenamed({"shard": "s", "doc_id": "d"}), (F.col("shard") == F.col("s")) & F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
+    heads = heads.groupBy("shard").agg(F.min("text").alias("first_text"))
+    after = documents.sparkSession.createDataFrame([(s, numbers[(i + 1) % len(numbers)]) for i, s in enumerate(numbers)], "before int, shard int")
+    heads = written(with_sums(heads.join(after, "shard").select("before", "first_text"), "first_text", "first_x"), "shard-firsts")
     order = Window.partitionBy("shard").orderBy("doc_id", "text")
-    inner = rows.select("doc_id", "text", "shard", F.row_number().over(order).alias("rn"), F.lead("text").over(order).alias("next_text"))
-    # one row per shard: its first document, and which shard comes next; their number is bounded like partitions
-    ends = rows.groupBy("shard").agg(F.min(F.struct("doc_id", "text")).alias("first"))
-    ends = written(ends.select("shard", F.col("first.text").alias("first_text")), "shard-firsts")
-    numbers = sorted(r["shard"] for r in ends.select("shard").collect())
-    after = documents.sparkSession.createDataFrame([(s, numbers[(i + 1) % len(numbers)]) for i, s in enumerate(numbers)], "shard int, after int")
-    links = after.join(ends.withColumnRenamed("shard", "after"), "after").select("shard", "after", "first_text")
-    out = inner.join(links, "shard")
-    last = F.col("next_text").isNull()
-    return out.select("doc_id", "text", "shard", "rn", F.when(last, F.col("after")).otherwise(F.col("shard")).alias("next_shard"), F.when(last, F.lit(1)).otherwise(F.col("rn") + 1).alias("next_rn"), F.coalesce("next_text", "first_text").alias("next_text"))
+    inner = with_sums(rows.repartition(shards, "shard"), "text", "x")
+    inner = inner.select("doc_id", "text", "x", "shard", F.lead("text").over(order).alias("next_text"), F.lead("x").over(order).alias("next_x"))
+    out = inner.join(heads, (F.col("shard") == F.col("before")) & F.col("next_text").isNull(), "left")
+    return out.select("doc_id", "text", "x", F.coalesce("next_text", "first_text").alias("next_text"), F.coalesce("next_x", "first_x").alias("next_x"))
 
 
 def compared(documents: DataFrame) -> DataFrame:
@@ -124,18 +159,10 @@ def compared(documents: DataFrame) -> DataFrame:
     rows = followed(documents).withColumn("n_chars", F.char_length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.expr("left(text, cast(n_chars - floor(n_chars / 2) as int))"), F.substring(F.col("next_text"), F.lit(1), half))
-    rows = rows.withColumn("edited", edited)
-    key = ["shard", "rn", "side"]
-    facts = rows.select("shard", "rn", "doc_id", "n_chars", "next_shard", "next_rn", F.sha2("edited", 256).alias("edited_sha256"))
-    both = rows.select("shard", "rn", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("t")), F.struct(F.lit(1).alias("side"), F.col("edited").alias("t")))).alias("v")).select("shard", "rn", "v.side", "v.t")
-    prints = fingerprints(both, key, "t").select(*key, F.struct(*SUMS).alias("x")).select(*key, as_text({c: F.col(f"x.{c}") for c in SUMS}).alias("fingerprint"), _signs("x").alias("signs"))
-    prints = written(prints, "fingerprints")
-    facts = written(facts, "facts")
-    own = prints.filter("side = 0").select("shard", "rn", F.col("fingerprint"), F.col("signs"))
-    changed = prints.filter("side = 1").select("shard", "rn", F.col("fingerprint").alias("edited_fingerprint"), F.col("signs").alias("edited_signs"))
-    after = prints.filter("side = 0").select(F.col("shard").alias("next_shard"), F.col("rn").alias("next_rn"), F.col("signs").alias("next_signs"))
-    out = facts.join(own, ["shard", "rn"]).join(changed, ["shard", "rn"]).join(after, ["next_shard", "next_rn"])
-    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness("signs", "edited_signs").alias("near_edited"), likeness("signs", "next_signs").alias("near_next"))
+    rows = with_sums(rows.select("doc_id", "n_chars", "x", "next_x", edited.alias("edited")), "edited", "y")
+    signs = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "x", "y", _signs("x").alias("s"), _signs("y").alias("s_edited"), _signs("next_x").alias("s_next"))
+    prints = [as_text({c: F.col(f"{x}.{c}") for c in SUMS}).alias(name) for x, name in (("x", "fingerprint"), ("y", "edited_fingerprint"))]
+    return signs.select("doc_id", "n_chars", "edited_sha256", *prints, likeness("s", "s_edited").alias("near_edited"), likeness("s", "s_next").alias("near_next"))
 
 
 @query("op4_homomorphic_multiset_hash")
