@@ -141,7 +141,8 @@ def followed(documents: DataFrame) -> DataFrame:
     rows, shards = _sharded(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
     # the first document of each shard, found by ids and then read; their number is bounded like partitions
     least = rows.groupBy("shard").agg(F.min(F.col("doc_id").isNotNull()).alias("known"), F.min("doc_id").alias("least"))
-    least = least.select("shard", F.when(F.col("known"), F.col("least")).alias("doc_id"))
+    # written, so that its size is known and the texts that it picks from need no shuffle
+    least = written(least.select("shard", F.when(F.col("known"), F.col("least")).alias("doc_id")), "shard-least")
     numbers = sorted(r["shard"] for r in least.select("shard").collect())
     heads = rows.join(least.withColumnsRenamed({"shard": "s", "doc_id": "d"}), (F.col("shard") == F.col("s")) & F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
     heads = heads.groupBy("shard").agg(F.min("text").alias("first_text"))
