@@ -37,32 +37,24 @@ SUMS = [f"e{i}" for i in range(EQUAL)] + ["paragraphs"] + [f"n{i}" for i in rang
 
 
 def _equal_lane(seed: int) -> Column:
-    low = F.lit(0xFFFFFFFF)
-    return F.aggregate("_mh_lines", F.lit(0).cast("long"), lambda a, x: a + F.xxhash64(F.lit(seed), x).bitwiseAND(low)).bitwiseAND(low)
+    return F.expr(f"aggregate(_mh_lines, 0L, (a, x) -> a + (xxhash64({seed}, x) & 4294967295L)) & 4294967295L")
 
 
 def _blocks(hashes: str) -> Column:
     """The hashes of a row in blocks, the last one shorter."""
-    starts = F.sequence(F.lit(0), F.floor((F.size(hashes) - 1) / _BLOCK).cast("int"))
-    return F.transform(starts, lambda i: F.slice(hashes, i * _BLOCK + 1, F.lit(_BLOCK)))
+    return F.expr(f"transform(sequence(0, cast((size({hashes}) - 1) div {_BLOCK} as int)), i -> slice({hashes}, i * {_BLOCK} + 1, {_BLOCK}))")
 
 
-def _bit_counts(block: Column) -> Column:
-    """Eight longs: byte b of long j counts the hashes of the block with bit 8 b + j, for bits below 56."""
-
-    def ones(j: int) -> Column:
-        return F.aggregate(block, F.lit(0).cast("long"), lambda a, x: a + F.shiftrightunsigned(x, j).bitwiseAND(F.lit(_BYTES)))
-
-    return F.array(*(ones(j) for j in range(8)))
+def _bit_counts(blocks: str) -> Column:
+    """Eight longs a block: byte b of long j counts the hashes with bit 8 b + j, for bits below 56."""
+    ones = (f"aggregate(b, 0L, (a, x) -> a + (shiftrightunsigned(x, {j}) & {_BYTES}L))" for j in range(8))
+    return F.expr(f"transform({blocks}, b -> array({', '.join(ones)}))")
 
 
 def _near_lane(counts: str, bit: int) -> Column:
     """A long of two lanes, the sums of a bit and of the bit 31 places above it."""
-
-    def count(block: Column, b: int) -> Column:
-        return F.shiftrightunsigned(F.element_at(block, b % 8 + 1), 8 * (b // 8)).bitwiseAND(F.lit(0xFF))
-
-    return F.aggregate(counts, F.lit(0).cast("long"), lambda a, c: a + count(c, bit) + F.shiftleft(count(c, bit + _LANE), _LANE))
+    low, high = (f"(shiftrightunsigned(element_at(c, {b % 8 + 1}), {8 * (b // 8)}) & 255L)" for b in (bit, bit + _LANE))
+    return F.expr(f"aggregate({counts}, 0L, (a, c) -> a + {low} + shiftleft({high}, {_LANE}))")
 
 
 def with_sums(rows: DataFrame, text: str, name: str) -> DataFrame:
@@ -75,7 +67,7 @@ def with_sums(rows: DataFrame, text: str, name: str) -> DataFrame:
     step = step.withColumn("_mh_h0", F.flatten(F.transform(F.transform("_mh_lines", lambda line: F.split(line, " ", -1)), _pair_hashes)))
     step = step.withColumn("_mh_h1", F.transform("_mh_h0", lambda x: F.xxhash64(x)))
     step = step.withColumns({f"_mh_b{i}": _blocks(f"_mh_h{i}") for i in range(2)})
-    step = step.withColumns({f"_mh_c{i}": F.transform(f"_mh_b{i}", _bit_counts) for i in range(2)})
+    step = step.withColumns({f"_mh_c{i}": _bit_counts(f"_mh_b{i}") for i in range(2)})
     whole = [*(_equal_lane(i).alias(f"e{i}") for i in range(EQUAL)), F.size("_mh_lines").cast("long").alias("paragraphs")]
     near = [*(_near_lane(f"_mh_c{i // per}", i % per).alias(f"n{i}") for i in range(NEAR)), F.size("_mh_h0").cast("long").alias("pairs")]
     return step.select(*keep, F.struct(*whole, *near).alias(name))
@@ -97,15 +89,15 @@ def combined(a: dict, b: dict, sign: int = 1) -> dict:
     return {k: (a[k] + sign * b[k]) % (2**32 if k[0] == "e" else 2**62) for k in SUMS}
 
 
-def as_text(columns: dict[str, Column]) -> Column:
-    """The sums as fixed-width hexadecimal text."""
-    return F.concat(*(F.lpad(F.lower(F.hex(columns[c])), 8 if c[0] == "e" else 16, "0") for c in SUMS))
+def as_text(sums: str) -> Column:
+    """A struct of sums as fixed-width hexadecimal text."""
+    return F.expr(f"concat({', '.join(f"lpad(lower(hex({sums}.{c})), {8 if c[0] == 'e' else 16}, '0')" for c in SUMS)})")
 
 
-def _signs(x: str) -> Column:
-    """Sums of random signs, one entry per lane."""
-    lanes = [F.shiftrightunsigned(F.col(f"{x}.n{i}"), _LANE * j).bitwiseAND(F.lit(2**_LANE - 1)) for i in range(NEAR) for j in range(2)]
-    return F.transform(F.array(*lanes), lambda v: (2 * v - F.col(f"{x}.pairs")).cast("double"))
+def _signs(sums: str) -> Column:
+    """Sums of random signs, one entry per lane of a struct of sums."""
+    lanes = (f"shiftrightunsigned({sums}.n{i}, {_LANE * j}) & {2**_LANE - 1}L" for i in range(NEAR) for j in range(2))
+    return F.expr(f"transform(array({', '.join(lanes)}), v -> cast(2 * v - {sums}.pairs as double))")
 
 
 def _dot(a: str, b: str) -> Column:
@@ -162,7 +154,7 @@ def compared(documents: DataFrame) -> DataFrame:
     edited = F.concat(F.expr("left(text, cast(n_chars - floor(n_chars / 2) as int))"), F.substring(F.col("next_text"), F.lit(1), half))
     rows = with_sums(rows.select("doc_id", "n_chars", "x", "next_x", edited.alias("edited")), "edited", "y")
     signs = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "x", "y", _signs("x").alias("s"), _signs("y").alias("s_edited"), _signs("next_x").alias("s_next"))
-    prints = [as_text({c: F.col(f"{x}.{c}") for c in SUMS}).alias(name) for x, name in (("x", "fingerprint"), ("y", "edited_fingerprint"))]
+    prints = [as_text(x).alias(name) for x, name in (("x", "fingerprint"), ("y", "edited_fingerprint"))]
     return signs.select("doc_id", "n_chars", "edited_sha256", *prints, likeness("s", "s_edited").alias("near_edited"), likeness("s", "s_next").alias("near_next"))
 
 
