@@ -356,6 +356,14 @@ def test_ranking_quality(spark):
     assert got["none"]["auroc"] is None
 
 
+def test_ranking_quality_without_negatives(spark):
+    """As the SQL has it: precision is one at every cut, and no pair of classes leaves the area undefined."""
+    rows = spark.createDataFrame([("k", 1.0, True), ("k", 2.0, True), ("k", 2.0, True), ("none", 1.0, False)], "k string, s double, y boolean")
+    got = {r["k"]: r for r in metrics.ranking_quality(rows, ["k"], "s", "y").collect()}
+    assert math.isnan(got["k"]["auroc"]) and got["k"]["average_precision"] == 1.0
+    assert got["none"]["auroc"] is None and got["none"]["average_precision"] is None
+
+
 def test_statistics_against_direct_formulas(spark):
     rng = np.random.default_rng(12)
     d = np.round(rng.normal(0.3, 1.0, 8), 3)

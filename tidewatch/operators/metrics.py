@@ -135,7 +135,7 @@ def suppression(pfa: Column, raw_pfa: Column, floor: float) -> Column:
 
 
 def ranking_quality(rows: DataFrame, keys: list[str], score: str, positive: str) -> DataFrame:
-    """AUROC (ties count half) and average precision; null when a class is missing.
+    """AUROC (ties count half) and average precision; both null without positives, AUROC not a number without negatives.
 
     Rows shrink to counts per distinct score before they are ordered, and the ordering runs in
     value buckets, so a common score or a large key costs no single task.
@@ -152,11 +152,12 @@ def ranking_quality(rows: DataFrame, keys: list[str], score: str, positive: str)
     sums = ran.groupBy(*keys).agg(
         F.sum(wins).alias("w"), F.sum(precision).alias("ap"), F.max("cp_all").alias("positives"), F.max("cn_all").alias("negatives")
     )
-    defined = (F.col("positives") > 0) & (F.col("negatives") > 0)
+    found = F.col("positives") > 0
+    pairs = F.col("positives") * F.col("negatives")
     return sums.select(
         *keys, "positives", "negatives",
-        F.when(defined, F.col("w") / (F.col("positives") * F.col("negatives"))).alias("auroc"),
-        F.when(defined, F.col("ap") / F.col("positives")).alias("average_precision"),
+        F.when(found & (pairs == 0), F.lit(float("nan"))).when(found, F.col("w") / pairs).alias("auroc"),
+        F.when(found, F.col("ap") / F.col("positives")).alias("average_precision"),
     )
 
 
