@@ -339,6 +339,23 @@ def test_strongest_comparator_scans_in_order(spark):
     assert comparators.strongest_comparator(spark.createDataFrame(single, schema), 0.01, 1e-6).first()["name"] == "z"
 
 
+def test_intervals_are_solved_once_for_equal_counts(spark, monkeypatch):
+    solved = []
+    monkeypatch.setattr(statistics, "written", lambda df, name: solved.append(df) or df)
+    counts = [(0, 5), (2, 9), (9, 9), (0, 0), (None, 4)]
+    rows = spark.createDataFrame([(i, *counts[i % 5]) for i in range(500)], "k int, x long, n long")
+    got = statistics.two_sided_interval(rows, "x", "n", 0.95)
+    assert got.columns == ["k", "x", "n", "lower", "upper"]
+    found = {(r["k"], r["x"], r["n"]): (r["lower"], r["upper"]) for r in got.collect()}
+    assert set(found) == {(i, *counts[i % 5]) for i in range(500)}
+    assert [d.count() for d in solved] == [5]
+    assert solved[0].rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for i, (x, n) in enumerate(counts[:3]):
+        lower, upper = found[i, x, n]
+        assert x == 0 and lower == 0 or abs(sum(math.comb(n, k) * lower**k * (1 - lower) ** (n - k) for k in range(x, n + 1)) - 0.025) < 1e-9
+        assert x == n and upper == 1 or abs(sum(math.comb(n, k) * upper**k * (1 - upper) ** (n - k) for k in range(x + 1)) - 0.025) < 1e-9
+
+
 def test_ranking_quality(spark):
     rng = random.Random(11)
     data = [("k", round(rng.random() * 3, 1), rng.random() < 0.3) for _ in range(300)] + [("none", 1.0, False)]

@@ -11,6 +11,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidewatch.functions import text
 from tidewatch.functions.binomial import lower_bound, upper_bound
+from tidewatch.session import spread, written
 
 
 def unit_means(rows: DataFrame, unit: str, keys: list[str], value: str) -> DataFrame:
@@ -224,12 +225,15 @@ def claim_state(observed: Column, minimum: Column, available: Column) -> Column:
     )
 
 
-def two_sided_interval(successes: Column, trials: Column, confidence: float) -> list[Column]:
-    """Equal-tail exact interval of a proportion."""
-    each = 1.0 - (1.0 - confidence) / 2.0
-    return [
-        lower_bound(successes, trials, each).alias("lower"),
-        upper_bound(successes, trials, each).alias("upper"),
-    ]
-
+def two_sided_interval(rows: DataFrame, successes: str, trials: str, confidence: float) -> DataFrame:
+    """Rows with ``lower`` and ``upper``, the equal-tail exact interval of a proportion.
 
+    A bound is some thousand times the work of a row, so bounds are solved once for each pair of counts, spread over tasks.
+    """
+    each = 1.0 - (1.0 - confidence) / 2.0
+    x, n = F.col("_x"), F.col("_n")
+    # without keys: a repartition by the keys of the distinct rows would be dropped
+    pairs = spread(rows.select(F.col(successes).alias("_x"), F.col(trials).alias("_n")).distinct())
+    solved = written(pairs.select("_x", "_n", lower_bound(x, n, each).alias("lower"), upper_bound(x, n, each).alias("upper")), "intervals")
+    same = F.col(successes).eqNullSafe(x) & F.col(trials).eqNullSafe(n)
+    return rows.join(solved, same).drop("_x", "_n")

@@ -369,7 +369,7 @@ JOIN (""" + bisected("(SELECT DISTINCT n, n - x AS x FROM counts)", "0.025") + "
 def statistic_two_sided_interval(w: Workload) -> DataFrame:
     """Equal-tail exact intervals."""
     c = w.table("events").groupBy("user_id").agg(F.count("*").alias("trials"), F.count_if(F.col("value") >= 200).alias("successes"))
-    both = c.select("*", *statistics.two_sided_interval(F.col("successes"), F.col("trials"), 0.95))
+    both = statistics.two_sided_interval(c, "successes", "trials", 0.95)
     return both.select("user_id", "trials", "successes", r6("lower").alias("lower"), r6("upper").alias("upper"))
 
 
