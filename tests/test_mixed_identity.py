@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidewatch.operators import dedup
 
@@ -88,3 +89,12 @@ def test_data_without_any_identifier_goes_by_the_exact_key(spark):
     kept = dedup.deduplicated(spark.createDataFrame(rows, COLUMNS), by_uid=True).collect()
     assert {r["original_order"]: r["copies"] for r in kept} == {2: 2, 4: 1}
     assert dedup.deduplicated(spark.createDataFrame([], COLUMNS), by_uid=True).collect() == []
+
+
+def test_accounting_by_identifier_and_without_any(spark):
+    rows = [("m", float(t), "scan", p, u, i) for i, (t, p, u) in enumerate([(0, "a", "x"), (1, "a", "x"), (2, "b", "y"), (3, "c", "y"), (4, "a", "x"), (3, "c", "z"), (1, "c", "z")])]
+    events = spark.createDataFrame(rows, COLUMNS)
+    assert tuple(dedup.accounting(events, by_uid=True).first()) == ("Invalid", 0, 1)
+    assert tuple(dedup.accounting(events.filter("uid <> 'y'"), by_uid=True).first()) == ("READY", 2, 3)
+    bare = events.withColumn("uid", F.lit(None).cast("string")).unionByName(events.withColumn("uid", F.lit(None).cast("string")))
+    assert tuple(dedup.accounting(bare, by_uid=True).first()) == ("READY", 6, 8)
