@@ -6,6 +6,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -339,6 +340,22 @@ def test_strongest_comparator_scans_in_order(spark):
     assert comparators.strongest_comparator(spark.createDataFrame(single, schema), 0.01, 1e-6).first()["name"] == "z"
 
 
+def test_nearest_sums_of_a_task_are_those_of_each_row():
+    rng = np.random.default_rng(5)
+    rows = [{"ord": int(rng.integers(1, 4)), "hist": rng.integers(0, 3, 3).astype(float).tolist(), "w": int(rng.integers(1, 9))} for _ in range(90)]
+    centers = {(o,): ([0, 4], rng.integers(0, 3, (2, 2, 3)).astype(float)) for o in (1, 2)}
+    batches = [pa.RecordBatch.from_pylist(rows[i : i + 40], schema=pa.schema([("ord", pa.int32()), ("hist", pa.list_(pa.float64())), ("w", pa.int64())])) for i in (0, 40, 80)]
+    out = [r for b in contexts._nearest_sums(["ord"], centers, 1e-12)(iter(batches)) for r in b.to_pylist()]
+    want = {}
+    for row in rows:
+        for i, r in enumerate(centers.get((row["ord"],), ([], None))[0]):
+            apart = [math.dist(row["hist"], c) for c in centers[row["ord"],][1][i]]
+            cell = next(j for j, d in enumerate(apart) if d - min(apart) <= 1e-12)
+            w, s, q = want.get((row["ord"], r, cell), (0, np.zeros(3), 0.0))
+            want[row["ord"], r, cell] = (w + row["w"], s + np.array(row["hist"]) * row["w"], q + np.dot(row["hist"], row["hist"]) * row["w"])
+    assert {(r["ord"], r["restart"], r["cell"]): (r["w"], r["s"], r["sq"]) for r in out} == {k: (w, s.tolist(), q) for k, (w, s, q) in want.items()}
+
+
 def test_intervals_are_solved_once_for_equal_counts(spark, monkeypatch):
     solved = []
     monkeypatch.setattr(statistics, "written", lambda df, name: solved.append(df) or df)
