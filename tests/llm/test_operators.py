@@ -200,6 +200,50 @@ def test_token_files_round_trip(spark, docs, empty):
     assert all(token_files.select(i, *packed) == values[i] for i in range(0, 3000, 11))
 
 
+def test_token_cache_gives_the_ids_of_the_library(monkeypatch, tmp_path):
+    import json
+    import random
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path, rng = tokenizer_path("word_bpe_49k.json"), random.Random(7)
+    marks = ["a", "B", "zz", "é", "E\u0301", "H\u0331", "İ", "Σ", "ﬁ", "１", "क़", "42", "'", "'s", "<|endoftext|>", "<|ENDOFTEXT|>", ".", "***", "—", "\u0301", " ", " ", "\n", "\t", "\x0b", "\x85", "\xa0", "😀", "聖", "\x00", "-", "ᄀ", "ᅡ"]
+    texts = ["".join(rng.choice(marks) for _ in range(rng.randrange(30))) for _ in range(3000)] + ["İ. x", "क़. x", "", None, " \n"]
+    said = json.load(open(path))
+    said["normalizer"]["normalizers"].pop()  # keeps the case
+    (tmp_path / "cased.json").write_text(json.dumps(said))
+    for file in (path, str(tmp_path / "cased.json")):
+        library, cache = Tokenizer.from_file(file), token_files.WordCache(file)
+        monkeypatch.setattr(token_files, "CACHE_ENTRIES", 150)
+        for lo in range(0, len(texts), 500):
+            ids, sizes = cache.encode_all(pa.array(texts[lo : lo + 500]))
+            want = [library.encode(t or "", add_special_tokens=False).ids for t in texts[lo : lo + 500]]
+            assert sizes.tolist() == list(map(len, want)) and ids.tolist() == [i for x in want for i in x]
+
+
+def test_token_blocks_end_with_the_document_that_fills_them(monkeypatch):
+    import types
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(token_files, "TaskContext", types.SimpleNamespace(get=lambda: types.SimpleNamespace(partitionId=lambda: 0)))
+    monkeypatch.setattr(token_files, "BLOCK_IDS", 7)
+    monkeypatch.setattr(token_files, "CHUNK_BYTES", 40)
+    path, texts = tokenizer_path("word_bpe_49k.json"), [None, "", "a b c d e f", "a", "a b", "a b c " * 9, "", "it is"] * 5
+    batches = [pa.record_batch({"doc_id": pa.array([None if i < 2 else i for i in range(lo, lo + 8)], pa.int64()), "text": pa.array(texts[lo : lo + 8])}) for lo in range(0, 40, 8)]
+    blocks = [x for b in token_files._packed(iter(batches), path, 1) for x in b.to_pylist()]
+    cache = token_files.WordCache(path)
+    assert b"".join(b["ids"] for b in blocks) == b"".join(cache.encode(t) + b"\x01\x00" for t in texts)
+    assert [b["n_ids"] >= 7 for b in blocks[:-1]] == [True] * (len(blocks) - 1) and len(blocks) > 5
+    assert [b["before"] for b in blocks] == np.cumsum([0, *(b["n_ids"] for b in blocks)])[:-1].tolist() and sum(b["n_docs"] for b in blocks) == 40
+    for b in blocks:
+        ends = token_files.decoded(b["n_docs"], b["end_low_bits"], b["end_low"], b["end_high"])
+        assert ends[-1] == b["n_ids"] and (len(ends) < 2 or ends[-2] < 7)
+    docs = [d for b in blocks for d in [None] * b["n_null"] + (token_files.decoded(b["n_docs"] - b["n_null"], b["doc_low_bits"], b["doc_low"], b["doc_high"]) + b["first_id"]).tolist()]
+    assert docs == [None, None, *range(2, 40)]
+
+
 def test_token_files_order_repeated_ids_without_texts_as_range_keys(spark):
     texts = [f"{'same start ' * (k % 3)}text {k}" for k in range(200)] + ["copy"] * 20
     rows = [(None if k % 3 == 0 else k % 2, t) for k, t in enumerate(texts)]
