@@ -350,6 +350,42 @@ def test_pieces(docs, empty):
     assert sum(p.values()) < 1 + 1e-4 and abs(np.mean([sum(math.exp(x[1]) / x[3] for x in o) for o in out]) - 1) < 0.05
 
 
+def test_pieces_against_every_segmentation():
+    import sentencepiece
+
+    path = tokenizer_path("piece_bpe_32k.model")
+    model, v = sentencepiece.SentencePieceProcessor(model_file=path), pieces.Vocabulary(path)
+    usable = [i for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
+    ids = {model.id_to_piece(i): i for i in usable}
+    assert v.longest == max(map(len, ids))
+
+    def ways(unit):  # (ids, weight) of every segmentation
+        if not unit:
+            yield [], 0.0
+        for k in range(1, len(unit) + 1):
+            own = [ids[unit[:k]]] if unit[:k] in ids else [v.byte_id[x] for x in unit[0].encode()] if k == 1 else None
+            if own:
+                for rest, w in ways(unit[k:]):
+                    yield [*own, *rest], w + sum(v.weight[i] for i in own)
+
+    texts = ["the cat  sat", " é\U0001f9ff x", "▁a b▁▁", "naïve  "]
+    for text in texts:
+        units = re.findall("▁+[^▁]*", "▁" + text.replace(" ", "▁"))
+        all_ways = {(): 0.0}
+        for u in units:
+            own = list(ways(u))
+            norm = math.log(sum(math.exp(w) for _, w in own))
+            all_ways = {(*a, *b): p + w - norm for a, p in all_ways.items() for b, w in own}
+        # among many other texts: neither place nor neighbours change a sample or its probability
+        crowd = [text, *(f"other words {j} " * 40 for j in range(300)), text]
+        got = pieces.sampled(crowd, np.full(len(crowd), 99, np.uint64), v, 3)
+        alone = pieces.sampled([text], np.full(1, 99, np.uint64), v, 3)[0]
+        for one in (got[0], got[-1], alone):
+            assert [x[0].tolist() for x in one] == [x[0].tolist() for x in alone] and len(one) == min(3, len(all_ways))
+            assert all(abs(all_ways[tuple(x[0].tolist())] - x[1]) < 1e-9 for x in one)
+            assert [x[2] for x in one] == pytest.approx([x[2] for x in alone], abs=1e-9)
+
+
 def test_pipeline_keeps_and_drops(spark, tmp_path):
     import corpus_pipeline
 

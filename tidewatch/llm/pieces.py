@@ -21,23 +21,27 @@ text reads as a blank. One pass over whole texts, no shuffle.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm import words as W
 from tidewatch.llm.common import query, table, tokenizer_path
 
-SAMPLES, SHIFT, LONGEST = 2, 2.7, 16
-CHUNK = 1 << 19
-_UNIT = re.compile("▁+[^▁]*|[^▁]+")
+SAMPLES, SHIFT = 2, 2.7
+#: bytes of text at once, and characters of a piece that fit the bits of a mask
+CHUNK, MOST = 1 << 19, 62
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_SLOTS = 1 << 18
+
+
+def _spans(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places of runs that begin at ``first``."""
+    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
 
 class Vocabulary:
@@ -52,39 +56,52 @@ class Vocabulary:
         self.bytes = [b""] * n
         self.byte_id = np.zeros(256, np.int64)
         self.weight = -np.log(rank + SHIFT)
-        hashes, ids = [], []
+        pieces, named = [], []
         for i in range(n):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
                 value = int(piece[3:5], 16)
                 self.bytes[i], self.byte_id[value] = bytes([value]), i
                 self.weight[i] = -np.log(n + SHIFT)
-            elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)) and len(piece) <= LONGEST:
+            elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 self.bytes[i] = piece.replace("▁", " ").encode()
-                points = np.array([ord(c) for c in piece], np.uint64)
-                hashes.append(int(np.sum(W.mix(points + np.uint64(1)) * _powers(len(points)))) & (2**64 - 1))
-                ids.append(i)
-        self.keys = np.zeros(_SLOTS, np.uint64)
-        self.ids = np.full(_SLOTS, -1, np.int32)
-        for h, i in zip(hashes, ids, strict=True):
-            at = (h * int(_BASE) % 2**64) >> 46
-            while self.ids[at] >= 0:
-                at = (at + 1) % _SLOTS
-            self.keys[at], self.ids[at] = h, i
-        self.probes = int(max(np.diff(np.flatnonzero(np.concatenate([[True], self.ids < 0, [True]])))))
+                pieces.append(piece)
+                named.append(i)
+        length = np.array(list(map(len, pieces)), np.int64)
+        self.longest = int(length.max())
+        if self.longest > MOST:
+            raise ValueError(f"a piece has {self.longest} characters; {MOST} at most")
+        points = np.frombuffer("".join(pieces).encode("utf-32-le"), np.uint32).astype(np.uint64)
+        ends = np.cumsum(length)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(W.mix(points + np.uint64(1)) * _powers(self.longest)[_spans(np.zeros(len(length), np.int64), length)])])
+        hashes = sums[1:] - np.repeat(sums[ends - length], length)
+        # hash of the first characters -> id, or -1
+        whole = np.zeros(len(points), bool)
+        whole[ends - 1] = True
+        longer = set(hashes[~whole].tolist())
+        prefixes = dict.fromkeys(longer, -1) | dict(zip(hashes[whole].tolist(), named, strict=True))
+        bits = max(18, (3 * len(prefixes)).bit_length())
+        self.shift, slots = np.uint64(64 - bits), 1 << bits
+        self.keys, self.ids, self.longer, used = np.zeros(slots + 1, np.uint64), np.full(slots + 1, -1, np.int32), np.zeros(slots + 1, bool), np.zeros(slots + 1, bool)
+        for h, i in prefixes.items():
+            at = (h * int(_BASE) % 2**64) >> (64 - bits)
+            while used[at]:
+                at = (at + 1) % slots
+            self.keys[at], self.ids[at], self.longer[at], used[at] = h, i, h in longer, True
+        self.slots, self.used = slots, used
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Id of each hashed piece, or -1."""
-        at = ((hashes * _BASE) >> np.uint64(46)).astype(np.int64)
-        out = np.where(self.keys[at] == hashes, self.ids[at], -1)
-        open_ = np.flatnonzero((out < 0) & (self.ids[at] >= 0))
-        for _ in range(self.probes):
-            if not len(open_):
-                break
-            at[open_] = (at[open_] + 1) % _SLOTS
-            hit = self.keys[at[open_]] == hashes[open_]
-            out[open_[hit]] = self.ids[at[open_[hit]]]
-            open_ = open_[~hit & (self.ids[at[open_]] >= 0)]
+        """Place of each hashed prefix in the table; that of none is the last, which holds no piece."""
+        at = ((hashes * _BASE) >> self.shift).astype(np.int64)
+        hit = self.keys[at] == hashes
+        out = np.where(hit & self.used[at], at, self.slots)
+        open_ = np.flatnonzero(~hit & self.used[at])
+        while len(open_):
+            at[open_] = (at[open_] + 1) % self.slots
+            here = at[open_]
+            hit, used = self.keys[here] == hashes[open_], self.used[here]
+            out[open_[hit & used]] = here[hit & used]
+            open_ = open_[~hit & used]
         return out
 
     def decode(self, ids: np.ndarray) -> str:
@@ -99,57 +116,93 @@ def _powers(n: int) -> np.ndarray:
 
 
 class Lattice:
-    """Edges and next-piece probabilities of many units. A unit of n characters has n + 1 slots."""
+    """Edges and next-piece probabilities of many units. A unit of n characters has n + 1 slots; the edges of a slot
+    stand side by side, shorter ones first, and slots stand by the characters left to the end of their units."""
 
-    def __init__(self, units: list[str], v: Vocabulary):
-        length = np.array(list(map(len, units)), np.int64)
+    def __init__(self, units: pa.Array, v: Vocabulary):
+        length = pc.utf8_length(units).to_numpy().astype(np.int64)
         self.start = np.concatenate([[0], np.cumsum(length + 1)])
-        self.points = np.frombuffer("\0".join([*units, ""]).encode("utf-32-le"), np.uint32)
-        n = len(self.points)
+        data, offsets = W.flat(units)
+        points = np.frombuffer(np.insert(data, offsets[1:], 0).tobytes().decode().encode("utf-32-le"), np.uint32)
+        self.points = np.where(points == 0x20, np.uint32(0x2581), points)
+        n = len(points)
         self.end = np.repeat(self.start[1:] - 1, length + 1)
-        h = np.zeros(n, np.uint64)
-        mixed, left = W.mix(self.points.astype(np.uint64) + np.uint64(1)), self.end - np.arange(n)
-        power = _powers(LONGEST)
-        self.piece = np.full((n, LONGEST), -1, np.int32)
-        score = np.full((n, LONGEST), -np.inf, np.float32)
-        for k in range(LONGEST):
-            at = np.flatnonzero(left > k)
-            if not len(at):
+        left = self.end - np.arange(n)
+        mixed, power = W.mix(self.points.astype(np.uint64) + np.uint64(1)), _powers(v.longest)
+        live = np.flatnonzero(left)
+        h = np.zeros(len(live), np.uint64)
+        self.degree = np.zeros(n, np.int64)
+        found = []
+        for k in range(v.longest):  # on from the prefixes of longer pieces only
+            h += mixed[live + k] * power[k]
+            place = v.find(h)
+            ids = v.ids[place]
+            if not k:
+                ids[ids < 0] = -2  # its bytes
+            good = np.flatnonzero(ids != -1)
+            at = live[good]
+            found.append((at, self.degree[at], ids[good]))
+            self.degree[at] += 1
+            on = np.flatnonzero(v.longer[place] & (left[live] > k + 1))
+            if not len(on):
                 break
-            h[at] += mixed[at + k] * power[k]
-            found = v.find(h[at])
-            good = found >= 0
-            self.piece[at[good], k], score[at[good], k] = found[good], v.weight[found[good]]
-        lone = np.flatnonzero((left > 0) & (self.piece[:, 0] < 0))
-        self.piece[lone, 0] = -2  # its bytes
-        size = 1 + (self.points[lone] > 0x7F) + (self.points[lone] > 0x7FF) + (self.points[lone] > 0xFFFF)
-        score[lone, 0] = size * v.weight[v.byte_id[0]]
-        back = np.zeros(n)
+            live, h = live[on], h[on]
         order = np.argsort(left, kind="stable")
         cut = np.searchsorted(left[order], np.arange(left.max() + 2))
-        reach = np.arange(1, LONGEST + 1)
-        for r in range(1, int(left.max()) + 1):
-            at = order[cut[r] : cut[r + 1]]
-            k = min(r, LONGEST)
-            s = score[at, :k] + back[at[:, None] + reach[:k]]
-            top = s.max(1)
-            back[at] = top + np.log(np.exp(s - top[:, None]).sum(1))
-            score[at, :k] = s - back[at][:, None]
-        self.log_p = score
-        self.total = np.cumsum(np.exp(score), axis=1)
+        degree = self.degree[order]
+        bound = np.concatenate([[0], np.cumsum(degree)])
+        self.first = np.empty(n, np.int64)
+        self.first[order] = bound[:-1]
+        self.piece, self.next = np.empty(bound[-1], np.int32), np.empty(bound[-1], np.int64)
+        self.slot = np.repeat(order, degree)
+        for k, (at, rank, ids) in enumerate(found):
+            edge = self.first[at] + rank
+            self.piece[edge], self.next[edge] = ids, at + k + 1
+        score = v.weight[self.piece]
+        lone = np.flatnonzero(self.piece < 0)
+        code = self.points[self.next[lone] - 1]
+        score[lone] = (1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF)) * v.weight[v.byte_id[0]]
+        back = np.zeros(n)
+        for r in range(1, len(cut) - 1):
+            lo, hi = cut[r], cut[r + 1]
+            a, z = bound[lo], bound[hi]
+            s = score[a:z]
+            s += back[self.next[a:z]]
+            top = np.maximum.reduceat(s, bound[lo:hi] - a)
+            top += np.log(np.add.reduceat(np.exp(s - np.repeat(top, degree[lo:hi])), bound[lo:hi] - a))
+            back[order[lo:hi]] = top
+            s -= np.repeat(top, degree[lo:hi])
+        self.log_p, self.p = score, np.exp(score)
 
     def draw(self, slots: np.ndarray, u: np.ndarray) -> np.ndarray:
-        """Length of the piece drawn at each slot, less one."""
-        total = self.total[slots]
-        return np.minimum((total < (u * total[:, -1])[:, None]).sum(1), LONGEST - 1)
+        """The edge drawn at each slot."""
+        edge = self.first[slots]
+        last, rest = edge + self.degree[slots] - 1, u - self.p[edge]
+        live = np.flatnonzero((rest > 0) & (edge < last))
+        while len(live):
+            now = edge[live] + 1
+            over = rest[live] - self.p[now]
+            edge[live], rest[live] = now, over
+            live = live[(over > 0) & (now < last[live])]
+        return edge
+
+    def others(self, slots: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        """Probabilities of the edges of each slot without those of the mask, a row a slot."""
+        rank = np.arange(max(1, self.degree[slots].max(initial=1)))
+        open_ = (rank < self.degree[slots][:, None]) & ((mask[:, None] >> rank) & 1 == 0)
+        return np.where(open_, self.p[np.where(open_, self.first[slots][:, None] + rank, 0)], 0.0)
+
+
+def _hashed(key: np.ndarray, *parts) -> np.ndarray:
+    """Hashes that depend on the row key and a place."""
+    for p in parts:
+        key = W.mix(key + np.asarray(p).astype(np.uint64) * _BASE + np.uint64(0x27D4EB2F))
+    return key
 
 
 def _uniform(key: np.ndarray, *parts) -> np.ndarray:
     """Numbers in (0, 1) that depend on the row key and a place."""
-    x = key
-    for p in parts:
-        x = W.mix(x + np.asarray(p).astype(np.uint64) * _BASE + np.uint64(0x27D4EB2F))
-    return ((x >> np.uint64(11)).astype(float) + 0.5) / 2**53
+    return ((_hashed(key, *parts) >> np.uint64(11)).astype(float) + 0.5) / 2**53
 
 
 def _below(location: np.ndarray, bound: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -158,29 +211,48 @@ def _below(location: np.ndarray, bound: np.ndarray, u: np.ndarray) -> np.ndarray
         return np.where(np.isneginf(location), -np.inf, location - np.log(np.exp(np.minimum(location - bound, 700)) - np.log(u)))
 
 
-def _walk(lat: Lattice, slot: np.ndarray, key: np.ndarray, unit: np.ndarray, sample: int) -> tuple[np.ndarray, ...]:
-    """Draw pieces from each slot to the end of its unit: (row of the input, step, slot, length less one)."""
-    out, live, step = [], np.flatnonzero(slot < lat.end[slot]), 0
-    slot = slot.copy()
+def _walk(lat: Lattice, slot: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Draw pieces from each slot to the end of its unit: the edges, those of a slot in a row, and how many each has."""
+    out, end, step = [], lat.end[slot], 0
+    live, count = np.flatnonzero(slot < end), np.zeros(len(slot), np.int64)
+    here, key, end = slot[live], key[live], end[live]
     while len(live):
-        k = lat.draw(slot[live], _uniform(key[live], sample, unit[live], step))
-        out.append((live, np.full(len(live), step), slot[live], k))
-        slot[live] += k + 1
-        live, step = live[slot[live] < lat.end[slot[live]]], step + 1
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else tuple(np.zeros(0, np.int64) for _ in range(4))
-
-
-def sampled(texts: list[str], keys: np.ndarray, v: Vocabulary, k: int = SAMPLES) -> list[list[tuple[np.ndarray, float, float, float]]]:
+        edge = lat.draw(here, _uniform(key, step))
+        out.append((live, edge))
+        count[live] += 1
+        here, step = lat.next[edge], step + 1
+        on = np.flatnonzero(here < end)
+        live, here, key, end = live[on], here[on], key[on], end[on]
+    first = np.cumsum(count) - count
+    edges = np.empty(int(count.sum()), np.int64)
+    for k, (rows, edge) in enumerate(out):
+        edges[first[rows] + k] = edge
+    return edges, count
+
+
+def _units(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct units, the place of every unit among them, and the first unit of each text (one more than texts)."""
+    data, offsets = W.flat(pc.replace_substring(texts, "▁", " "))
+    size = np.diff(offsets)
+    data = np.insert(data, offsets[:-1][size > 0], 0x20)
+    offsets = np.concatenate([[0], np.cumsum(size + (size > 0))])
+    blank = data == 0x20
+    begins = blank.copy()
+    begins[1:] &= ~blank[:-1]
+    begins[offsets[:-1][size > 0]] = True
+    at = np.flatnonzero(begins)
+    units = pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(np.append(at, len(data))), pa.py_buffer(data)]).dictionary_encode()
+    return units.dictionary, units.indices.to_numpy().astype(np.int64), np.searchsorted(at, offsets)
+
+
+def sampled(texts: list[str] | pa.Array, keys: np.ndarray, v: Vocabulary, k: int = SAMPLES) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """Per text up to k samples in order of their perturbed values: ids, log_prob, perturbed value, inclusion score."""
     n = len(texts)
-    units = [_UNIT.findall("▁" + t.replace(" ", "▁")) if t else [] for t in texts]
-    known: dict[str, int] = {}
-    which = np.array([known.setdefault(u, len(known)) for row in units for u in row], np.int64)
-    count = np.array(list(map(len, units)), np.int64)
-    first = np.concatenate([[0], np.cumsum(count)])
+    units, which, first = _units(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()))
+    count = np.diff(first)
     if not len(which):
-        return [[(np.zeros(0, np.int64), 0.0, 0.0, 1.0)] for _ in texts]
-    lat = Lattice(list(known), v)
+        return [[(np.zeros(0, np.int64), 0.0, 0.0, 1.0)] for _ in range(n)]
+    lat = Lattice(units, v)
     begin = lat.start[which]
     doc = np.repeat(np.arange(n), count)
     unit = np.arange(len(which)) - first[doc]
@@ -196,59 +268,52 @@ def sampled(texts: list[str], keys: np.ndarray, v: Vocabulary, k: int = SAMPLES)
             head = head[np.unique(regions["doc"][head], return_index=True)[1]]
             if not len(head):
                 break
-            alive = np.zeros(n, bool)
-            alive[regions["doc"][head]] = True
-            bound = np.full(n, -np.inf)
-            bound[regions["doc"][head]] = regions["value"][head]
             opened = {name: x[head] for name, x in regions.items()}
             rest = np.ones(len(regions["doc"]), bool)
             rest[head] = False
             regions = {name: x[rest] for name, x in regions.items()}
+            docs, mask = opened["doc"], opened["mask"]
+            alive = np.zeros(n, bool)
+            alive[docs] = True
+            bound = np.full(n, -np.inf)
+            bound[docs] = opened["value"]
+        leaves, mask_at, size = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
         if not s:
-            row, step, slot, length = _walk(lat, begin, keys[doc], unit, 0)
-            where, order = doc[row], np.argsort(slot + (row << 32), kind="stable")
-            path = {"doc": where[order], "unit": row[order], "slot": slot[order], "len": length[order]}
-            leaves, mask_at = np.zeros(n, np.int64), np.zeros(n, np.int64)
+            edge, drawn = _walk(lat, begin, _hashed(keys[doc], 0, unit))
+            row = np.repeat(np.arange(len(which)), drawn)
+            starts = np.concatenate([[0], np.cumsum(np.bincount(doc, drawn, n).astype(np.int64))])
         else:
-            kept, turn = [], {"doc": [], "unit": [], "slot": [], "len": []}
+            turn, turn_unit = np.empty(len(docs), np.int64), np.empty(len(docs), np.int64)
             for p in np.unique(opened["path"]):
-                mine, parent = opened["path"] == p, paths[p]
-                docs, at = opened["doc"][mine], opened["at"][mine]
-                limit = np.zeros(n, np.int64)
-                limit[docs] = at
-                chosen = np.zeros(n, bool)
-                chosen[docs] = True
-                take = chosen[parent["doc"]] & (np.arange(len(parent["doc"])) < limit[parent["doc"]])
-                kept.append({c: parent[c][take] for c in ("doc", "unit", "slot", "len")})
-                for c in ("doc", "unit", "slot"):
-                    turn[c].append(parent[c][at])
-            turn = {c: np.concatenate(x) for c, x in turn.items() if c != "len"}
-            back = np.argsort(opened["doc"])
-            turn_order = np.argsort(turn["doc"])
-            turn = {c: x[turn_order] for c, x in turn.items()}
-            mask = opened["mask"][back]
+                mine = opened["path"] == p
+                turn[mine], turn_unit[mine] = paths[p]["edge"][opened["at"][mine]], paths[p]["unit"][opened["at"][mine]]
+                leaves[docs[mine]] = opened["at"][mine] - paths[p]["starts"][docs[mine]]
             # another piece at the turn, then free draws to the end of the text
-            p = np.exp(lat.log_p[turn["slot"]]) * ~((mask[:, None] >> np.arange(LONGEST)) & 1).astype(bool)
-            total = np.cumsum(p, axis=1)
-            u = _uniform(keys[turn["doc"]], 1000 + s, 1)
-            turn["len"] = np.minimum((total <= (u * total[:, -1])[:, None]).sum(1), LONGEST - 1)
-            tail_slot = turn["slot"] + turn["len"] + 1
+            slot = lat.slot[turn]
+            total = np.cumsum(lat.others(slot, mask), axis=1)
+            u = _uniform(keys[docs], 1000 + s, 1)
+            turn = lat.first[slot] + np.minimum((total <= (u * total[:, -1])[:, None]).sum(1), lat.degree[slot] - 1)
+            mask_at[docs] = mask
             last = np.full(n, len(which), np.int64)
-            last[turn["doc"]] = turn["unit"]
-            free = np.flatnonzero(np.arange(len(which)) > last[doc])
-            row = np.concatenate([turn["unit"], free])
-            at, step, slot, length = _walk(lat, np.concatenate([tail_slot, begin[free]]), keys[doc[row]], unit[row], s)
-            parts = [*kept, turn, {"doc": doc[row[at]], "unit": row[at], "slot": slot, "len": length}]
-            path = {c: np.concatenate([x[c] for x in parts]) for c in ("doc", "unit", "slot", "len")}
-            order = np.argsort(path["slot"] + (path["unit"] << 32), kind="stable")
-            path = {c: x[order] for c, x in path.items()}
-            leaves, mask_at = np.zeros(n, np.int64), np.zeros(n, np.int64)
-            kept_n = np.bincount(np.concatenate([x["doc"] for x in kept]), minlength=n) if kept else leaves
-            leaves[turn["doc"]] = kept_n[turn["doc"]]
-            mask_at[turn["doc"]] = mask
-        path["log_p"] = lat.log_p[path["slot"], path["len"]]
+            last[docs] = turn_unit
+            free = np.flatnonzero(np.arange(len(which)) >= last[doc])
+            begins = begin[free]
+            begins[np.searchsorted(free, turn_unit)] = lat.next[turn]
+            tail, drawn = _walk(lat, begins, _hashed(keys[doc[free]], s, unit[free]))
+            tails = np.bincount(doc[free], drawn, n).astype(np.int64)[docs]
+            size[docs] = leaves[docs] + 1 + tails
+            starts = np.concatenate([[0], np.cumsum(size)])
+            edge, row = np.empty(starts[-1], np.int64), np.empty(starts[-1], np.int64)
+            for p in np.unique(opened["path"]):
+                mine = docs[opened["path"] == p]
+                to, of = _spans(starts[mine], leaves[mine]), _spans(paths[p]["starts"][mine], leaves[mine])
+                edge[to], row[to] = paths[p]["edge"][of], paths[p]["unit"][of]
+            to = starts[docs] + leaves[docs]
+            edge[to], row[to] = turn, turn_unit
+            to = _spans(to + 1, tails)
+            edge[to], row[to] = tail, np.repeat(free, drawn)
+        path = {"doc": doc[row], "unit": row, "edge": edge, "log_p": lat.log_p[edge]}
         d = path["doc"]
-        starts = np.searchsorted(d, np.arange(n + 1))
         run = np.concatenate([[0], np.cumsum(path["log_p"])])
         before = run[:-1] - run[starts[d]]
         path["starts"], path["total"], path["value"], path["alive"] = starts, run[starts[1:]] - run[starts[:-1]], bound, alive
@@ -256,14 +321,14 @@ def sampled(texts: list[str], keys: np.ndarray, v: Vocabulary, k: int = SAMPLES)
         place = np.arange(len(d)) - starts[d]
         late = np.flatnonzero(place >= leaves[d])
         at_turn = place[late] == leaves[d[late]]
-        mask = np.where(at_turn, mask_at[d[late]], 0) | (1 << path["len"][late])
+        slot = lat.slot[edge[late]]
+        mask = np.where(at_turn, mask_at[d[late]], 0) | (1 << (edge[late] - lat.first[slot]))
         rest = -np.expm1(path["log_p"][late])
         turned = np.flatnonzero(at_turn & (mask_at[d[late]] > 0))
-        p = np.exp(lat.log_p[path["slot"][late[turned]]])
-        rest[turned] = (p * ~((mask[turned, None] >> np.arange(LONGEST)) & 1).astype(bool)).sum(1)
+        rest[turned] = lat.others(slot[turned], mask[turned]).sum(1)
         with np.errstate(divide="ignore"):
             location = before[late] + np.log(np.where(rest > 1e-12, rest, 0))
-        value = _below(location, bound[d[late]], _uniform(keys[d[late]], 2000 + s, place[late]))
+        value = _below(location, bound[d[late]], _uniform(_hashed(keys, 2000 + s)[d[late]], place[late]))
         new = {"doc": d[late], "path": np.full(len(late), s), "at": late, "value": value, "mask": mask}
         good = ~np.isneginf(value)
         regions = {name: np.concatenate([x, new[name][good]]) for name, x in regions.items()}
@@ -272,13 +337,13 @@ def sampled(texts: list[str], keys: np.ndarray, v: Vocabulary, k: int = SAMPLES)
     np.maximum.at(kappa, regions["doc"], regions["value"])
     out: list[list] = [[] if c else [(np.zeros(0, np.int64), 0.0, 0.0, 1.0)] for c in count]
     for path in paths:
-        ids = lat.piece[path["slot"], path["len"]].astype(np.int64)
+        ids = lat.piece[path["edge"]].astype(np.int64)
         for i in np.flatnonzero(path["alive"]):
             lo, hi = path["starts"][i], path["starts"][i + 1]
             mine = ids[lo:hi]
             if (mine < 0).any():
                 at, parts, done = np.flatnonzero(mine < 0), [], 0
-                for j, s in zip(at, path["slot"][lo + at], strict=True):
+                for j, s in zip(at, lat.next[path["edge"][lo + at]] - 1, strict=True):
                     parts += [mine[done:j], v.byte_id[list(chr(lat.points[s]).encode())]]
                     done = j + 1
                 mine = np.concatenate([*parts, mine[done:]])
@@ -308,7 +373,7 @@ def encoded(documents: DataFrame, model: str, columns: list[str], k: int = SAMPL
             for lo, hi in W.chunks(offsets, CHUNK):
                 texts = batch["text"].slice(lo, hi - lo).to_pylist()
                 keys = W.mix(batch["id"].slice(lo, hi - lo).to_numpy(zero_copy_only=False).view(np.uint64) ^ np.uint64(0xB5AD4ECEDA1CE2A9))
-                found = sampled(texts, keys, v, k)
+                found = sampled(batch["text"].slice(lo, hi - lo), keys, v, k)
                 row = [i for i, x in enumerate(found) for _ in x]
                 flat = [(s, *x) for xs in found for s, x in enumerate(xs, 1)]
                 ids = [x[1] for x in flat]
